@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("concrete",)
+MODULES = ("graph_model", "concrete", "abstract")
 
 
 def load_queries():
