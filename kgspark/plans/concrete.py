@@ -310,7 +310,7 @@ def supplier_activity(t: Tables, since: dt.date = SINCE) -> DataFrame:
            a.end_date AS transition_date, n.next_start,
            DATEDIFF('day', a.end_date, n.next_start) AS days_between, n.later AS later_tenures
     FROM buys_from a JOIN (
-      SELECT e.supp_key, e.end_date, MIN(c.start_date) AS next_start, SUM(c.n) AS later
+      SELECT e.supp_key, e.end_date, MIN(c.start_date) AS next_start, CAST(SUM(c.n) AS BIGINT) AS later
       FROM (SELECT DISTINCT supp_key, end_date FROM buys_from WHERE end_date IS NOT NULL) e
       JOIN (SELECT supp_key, start_date, COUNT(*) n FROM buys_from GROUP BY 1, 2) c
         ON c.supp_key = e.supp_key AND c.start_date > e.end_date GROUP BY 1, 2) n
