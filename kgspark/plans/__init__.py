@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("graph_model", "concrete", "abstract", "ontology", "governance")
+MODULES = ("graph_model", "concrete", "abstract", "ontology", "governance", "networks")
 
 
 def load_queries():
