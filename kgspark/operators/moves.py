@@ -143,15 +143,14 @@ def peer_counts(tenures: DataFrame, group: str) -> DataFrame:
         F.sum("s").alias("s"), F.sum("e").alias("e"))
     upto = (Window.partitionBy(group).orderBy("day")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    calendar = daily.withColumns({
-        "ended_before": F.sum("e").over(upto) - F.col("e"),
-        "started_upto": F.sum("s").over(upto)}).select(
-        group, "day", "ended_before", "started_upto")
-    totals = starts.groupBy(group).agg(F.sum("s").alias("all_tenures"))
-    at_start = calendar.select(group, F.col("day").alias("start_date"), "ended_before")
+    calendar = daily.select(
+        group, "day", (F.sum("e").over(upto) - F.col("e")).alias("ended_before"),
+        F.sum("s").over(upto).alias("started_upto"),
+        F.sum("s").over(Window.partitionBy(group)).alias("all_tenures"))
+    at_start = calendar.select(group, F.col("day").alias("start_date"), "ended_before", "all_tenures")
     at_end = calendar.select(group, F.col("day").alias("end_date"), "started_upto")
     joined = (tenures.join(at_start, [group, "start_date"])
-              .join(at_end, [group, "end_date"], "left").join(totals, group))
+              .join(at_end, [group, "end_date"], "left"))
     started = F.coalesce(F.col("started_upto"), F.col("all_tenures"))
     return joined.withColumns({
         "peers": F.col("all_tenures") - 1,

@@ -54,23 +54,29 @@ def check_cardinality_all(edges: DataFrame, relations: Sequence, check_name: str
 
 
 def check_referential(edges: DataFrame, nodes: DataFrame, check_name: str,
-                      rel: str | None = None) -> DataFrame:
-    """One row per edge and missing endpoint. Ids are typed, so the join sees the node type."""
+                      rel: str | None = None, splits: int = 256) -> DataFrame:
+    """One row per edge and missing endpoint. Ids are typed, so the join sees the node type.
+
+    Endpoints are counted before they meet the nodes, so an endpoint of very many edges
+    is at most ``splits`` rows in the join; missing ones are spread out again afterwards.
+    """
     if rel is not None:
         edges = edges.where(F.col("edge_type") == rel)
-    none = F.lit(None).cast("string")
-
-    def missing(end: str, text: str) -> DataFrame:
-        known = nodes.select(F.col("node_id").alias(end))
-        rows = edges.select("edge_type", end).join(known, end, "left_anti")
-        return rows.select(
-            F.lit(check_name).alias("check_name"), F.lit("RELATION").alias("scope"),
-            F.col("edge_type").alias("rel_or_class"),
-            (F.col("src_id") if end == "src_id" else none).alias("src_id"),
-            (F.col("dst_id") if end == "dst_id" else none).alias("dst_id"),
-            F.lit(text).alias("details"))
-
-    return missing("src_id", NO_SOURCE).unionByName(missing("dst_id", NO_DESTINATION))
+    split = F.pmod(F.xxhash64("src_id", "dst_id"), F.lit(splits))
+    ends = edges.select("edge_type", split.alias("split"), F.explode(F.array(
+        F.struct(F.lit("src").alias("side"), F.col("src_id").alias("id")),
+        F.struct(F.lit("dst").alias("side"), F.col("dst_id").alias("id")))).alias("end"))
+    counted = ends.groupBy("edge_type", "split", "end.side", "end.id").agg(F.count("*").alias("n"))
+    known = nodes.select(F.col("node_id").alias("id"), F.lit(True).alias("known"))
+    # an outer join, since an anti join would be copied into every branch of a union
+    missing = counted.join(known, "id", "left").where("known IS NULL").repartition("id", "split")
+    is_src = F.col("side") == "src"
+    rows = missing.select("edge_type", "id", "side", F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    return rows.select(
+        F.lit(check_name).alias("check_name"), F.lit("RELATION").alias("scope"),
+        F.col("edge_type").alias("rel_or_class"), F.when(is_src, F.col("id")).alias("src_id"),
+        F.when(~is_src, F.col("id")).alias("dst_id"),
+        F.when(is_src, NO_SOURCE).otherwise(NO_DESTINATION).alias("details"))
 
 
 def domain_range_profile(edges: DataFrame, relations: Sequence, classes: Sequence) -> DataFrame:

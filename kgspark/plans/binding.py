@@ -20,7 +20,16 @@ from kgspark.sources.tables import Tables
 
 AS_OF = dt.date(2001, 1, 1)          # the fixed "today" of all queries
 OPEN_FROM = dt.date(2001, 6, 1)      # last activity on or after this day = still open
-MONEY = "decimal(18,2)"              # exact sums, independent of row order
+
+
+def price_cents():
+    """Whole cents: sums are exact in any row order and stay in long arithmetic."""
+    return F.floor(F.col("l_extendedprice") * 100 + 0.5)
+
+
+def money(cents):
+    """Cents as an amount."""
+    return F.col(cents).cast("double") / 100 if isinstance(cents, str) else cents.cast("double") / 100
 
 
 def _open_or(day):
@@ -34,7 +43,7 @@ def supplied_by(t: Tables) -> DataFrame:
                               F.col("l_suppkey").alias("supp_key")).agg(
         F.min("l_shipdate").cast("date").alias("start_date"),
         _open_or(F.col("l_shipdate")).alias("end_date"),
-        F.sum(F.col("l_extendedprice").cast(MONEY)).alias("value"),
+        F.sum(price_cents()).alias("cents"),
         F.count("*").alias("lines"))
 
 
@@ -42,7 +51,7 @@ def order_supplier(t: Tables) -> DataFrame:
     """Lines of each order combined per supplier before any join with orders."""
     return t.lineitem.groupBy(F.col("l_orderkey").alias("order_key"),
                               F.col("l_suppkey").alias("supp_key")).agg(
-        F.sum(F.col("l_extendedprice").cast(MONEY)).alias("value"),
+        F.sum(price_cents()).alias("cents"),
         F.count("*").alias("lines"))
 
 
@@ -52,7 +61,7 @@ def buys_from(t: Tables) -> DataFrame:
     return order_supplier(t).join(placed, "order_key").groupBy("cust_key", "supp_key").agg(
         F.min("o_orderdate").cast("date").alias("start_date"),
         _open_or(F.col("o_orderdate")).alias("end_date"),
-        F.sum("value").alias("value"), F.sum("lines").alias("lines"))
+        F.sum("cents").alias("cents"), F.sum("lines").alias("lines"))
 
 
 def in_order(t: Tables) -> DataFrame:
@@ -77,20 +86,25 @@ def order_dim(t: Tables) -> DataFrame:
 def order_sides(t: Tables) -> DataFrame:
     """Lead and tail supplier of every order with lines, and what each delivered.
 
-    Combined per (order, supplier) first, so an order with very many lines is
-    reduced before its rows meet on the order key.
+    The lead has the smallest (line number, supplier key), the tail the largest. Both are
+    packed into one long, line number above a 32-bit supplier key, so that the aggregation
+    hashes instead of sorting. Rows are combined per (order, supplier) first: an order with
+    very many lines is reduced before its rows meet on the order key.
     """
-    spot = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    bits = 32
     per_supplier = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(
-        F.min(spot).alias("first_spot"), F.max(spot).alias("last_spot"),
-        F.sum(F.col("l_extendedprice").cast(MONEY)).alias("value"))
-    lead = F.min(F.struct("first_spot", "value"))
-    tail = F.max(F.struct("last_spot", "value"))
-    return per_supplier.groupBy(F.col("l_orderkey").alias("order_key")).agg(
-        lead.alias("lead"), tail.alias("tail")).select(
-        "order_key", F.col("lead.first_spot.l_suppkey").alias("lead_key"),
-        F.col("tail.last_spot.l_suppkey").alias("tail_key"),
-        F.col("lead.value").alias("lead_value"), F.col("tail.value").alias("tail_value"))
+        F.min("l_linenumber").alias("first_line"), F.max("l_linenumber").alias("last_line"),
+        F.sum(price_cents()).alias("cents"))
+    spot = lambda line: F.shiftleft(F.col(line).cast("bigint"), bits).bitwiseOR(F.col("l_suppkey"))
+    supplier = lambda spot_col: F.col(spot_col).bitwiseAND(F.lit((1 << bits) - 1))
+    spots = per_supplier.select("l_orderkey", "cents", spot("first_line").alias("first_spot"),
+                                spot("last_line").alias("last_spot"))
+    return spots.groupBy(F.col("l_orderkey").alias("order_key")).agg(
+        F.min("first_spot").alias("first_spot"), F.max("last_spot").alias("last_spot"),
+        F.min_by("cents", "first_spot").alias("lead_cents"),
+        F.max_by("cents", "last_spot").alias("tail_cents")).select(
+        "order_key", supplier("first_spot").alias("lead_key"), supplier("last_spot").alias("tail_key"),
+        "lead_cents", "tail_cents")
 
 
 def matchups(t: Tables) -> DataFrame:
@@ -128,13 +142,13 @@ def part_dim(t: Tables) -> DataFrame:
 
 def engaged_with(t: Tables) -> DataFrame:
     """Abstract relation party -> organisation: SUPPLIED_BY and BUYS_FROM in one schema."""
-    cols = ["role", "party_key", "supp_key", "via_rel", "start_date", "end_date", "value"]
+    cols = ["role", "party_key", "supp_key", "via_rel", "start_date", "end_date", "cents"]
     parts = supplied_by(t).select(
         F.lit("Part").alias("role"), F.col("part_key").alias("party_key"), "supp_key",
-        F.lit("SUPPLIED_BY").alias("via_rel"), "start_date", "end_date", "value")
+        F.lit("SUPPLIED_BY").alias("via_rel"), "start_date", "end_date", "cents")
     customers = buys_from(t).select(
         F.lit("Customer").alias("role"), F.col("cust_key").alias("party_key"), "supp_key",
-        F.lit("BUYS_FROM").alias("via_rel"), "start_date", "end_date", "value")
+        F.lit("BUYS_FROM").alias("via_rel"), "start_date", "end_date", "cents")
     return parts.select(cols).unionByName(customers.select(cols))
 
 
@@ -179,17 +193,17 @@ OBJECT_SOURCES = [
 
 LINK_SOURCES = [
     LinkSource("SUPPLIED_BY", "supplied_by", "PART", "part_key", "SUPPLIER", "supp_key",
-               "start_date", "end_date", {"value": "value", "lines": "lines"}),
+               "start_date", "end_date", {"value": "cast(cents as decimal(20,0)) / 100", "lines": "lines"}),
     LinkSource("BUYS_FROM", "buys_from", "CUSTOMER", "cust_key", "SUPPLIER", "supp_key",
-               "start_date", "end_date", {"value": "value", "lines": "lines"}),
+               "start_date", "end_date", {"value": "cast(cents as decimal(20,0)) / 100", "lines": "lines"}),
     LinkSource("IN_ORDER", "in_order", "PART", "part_key", "ORDER", "order_key",
                "order_date", "order_date", {
                    "quantity": "quantity", "returned": "returned", "accepted": "accepted",
                    "not_returned": "not_returned"}),
     LinkSource("LEAD_SUPPLIER", "order_sides", "SUPPLIER", "lead_key", "ORDER", "order_key",
-               "order_date", props={"value": "lead_value"}),
+               "order_date", props={"value": "cast(lead_cents as decimal(20,0)) / 100"}),
     LinkSource("TAIL_SUPPLIER", "order_sides", "SUPPLIER", "tail_key", "ORDER", "order_key",
-               "order_date", props={"value": "tail_value"}),
+               "order_date", props={"value": "cast(tail_cents as decimal(20,0)) / 100"}),
     LinkSource("WITHIN", "customer", "CUSTOMER", "c_custkey", "NATION", "c_nationkey"),
     LinkSource("WITHIN", "supplier", "SUPPLIER", "s_suppkey", "NATION", "s_nationkey"),
     LinkSource("WITHIN", "nation", "NATION", "n_nationkey", "REGION", "n_regionkey"),

@@ -34,8 +34,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                o_orderstatus AS status FROM orders"""),
     "lead_tail": ((), """
         SELECT l_orderkey AS order_key,
-               FIRST(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS lead_key,
-               FIRST(l_suppkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC) AS tail_key
+               FIRST(l_suppkey ORDER BY l_linenumber, l_suppkey) AS lead_key,
+               FIRST(l_suppkey ORDER BY l_linenumber DESC, l_suppkey DESC) AS tail_key
         FROM lineitem GROUP BY l_orderkey"""),
     "order_supplier": ((), """
         SELECT l_orderkey AS order_key, l_suppkey AS supp_key,

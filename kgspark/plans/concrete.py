@@ -34,8 +34,8 @@ def order_id(col="order_key"):
 
 
 def winner():
-    return (F.when(F.col("lead_value") > F.col("tail_value"), F.col("lead_supplier"))
-            .when(F.col("tail_value") > F.col("lead_value"), F.col("tail_supplier"))
+    return (F.when(F.col("lead_cents") > F.col("tail_cents"), F.col("lead_supplier"))
+            .when(F.col("tail_cents") > F.col("lead_cents"), F.col("tail_supplier"))
             .otherwise("Draw"))
 
 
@@ -83,12 +83,12 @@ def current_assortment(t: Tables) -> DataFrame:
 def supplier_performance(t: Tables, year: int = YEAR) -> DataFrame:
     placed = b.order_dim(t).where(in_year("o_orderdate", year)).select("order_key")
     scored = (b.matchups(t).join(placed, "order_key").groupBy("lead_key").agg(
-        F.count("*").alias("total_orders"), F.sum("lead_value").alias("_value"),
-        F.count_if(F.col("lead_value") > F.col("tail_value")).alias("wins"),
-        F.count_if(F.col("lead_value") == F.col("tail_value")).alias("draws"),
-        F.count_if(F.col("lead_value") < F.col("tail_value")).alias("losses")))
+        F.count("*").alias("total_orders"), F.sum("lead_cents").alias("_cents"),
+        F.count_if(F.col("lead_cents") > F.col("tail_cents")).alias("wins"),
+        F.count_if(F.col("lead_cents") == F.col("tail_cents")).alias("draws"),
+        F.count_if(F.col("lead_cents") < F.col("tail_cents")).alias("losses")))
     dim = b.supplier_dim(t).select(F.col("supp_key").alias("lead_key"), "supplier_name")
-    value = F.col("_value").cast("double")
+    value = b.money("_cents")
     return scored.join(dim, "lead_key").select(
         "supplier_name", "total_orders", value.alias("total_value"),
         (value / F.col("total_orders")).alias("avg_value"), "wins", "draws", "losses")
@@ -109,8 +109,8 @@ def order_results_by_priority(t: Tables, year: int = YEAR, priority: str | None
     placed = placed.select("order_key", "priority", "order_date")
     return named_sides(t, b.matchups(t).join(placed, "order_key")).select(
         "priority", order_id().alias("order_id"), "order_date", "lead_supplier", "tail_supplier",
-        F.col("lead_value").cast("double").alias("lead_value"),
-        F.col("tail_value").cast("double").alias("tail_value"), winner().alias("winner"))
+        b.money("lead_cents").alias("lead_value"),
+        b.money("tail_cents").alias("tail_value"), winner().alias("winner"))
 
 
 @query("part_trajectory", sql("""
@@ -145,8 +145,8 @@ def head_to_head(t: Tables, a: str | None = None, c: str | None = None) -> DataF
         F.least("lead_supplier", "tail_supplier").alias("supplier_a"),
         F.greatest("lead_supplier", "tail_supplier").alias("supplier_b"),
         order_id().alias("order_id"), "order_date", "lead_supplier", "tail_supplier",
-        F.col("lead_value").cast("double").alias("lead_value"),
-        F.col("tail_value").cast("double").alias("tail_value"), "priority",
+        b.money("lead_cents").alias("lead_value"),
+        b.money("tail_cents").alias("tail_value"), "priority",
         winner().alias("winner"))
     if a is not None and c is not None:
         low, high = sorted((a, c))
@@ -340,7 +340,7 @@ def move_chain(t: Tables, as_of=b.AS_OF) -> DataFrame:
     places = b.supplier_dim(t).select("supp_key", "region")
     return ranked.join(places, "supp_key").select(
         part_id().alias("part_id"), "move_rank", supplier_id().alias("supplier_id"), "region",
-        "start_date", "end_date", F.col("value").cast("double").alias("value"),
+        "start_date", "end_date", b.money("cents").alias("value"),
         tenure_days(F.col("start_date"), F.col("end_date"), as_of).cast("bigint").alias("days"),
         F.concat_ws(" → ", supplier_id("prev_member"), supplier_id()).alias("step"))
 

@@ -199,10 +199,10 @@ def orders_in_year(t: Tables, year: int = 1998) -> DataFrame:
 def order_results(t: Tables) -> DataFrame:
     from kgspark.plans.concrete import named_sides
     rows = b.order_dim(t).select("order_key", "order_date").join(b.order_sides(t), "order_key", "left")
-    lead, tail = F.col("lead_value"), F.col("tail_value")
+    lead, tail = F.col("lead_cents"), F.col("tail_cents")
     return named_sides(t, rows, "left").select(
         typed_id("ORDER", "order_key").alias("order_id"), "order_date", "lead_supplier",
-        "tail_supplier", lead.cast("double").alias("lead_value"), tail.cast("double").alias("tail_value"),
+        "tail_supplier", b.money(lead).alias("lead_value"), b.money(tail).alias("tail_value"),
         F.when(lead > tail, "LEAD_WIN").when(lead < tail, "TAIL_WIN").otherwise("DRAW").alias("result"))
 
 

@@ -366,7 +366,7 @@ def moves_for_supplier(t: Tables, supplier: int | None = None, first=dt.date(199
         rows = rows.where(F.col("supp_key") == supplier)
     return rows.join(b.part_dim(t), "part_key").select(
         supplier_id().alias("supplier_id"), part_id().alias("other_id"), F.col("part_name").alias("name"),
-        "start_date", "end_date", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+        "start_date", "end_date", F.coalesce(b.money("cents"), F.lit(0.0)).alias("value"))
 
 
 @query("moves_for_part", sql("""
@@ -379,7 +379,7 @@ def moves_for_part(t: Tables, part: int | None = None, first=None, last=None) ->
         rows = rows.where(F.col("part_key") == part)
     return rows.join(b.supplier_dim(t), "supp_key").select(
         part_id().alias("part_id"), supplier_id().alias("other_id"), F.col("supplier_name").alias("name"),
-        "start_date", "end_date", F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+        "start_date", "end_date", F.coalesce(b.money("cents"), F.lit(0.0)).alias("value"))
 
 
 @query("temporal_evolution", sql("""
@@ -387,10 +387,10 @@ def moves_for_part(t: Tables, part: int | None = None, first=None, last=None) ->
            COUNT(DISTINCT supp_key) AS unique_suppliers, CAST(SUM(value) AS DOUBLE) AS total_value
     FROM supplied_by GROUP BY 1""", "supplied_by"))
 def temporal_evolution(t: Tables, first=None, last=None) -> DataFrame:
-    yearly = temporal.evolution(temporal.within(b.supplied_by(t), first, last), "part_key", "supp_key", "value")
+    yearly = temporal.evolution(temporal.within(b.supplied_by(t), first, last), "part_key", "supp_key", "cents")
     return yearly.select("year", F.col("entities").alias("unique_parts"),
                          F.col("members").alias("unique_suppliers"),
-                         F.col("total").cast("double").alias("total_value"))
+                         b.money("total").alias("total_value"))
 
 
 @query("temporal_trends", sql("""

@@ -408,14 +408,14 @@ def concrete_model(t: Tables) -> SemanticModel:
                Join("lead_supplier", "sides", "lead", "lead_key", "supp_key"),
                Join("tail_supplier", "sides", "tail", "tail_key", "supp_key"),
                Join("order_customer", "order", "customer", "cust_key", "cust_key")])
-    money = F.sum("value")
+    total = b.money(F.sum("cents"))
     m.add_metric("total_returned", "in_order", F.sum("returned"))
     m.add_metric("total_accepted", "in_order", F.sum("accepted"))
     m.add_metric("avg_quantity", "in_order", F.sum("quantity").cast("double") / F.count("quantity"))
     m.add_metric("part_count", "in_order", F.count_distinct("part_key"))
     m.add_metric("order_count", "in_order", F.count_distinct("order_key"))
-    m.add_metric("total_value", "supplied_by", money.cast("double"))
-    m.add_metric("avg_value", "supplied_by", money.cast("double") / F.count("value"))
+    m.add_metric("total_value", "supplied_by", total)
+    m.add_metric("avg_value", "supplied_by", total / F.count("cents"))
     m.add_metric("total_not_returned", "in_order", F.sum("not_returned"))
     m.add_metric("total_lines", "supplied_by", F.sum("lines"))
     m.add_filter("active_tenures", "supplied_by", F.col("end_date").isNull() | (F.col("end_date") >= F.lit(b.AS_OF)))
