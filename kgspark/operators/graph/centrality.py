@@ -1,4 +1,4 @@
-"""Centralities of undirected, unweighted graphs given by pair edges.
+"""Centralities of undirected, unweighted graphs; hub graphs are projected first.
 
 Definitions: degree and closeness after Freeman with the usual correction for several
 components, betweenness after Brandes (2001), eigenvector after Bonacich (1972).
@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from kgspark.operators.graph.build import Graph
+from kgspark.operators.graph.build import Graph, Neighbours, project
 from kgspark.session import cut_lineage
 
 # fixed values: iteration cap and tolerance of the power iteration
@@ -20,13 +20,17 @@ TOLERANCE = 1e-6
 SOURCES_PER_BATCH = 4096
 
 
+def _neighbours(graph: Graph) -> Neighbours:
+    return Neighbours(project(graph) if graph.members is not None else graph)
+
+
 def degree(graph: Graph) -> DataFrame:
     """degree / (n - 1); isolated nodes score 0."""
     n = graph.nodes.agg(F.count("*")).scalar()
-    ends = graph.pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(
-        F.count("*").alias("deg"))
-    return graph.nodes.select("id").join(ends, "id", "left").select(
-        "id", F.coalesce(F.col("deg") / (n - 1), F.lit(0.0)).alias("score"))
+    ones = graph.nodes.select(F.col("id").alias("node"), F.lit(1).cast("bigint").alias("v"))
+    counted = _neighbours(graph).total(ones).select(F.col("node").alias("id"), "v")
+    return graph.nodes.select("id").join(counted, "id", "left").select(
+        "id", F.coalesce(F.col("v") / (n - 1), F.lit(0.0)).alias("score"))
 
 
 def _batches(graph: Graph, per_batch: int):
@@ -38,17 +42,15 @@ def _batches(graph: Graph, per_batch: int):
         yield nodes.where(F.pmod(F.xxhash64("source"), F.lit(parts)) == i)
 
 
-def _sigma_levels(sources: DataFrame, adjacency: DataFrame) -> list[DataFrame]:
+def _sigma_levels(sources: DataFrame, around: Neighbours) -> list[DataFrame]:
     """Levels (source, node, sigma) with sigma the number of shortest paths from the source."""
     levels = [cut_lineage(sources.select("source", F.col("source").alias("node"),
                                          F.lit(1.0).alias("sigma")))]
     while True:
-        last = levels[-2:]
-        seen = reduce(DataFrame.unionByName, [x.select("source", "node") for x in last])
-        nxt = (levels[-1].select("source", F.col("node").alias("src"), "sigma").join(adjacency, "src")
-               .groupBy("source", F.col("dst").alias("node")).agg(F.sum("sigma").alias("sigma"))
-               .join(seen, ["source", "node"], "left_anti"))
-        nxt = cut_lineage(nxt)
+        seen = reduce(DataFrame.unionByName, [x.select("source", "node") for x in levels[-2:]])
+        values = levels[-1].withColumnRenamed("sigma", "v")
+        nxt = around.total(values, ("source",)).join(seen, ["source", "node"], "left_anti")
+        nxt = cut_lineage(nxt.withColumnRenamed("v", "sigma"))
         if nxt.isEmpty():
             return levels
         levels.append(nxt)
@@ -57,25 +59,13 @@ def _sigma_levels(sources: DataFrame, adjacency: DataFrame) -> list[DataFrame]:
 def closeness(graph: Graph, per_batch: int = SOURCES_PER_BATCH) -> DataFrame:
     """(r-1)/sum(d) * (r-1)/(n-1) with r the reachable nodes including the node itself.
 
-    Only (source, node) pairs travel; each level adds its counts per source.
+    Each level of a batch adds its counts per source; only two levels are looked back at.
     """
-    adjacency = cut_lineage(graph.adjacency())
+    around = _neighbours(graph)
     sums = []
     for sources in _batches(graph, per_batch):
-        levels = [cut_lineage(sources.select("source", F.col("source").alias("node")))]
-        counts, depth = [], 0
-        while True:
-            depth += 1
-            seen = reduce(DataFrame.unionByName, levels[-2:])
-            nxt = (levels[-1].select("source", F.col("node").alias("src")).join(adjacency, "src")
-                   .select("source", F.col("dst").alias("node")).distinct()
-                   .join(seen, ["source", "node"], "left_anti"))
-            nxt = cut_lineage(nxt)
-            if nxt.isEmpty():
-                break
-            levels.append(nxt)
-            counts.append(nxt.groupBy("source").agg(F.count("*").alias("r"),
-                                                    (F.count("*") * depth).alias("d")))
+        counts = [level.groupBy("source").agg(F.count("*").alias("r"), (F.count("*") * depth).alias("d"))
+                  for depth, level in enumerate(_sigma_levels(sources, around)) if depth]
         if counts:
             sums.append(cut_lineage(reduce(DataFrame.unionByName, counts).groupBy("source").agg(
                 F.sum("r").alias("r"), F.sum("d").alias("d"))))
@@ -91,10 +81,10 @@ def closeness(graph: Graph, per_batch: int = SOURCES_PER_BATCH) -> DataFrame:
 
 def betweenness(graph: Graph, per_batch: int = SOURCES_PER_BATCH) -> DataFrame:
     """Share of shortest paths through each node, scaled by 2/((n-1)(n-2))."""
-    adjacency = cut_lineage(graph.adjacency())
+    around = _neighbours(graph)
     parts = []
     for sources in _batches(graph, per_batch):
-        levels = _sigma_levels(sources, adjacency)
+        levels = _sigma_levels(sources, around)
         delta = levels[-1].select("source", "node", "sigma", F.lit(0.0).alias("delta"))
         gathered = []
         for depth in range(len(levels) - 1, 0, -1):
@@ -102,10 +92,8 @@ def betweenness(graph: Graph, per_batch: int = SOURCES_PER_BATCH) -> DataFrame:
             if depth == 1:
                 break
             # each child passes (1 + delta) / sigma to its parents one level up
-            offers = (delta.select("source", F.col("node").alias("src"),
-                                   ((1 + F.col("delta")) / F.col("sigma")).alias("c"))
-                      .join(adjacency, "src").groupBy("source", F.col("dst").alias("node"))
-                      .agg(F.sum("c").alias("c")))
+            share = ((1 + F.col("delta")) / F.col("sigma")).alias("v")
+            offers = around.total(delta.select("source", "node", share), ("source",)).withColumnRenamed("v", "c")
             delta = cut_lineage(levels[depth - 1].join(offers, ["source", "node"], "left").select(
                 "source", "node", "sigma",
                 F.coalesce(F.col("sigma") * F.col("c"), F.lit(0.0)).alias("delta")))
@@ -129,14 +117,14 @@ def eigenvector(graph: Graph, max_steps: int = MAX_STEPS, tolerance: float = TOL
 
     Only two scalars per step reach the driver.
     """
-    adjacency = cut_lineage(graph.adjacency())
+    around = _neighbours(graph)
     n = graph.nodes.count()
     if n == 0:
         return graph.nodes.select("id").withColumn("score", F.lit(0.0))
     state = cut_lineage(graph.nodes.select("id", F.lit(1.0 / n).alias("score")))
     for _ in range(max_steps):
-        passed = state.select(F.col("id").alias("src"), "score").join(adjacency, "src").select(
-            F.col("dst").alias("id"), F.lit(0.0).alias("prev"), F.col("score").alias("add"))
+        passed = around.total(state.select(F.col("id").alias("node"), F.col("score").alias("v"))).select(
+            F.col("node").alias("id"), F.lit(0.0).alias("prev"), F.col("v").alias("add"))
         own = state.select("id", F.col("score").alias("prev"), F.col("score").alias("add"))
         raw = cut_lineage(own.unionByName(passed).groupBy("id").agg(
             F.sum("prev").alias("prev"), F.sum("add").alias("raw")))

@@ -323,6 +323,21 @@ def centrality_betweenness(t: Tables) -> DataFrame:
     return _scores(centrality.betweenness(load_graph(t, "supplier")))
 
 
+@query("centrality_degree_part", f"""
+    SELECT 'PART:' || p_partkey AS id, ROUND(COALESCE(n, 0) / ((SELECT COUNT(*) FROM part) - 1), 9) AS score
+    FROM part LEFT JOIN (SELECT a, COUNT(*) AS n FROM ({CO_ORDER_ADJ}) GROUP BY a) d ON d.a = p_partkey""")
+def centrality_degree_part(t: Tables, relations=("order",)) -> DataFrame:
+    """Degree of every part among the parts it shares an order with."""
+    scores = centrality.degree(load_graph(t, "part", relations))
+    return scores.select(part_id("id").alias("id"), F.round("score", 9).alias("score"))
+
+
+@query("centrality_eigenvector_part")
+def centrality_eigenvector_part(t: Tables, relations=("order",)) -> DataFrame:
+    scores = centrality.eigenvector(load_graph(t, "part", relations))
+    return scores.select(part_id("id").alias("id"), F.round("score", 9).alias("score"))
+
+
 @query("centrality_eigenvector")
 def centrality_eigenvector(t: Tables) -> DataFrame:
     return _scores(centrality.eigenvector(load_graph(t, "supplier")))
@@ -332,11 +347,13 @@ def centrality_eigenvector(t: Tables) -> DataFrame:
     SELECT 'SUPPLIER:' || s_suppkey AS id, s_name AS name, ROUND(n / ({N_SUPPLIERS} - 1), 9) AS score
     FROM supplier JOIN (SELECT a, COUNT(*) AS n FROM adj GROUP BY a) d ON d.a = s_suppkey
     ORDER BY n DESC, s_suppkey LIMIT 10""", "matchups", extra={"adj": SUPPLIER_ADJ}))
-def centrality_top(t: Tables, method: str = "degree", top_n: int = 10) -> DataFrame:
-    """Top suppliers by a centrality, with their names."""
-    top = centrality.top_central(load_graph(t, "supplier"), method, top_n)
-    names = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return top.join(names, "id").select(supplier_id("id").alias("id"), "name",
+def centrality_top(t: Tables, graph_type: str = "supplier", method: str = "degree",
+                   top_n: int = 10, relations=None) -> DataFrame:
+    """Top parts or suppliers by a centrality, with their names."""
+    top = centrality.top_central(load_graph(t, graph_type, relations), method, top_n)
+    key, name = {"part": ("p_partkey", "p_name"), "supplier": ("s_suppkey", "s_name")}[graph_type]
+    names = t.read(graph_type).select(F.col(key).alias("id"), F.col(name).alias("name"))
+    return top.join(names, "id").select(typed_id(graph_type.upper(), "id").alias("id"), "name",
                                         F.round("score", 9).alias("score"))
 
 

@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 
 from kgspark.operators.graph import centrality, community, traverse
-from kgspark.operators.graph.build import (Graph, canonical_pairs, first_relation_wins, hub_sizes,
-                                           memberships)
+from kgspark.operators.graph.build import (Graph, Neighbours, canonical_pairs, first_relation_wins,
+                                           hub_sizes, memberships, project)
 
 # a 4-cycle with a tail, a triangle apart from it, and an isolated node
 EDGES = [(0, 1), (1, 2), (2, 3), (0, 3), (3, 4), (4, 5), (10, 11), (11, 12), (10, 12)]
@@ -201,3 +201,36 @@ def test_building(spark):
     rows = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (3, 8)], "n bigint, h bigint")
     assert sorted((r.hub, r.members, r.pairs) for r in hub_sizes(memberships(rows, "n", "h", "k")).collect()) == [
         (7, 2, 1), (8, 1, 0)]
+
+
+@pytest.mark.parametrize("hot_hub", [0, 2, 3, 100])
+def test_projection_counts_each_neighbour_once(hub_graph, spark, hot_hub):
+    """The same neighbour sums whichever hubs are spelled out and whichever are classes."""
+    graph, adj, nodes = hub_graph
+    around = Neighbours(project(graph, hot_hub))
+    values = spark.createDataFrame([("k", n, float(n + 1)) for n in nodes], "source string, node bigint, v double")
+    got = {r.node: r.v for r in around.total(values, ("source",)).collect() if abs(r.v) > 1e-9}
+    assert got == {n: pytest.approx(sum(m + 1 for m in adj[n])) for n in nodes if adj[n]}
+
+
+def test_hub_graph_centralities(hub_graph, monkeypatch):
+    graph, adj, nodes = hub_graph
+    monkeypatch.setattr("kgspark.operators.graph.centrality.project", lambda g: project(g, 3))
+    assert scores(centrality.degree(graph)) == {n: len(adj[n]) / 14 for n in nodes}
+    got = scores(centrality.closeness(graph))
+    between = scores(centrality.betweenness(graph))
+    info = {n: search(adj, n) for n in nodes}
+    for n in nodes:
+        r, total = len(info[n][0]) - 1, sum(info[n][0].values())
+        assert got[n] == pytest.approx(r / total * r / 14 if total else 0.0)
+        share = sum(info[s][1][n] * info[n][1][t] / info[s][1][t]
+                    for s, t in itertools.combinations(nodes, 2)
+                    if n not in (s, t) and t in info[s][0] and n in info[s][0] and t in info[n][0]
+                    and info[s][0][n] + info[n][0][t] == info[s][0][t])
+        assert between[n] == pytest.approx(share * 2 / (14 * 13))
+
+
+def test_louvain_refuses_unspelled_hubs(hub_graph, monkeypatch):
+    monkeypatch.setattr("kgspark.operators.graph.community.project", lambda g: project(g, 2))
+    with pytest.raises(ValueError):
+        community.louvain(hub_graph[0])

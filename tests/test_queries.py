@@ -36,7 +36,8 @@ def con():
 def test_contract(spark):
     registered, checks = entry_module.queries(), entry_module.oracle_sql()
     assert set(checks) <= set(registered)
-    assert set(registered) - set(checks) == {"centrality_eigenvector", "community_louvain", "community_sizes"}
+    assert set(registered) - set(checks) == {
+        "centrality_eigenvector", "centrality_eigenvector_part", "community_louvain", "community_sizes"}
     assert entry_module.entry(spark).limit(1).count() == 1
 
 
