@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from kgspark.functions.ids import raw_key, type_of
 from kgspark.functions.intervals import active_as_of
-from kgspark.functions.props import prop
+from kgspark.functions.props import bounded_list, prop
 from kgspark.operators.ontology import class_of_type, descendants
 
 # fixed values: the texts of the violation log
@@ -158,15 +158,13 @@ def check_unique_ids(nodes: DataFrame, typed: bool = True) -> DataFrame:
     across node types."""
     key = F.col("node_id") if typed else raw_key("node_id")
     return (nodes.groupBy(key.alias("id")).agg(F.count("*").alias("nodes"),
-                                               F.min("node_type").alias("first_type"),
-                                               F.max("node_type").alias("last_type"))
+                                               bounded_list("node_type").alias("node_types"))
             .where("nodes > 1"))
 
 
 def violation_summary(violations: DataFrame) -> DataFrame:
     """Violations per check; the texts are listed with their numbers blanked, which keeps
     the list as short as the set of message kinds."""
-    from kgspark.functions.props import bounded_list
     return violations.groupBy("check_name", "scope", "rel_or_class").agg(
         F.count("*").alias("violation_count"),
         bounded_list(F.regexp_replace("details", "[0-9]+", "n"), "; ").alias("violation_types"))

@@ -102,16 +102,18 @@ REL_COLS = "link_type, from_object_type, to_object_type, cardinality, is_hierarc
                GROUP BY 1, 2) GROUP BY 1) i ON i.edge_type = link_type""", "edges",
                                extra={"r": values(REL_ROWS, REL_COLS)}))
 def relation_catalog(t: Tables) -> DataFrame:
-    """Declared cardinality next to the observed one; a hot endpoint is one counted row."""
-    edges = b.kg_edges(t)
-    out = edges.groupBy("edge_type", "src_id").agg(F.count("*").alias("n")).groupBy("edge_type").agg(
-        F.sum("n").alias("edges"), F.max("n").alias("max_out"))
-    into = edges.groupBy("edge_type", "dst_id").agg(F.count("*").alias("n")).groupBy("edge_type").agg(
-        F.max("n").alias("max_in"))
+    """Declared cardinality next to the observed one; one pass, a hot endpoint is one counted row."""
+    ends = b.kg_edges(t).select("edge_type", F.explode(F.array(
+        F.struct(F.lit(True).alias("out"), F.col("src_id").alias("id")),
+        F.struct(F.lit(False).alias("out"), F.col("dst_id").alias("id")))).alias("end"))
+    counts = (ends.groupBy(F.col("edge_type").alias("link_type"), "end.out", "end.id")
+              .agg(F.count("*").alias("n")).groupBy("link_type").agg(
+        F.sum(F.when(F.col("out"), F.col("n"))).alias("edges"),
+        F.max(F.when(F.col("out"), F.col("n"))).alias("max_out"),
+        F.max(F.when(~F.col("out"), F.col("n"))).alias("max_in")))
     catalog = t.spark.createDataFrame(REL_ROWS, "link_type string, from_object_type string, "
                                       "to_object_type string, cardinality string, is_hierarchical boolean, "
                                       "inverse_rel_name string")
-    counts = out.join(into, "edge_type").withColumnRenamed("edge_type", "link_type")
     return catalog.join(counts, "link_type", "left")
 
 

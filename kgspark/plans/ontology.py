@@ -351,8 +351,9 @@ def check_required_props(t: Tables) -> DataFrame:
 
 
 @query("check_unique_ids", sql("""
-    SELECT split_part(node_id, ':', 2) AS id, COUNT(*) AS nodes, MIN(node_type) AS first_type,
-           MAX(node_type) AS last_type FROM node_keys GROUP BY 1 HAVING COUNT(*) > 1""", "node_keys"))
+    SELECT split_part(node_id, ':', 2) AS id, COUNT(*) AS nodes,
+           STRING_AGG(DISTINCT node_type, ', ' ORDER BY node_type) AS node_types
+    FROM node_keys GROUP BY 1 HAVING COUNT(*) > 1""", "node_keys"))
 def check_unique_ids(t: Tables) -> DataFrame:
     """Bare keys shared by several nodes: why ids carry their type."""
     return q.check_unique_ids(b.node_keys(t), typed=False)
