@@ -20,29 +20,26 @@ def _through_hubs(frontier: DataFrame, graph: Graph, used_hubs: DataFrame | None
 
 
 def _level(found: list[DataFrame], previous: list[DataFrame], depth: int) -> DataFrame:
-    """New nodes with their smallest (parent, kind, via). In an undirected graph a neighbour
-    of level d lies in d-1, d or d+1, so only the last two levels must be excluded."""
-    step = F.struct("parent", "kind", "via")
+    """New nodes with their smallest parent. In an undirected graph a neighbour of level d
+    lies in d-1, d or d+1, so only the last two levels must be excluded."""
     merged = reduce(DataFrame.unionByName, found)
     fresh = merged.join(reduce(DataFrame.unionByName, [p.select("source", "node") for p in previous]),
                         ["source", "node"], "left_anti")
-    return cut_lineage(fresh.groupBy("source", "node").agg(F.min(step).alias("s")).select(
-        "source", "node", F.lit(depth).alias("dist"), "s.parent", "s.kind", "s.via"))
+    return cut_lineage(fresh.groupBy("source", "node").agg(
+        F.lit(depth).alias("dist"), F.min("parent").alias("parent")))
 
 
 def bfs_levels(graph: Graph, sources: DataFrame, max_depth: int | None = None,
                targets: DataFrame | None = None) -> list[DataFrame]:
-    """Levels of a multi-source search: (source, node, dist, parent, kind, via).
+    """Levels of a multi-source search: (source, node, dist, parent).
 
     ``sources`` has column source; ``targets`` (source, target) stops the search as soon
     as every target is reached. A hub is expanded once per source, so each membership
     row is read at most twice per source.
     """
     start = sources.distinct().join(graph.nodes.select(F.col("id").alias("source")), "source", "left_semi")
-    none = F.lit(None)
-    levels = [cut_lineage(start.select(
-        "source", F.col("source").alias("node"), F.lit(0).alias("dist"), none.cast("bigint").alias("parent"),
-        none.cast("string").alias("kind"), none.cast("bigint").alias("via")))]
+    levels = [cut_lineage(start.select("source", F.col("source").alias("node"), F.lit(0).alias("dist"),
+                                       F.lit(None).cast("bigint").alias("parent")))]
     adjacency = graph.adjacency() if graph.pairs is not None else None
     hubs, open_targets, depth = None, targets, 0
     while max_depth is None or depth < max_depth:
@@ -56,13 +53,11 @@ def bfs_levels(graph: Graph, sources: DataFrame, max_depth: int | None = None,
         found = []
         if adjacency is not None:
             found.append(frontier.select("source", F.col("node").alias("src")).join(adjacency, "src").select(
-                "source", F.col("dst").alias("node"), F.col("src").alias("parent"),
-                none.cast("string").alias("kind"), none.cast("bigint").alias("via")))
+                "source", F.col("dst").alias("node"), F.col("src").alias("parent")))
         if graph.members is not None:
             # hubs of the level before last cannot touch the frontier again
             hubs = _through_hubs(frontier, graph, hubs)
-            found.append(hubs.join(graph.members, ["kind", "hub"]).select(
-                "source", "node", "parent", "kind", F.col("hub").alias("via")))
+            found.append(hubs.join(graph.members, ["kind", "hub"]).select("source", "node", "parent"))
         level = _level(found, levels[-2:], depth)
         if level.isEmpty():
             break
@@ -71,42 +66,68 @@ def bfs_levels(graph: Graph, sources: DataFrame, max_depth: int | None = None,
 
 
 def distances(levels: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, levels).select("source", "node", "dist")
+    return all_levels(levels).select("source", "node", "dist")
+
+
+def all_levels(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, levels)
+
+
+def with_hubs(steps: DataFrame, graph: Graph) -> DataFrame:
+    """Add kind and via, the smallest hub that a step's parent and node share; looked up
+    for the given steps only, so that searches need not carry hubs along."""
+    none = {"kind": F.lit(None).cast("string"), "via": F.lit(None).cast("bigint")}
+    if graph.members is None:
+        return steps.withColumns(none)
+    of_node = steps.select("parent", "node").where("parent IS NOT NULL").distinct().join(graph.members, "node")
+    shared = of_node.join(graph.members.withColumnRenamed("node", "parent"), ["parent", "kind", "hub"])
+    first = shared.groupBy("parent", "node").agg(F.min(F.struct("kind", "hub")).alias("h")).select(
+        "parent", "node", "h.kind", F.col("h.hub").alias("via"))
+    return steps.join(first, ["parent", "node"], "left")
 
 
 def walk_back(levels: list[DataFrame], pairs: DataFrame) -> DataFrame:
-    """Paths for reached (source, target) pairs: dist and steps, an array of
-    (node, kind, via) from source to target; via is the hub entered to reach the node."""
+    """Paths for reached (source, target) pairs: dist and path, the node ids from the source on."""
     ends = pairs.join(distances(levels).withColumnRenamed("node", "target"), ["source", "target"])
-    empty = F.expr("array()").cast("array<struct<node:bigint,kind:string,via:bigint>>")
-    paths = ends.select("source", "target", "dist", F.col("target").alias("node"), empty.alias("steps"))
+    paths = ends.select("source", "target", "dist", F.col("target").alias("node"),
+                        F.array("target").alias("path"))
     for level in reversed(levels[1:]):
-        hop = level.select("source", "node", "parent", "kind", "via")
-        joined = paths.join(hop, ["source", "node"], "left")
-        on_level = F.col("parent").isNotNull()
+        joined = paths.join(level.select("source", "node", "parent"), ["source", "node"], "left")
         paths = joined.select(
             "source", "target", "dist", F.coalesce("parent", "node").alias("node"),
-            F.when(on_level, F.concat(F.array(F.struct("node", "kind", "via")), F.col("steps")))
-            .otherwise(F.col("steps")).alias("steps"))
-    root = F.array(F.struct(F.col("node"), F.lit(None).cast("string").alias("kind"),
-                            F.lit(None).cast("bigint").alias("via")))
-    return paths.select("source", "target", "dist", F.concat(root, F.col("steps")).alias("steps"))
-
-
-def shortest_paths(graph: Graph, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """One row per (source, target): status OK, NO_PATH or UNKNOWN_NODE, dist and steps.
-    Among equal paths the smallest parent at every step counted from the target wins."""
+            F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), F.col("path")))
+            .otherwise(F.col("path")).alias("path"))
+    return paths.select("source", "target", "dist", "path")
+
+
+def name_steps(paths: DataFrame, graph: Graph) -> DataFrame:
+    """Add steps, the path as (node, kind, via) with the hub entered to reach each node.
+    Rows are collected per path, so no longer than the path itself."""
+    hops = paths.select("source", "target", "path", F.posexplode("path").alias("pos", "node")).select(
+        "source", "target", "pos", "node", F.when(F.col("pos") > 0, F.col("path")[F.col("pos") - 1]).alias("parent"))
+    steps = with_hubs(hops, graph).groupBy("source", "target").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "node", "kind", "via"))).alias("steps"))
+    return paths.join(steps, ["source", "target"], "left")
+
+
+def shortest_paths(graph: Graph, pairs: DataFrame, max_depth: int | None = None,
+                   name_hubs: bool = False) -> DataFrame:
+    """One row per (source, target): status OK, NO_PATH or UNKNOWN_NODE, distance and path,
+    and on request steps with the hubs. Among equal paths the smallest parent at every
+    step counted from the target wins."""
     pairs = cut_lineage(pairs.select("source", "target").distinct())
     known = graph.nodes.select("id")
     valid = pairs.join(known, F.col("target") == F.col("id"), "left_semi")
     levels = bfs_levels(graph, valid.select("source"), max_depth, valid)
     found = walk_back(levels, valid)
+    if name_hubs:
+        found = name_steps(found, graph)
     known_both = valid.join(known, F.col("source") == F.col("id"), "left_semi").withColumn("known", F.lit(True))
     return (pairs.join(known_both, ["source", "target"], "left")
             .join(found, ["source", "target"], "left")
-            .select("source", "target",
-                    F.when(F.col("known").isNull(), "UNKNOWN_NODE").when(F.col("dist").isNull(), "NO_PATH")
-                    .otherwise("OK").alias("status"), F.col("dist").alias("distance"), "steps"))
+            .withColumn("status", F.when(F.col("known").isNull(), "UNKNOWN_NODE")
+                        .when(F.col("dist").isNull(), "NO_PATH").otherwise("OK"))
+            .withColumnRenamed("dist", "distance").drop("known"))
 
 
 def weighted_distances(graph: Graph, weights: DataFrame, sources: DataFrame) -> DataFrame:

@@ -140,17 +140,14 @@ def bfs_distances(t: Tables, source: int = START_PART) -> DataFrame:
     """Distance of every part reached from one part through shared orders."""
     graph = load_graph(t, "part", ("order",))
     seeds = t.spark.createDataFrame([(source,)], "source bigint")
-    levels = traverse.bfs_levels(graph, seeds)
-    rows = levels[0]
-    for level in levels[1:]:
-        rows = rows.unionByName(level)
+    rows = traverse.all_levels(traverse.bfs_levels(graph, seeds))
     return rows.select(part_id("source").alias("source_id"), part_id("node").alias("id"),
                        F.col("dist").alias("distance"), part_id("parent").alias("parent_id"))
 
 
 def node_path(node_type: str):
     """Path of typed ids, source first."""
-    return F.array_join(F.transform("steps", lambda s: typed_id(node_type, s["node"])), " -> ")
+    return F.array_join(F.transform("path", lambda n: typed_id(node_type, n)), " -> ")
 
 
 def _path_rows(found: DataFrame, node_type: str) -> DataFrame:
@@ -228,11 +225,8 @@ def supplier_network_depth(t: Tables, start: int = START_SUPPLIER,
     graph = Graph(t.supplier.select(F.col("s_suppkey").alias("id")),
                   members=cut_lineage(memberships(t.lineitem, "l_suppkey", "l_partkey", "part")))
     seeds = t.spark.createDataFrame([(start,)], "source bigint")
-    levels = traverse.bfs_levels(graph, seeds, max_degrees)
-    rows = levels[0]
-    for level in levels[1:]:
-        rows = rows.unionByName(level)
-    return rows.where("dist > 0").select(
+    rows = traverse.all_levels(traverse.bfs_levels(graph, seeds, max_degrees)).where("dist > 0")
+    return traverse.with_hubs(rows, graph).select(
         supplier_id("node").alias("supplier_id"), F.col("dist").alias("degree"),
         part_id("via").alias("via_part"), supplier_id("parent").alias("parent_id"))
 
@@ -245,7 +239,7 @@ def supplier_network_paths(t: Tables, start: int, max_degrees: int = MAX_SUPPLIE
     pairs = traverse.distances(levels).where("dist > 0").select("source", F.col("node").alias("target"))
     step = F.transform("steps", lambda s: F.when(s["via"].isNull(), typed_id("SUPPLIER", s["node"])).otherwise(
         F.concat(F.lit("("), typed_id("PART", s["via"]), F.lit(") → "), typed_id("SUPPLIER", s["node"]))))
-    return traverse.walk_back(levels, pairs).select(
+    return traverse.name_steps(traverse.walk_back(levels, pairs), graph).select(
         supplier_id("target").alias("supplier_id"), F.col("dist").alias("degree"),
         F.array_join(step, " → ").alias("path"))
 
@@ -263,7 +257,7 @@ def supplier_network_paths(t: Tables, start: int, max_degrees: int = MAX_SUPPLIE
 def connection_path(t: Tables, source: int = START_PART, target: int = END_PART) -> DataFrame:
     """How two parts connect through shared suppliers, with the suppliers on the way."""
     pair = t.spark.createDataFrame([(source, target)], "source bigint, target bigint")
-    found = traverse.shortest_paths(load_graph(t, "part", ("supplier",)), pair, MAX_PART_HOPS)
+    found = traverse.shortest_paths(load_graph(t, "part", ("supplier",)), pair, MAX_PART_HOPS, name_hubs=True)
     step = F.transform("steps", lambda s: F.when(s["via"].isNull(), typed_id("PART", s["node"])).otherwise(
         F.concat(typed_id("SUPPLIER", s["via"]), F.lit(" → "), typed_id("PART", s["node"]))))
     return found.select(part_id("source").alias("source_id"), part_id("target").alias("target_id"), "status",

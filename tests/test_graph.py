@@ -164,7 +164,7 @@ def test_bfs_depth_bound(graph, spark):
 def test_shortest_paths(graph, spark):
     pairs = spark.createDataFrame([(0, 5), (0, 2), (0, 10), (0, 77), (77, 0), (4, 4)],
                                   "source bigint, target bigint")
-    rows = {(r.source, r.target): (r.status, r.distance, [s.node for s in r.steps] if r.steps else None)
+    rows = {(r.source, r.target): (r.status, r.distance, r.path)
             for r in traverse.shortest_paths(graph, pairs).collect()}
     assert rows == {(0, 5): ("OK", 3, [0, 3, 4, 5]), (0, 2): ("OK", 2, [0, 1, 2]),
                     (0, 10): ("NO_PATH", None, None), (0, 77): ("UNKNOWN_NODE", None, None),
@@ -176,7 +176,7 @@ def test_paths_name_the_hubs(spark):
                                     "node bigint, kind string, hub bigint")
     graph = Graph(spark.createDataFrame([(1,), (2,), (3,)], "id bigint"), members=members)
     pair = spark.createDataFrame([(1, 3)], "source bigint, target bigint")
-    row = traverse.shortest_paths(graph, pair).first()
+    row = traverse.shortest_paths(graph, pair, name_hubs=True).first()
     assert [(s.node, s.via) for s in row.steps] == [(1, None), (2, 7), (3, 8)]
 
 
