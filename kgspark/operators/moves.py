@@ -8,7 +8,20 @@ bounded by the calendar, and the rows themselves are only ever grouped by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from kgspark.session import cut_lineage
+
+START, END = 0, 1
+
+
+def _events(tenures: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per start and per known end: columns, day, kind. Both come from one pass,
+    so the tenures behind them are computed once."""
+    points = F.filter(F.array(F.struct(F.col("start_date").alias("day"), F.lit(START).alias("kind")),
+                              F.struct(F.col("end_date").alias("day"), F.lit(END).alias("kind"))),
+                      lambda p: p["day"].isNotNull())
+    return tenures.select(*columns, F.explode(points).alias("p")).select(*columns, "p.*")
 
 
 def ranked_tenures(tenures: DataFrame, entity: list[str], member: str) -> DataFrame:
@@ -78,26 +91,21 @@ def later_pair_counts(tenures: DataFrame, entity: list[str], place: str) -> Data
     ``place`` must be a dimension of fixed size (nation, region); starts are repeated
     once per place the entity has ended a tenure in.
     """
-    ends = (tenures.where(F.col("end_date").isNotNull())
-            .groupBy(*entity, F.col(place).alias("from_place"), F.col("end_date").alias("day"))
-            .agg(F.count("*").alias("ended")))
-    origins = ends.select(*entity, "from_place").distinct()
-    starts = (tenures.groupBy(*entity, F.col(place).alias("to_place"),
-                              F.col("start_date").alias("day"))
-              .agg(F.count("*").alias("started")).join(origins, entity)
-              .where("from_place <> to_place"))
-    none = F.lit(None)
-    events = ends.select(*entity, "from_place", "day", "ended", none.cast("string").alias("to_place"),
-                         F.lit(0).cast("bigint").alias("started"), F.lit(1).alias("kind")).unionByName(
-        starts.select(*entity, "from_place", "day", F.lit(0).cast("bigint").alias("ended"),
-                      "to_place", "started", F.lit(0).alias("kind")))
+    events = _events(tenures, [*entity, place]).groupBy(*entity, place, "day", "kind").agg(
+        F.count("*").alias("n"))
+    left = F.collect_set(F.when(F.col("kind") == END, F.col(place))).over(Window.partitionBy(*entity))
+    own = F.array(F.col(place))
+    events = events.withColumn("left_places", left).select(
+        *entity, "day", "kind", "n", F.col(place).alias("to_place"),
+        F.explode(F.when(F.col("kind") == END, own).otherwise(F.array_except("left_places", own)))
+        .alias("from_place"))
     # kind orders a day's starts before its ends: a start needs a strictly earlier end
     running = (Window.partitionBy(*entity, "from_place").orderBy("day", "kind")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pairs = (events.withColumn("before", F.sum("ended").over(running))
-             .where("kind = 0 AND before > 0")
+    ended = F.sum(F.when(F.col("kind") == END, F.col("n")).otherwise(0)).over(running)
+    pairs = (events.withColumn("before", ended).where((F.col("kind") == START) & (F.col("before") > 0))
              .groupBy(*entity, "from_place", "to_place")
-             .agg(F.sum(F.col("before") * F.col("started")).alias("pairs")))
+             .agg(F.sum(F.col("before") * F.col("n")).alias("pairs")))
     return pairs.groupBy("from_place", "to_place").agg(
         F.sum("pairs").alias("move_count"), F.count("*").alias("entities_moved"))
 
@@ -108,22 +116,18 @@ def successors(tenures: DataFrame, group: str, member: str) -> DataFrame:
     Adds next_member (smallest among those starting on the same day), next_start and
     later_tenures, the number of tenures that begin at any later day.
     """
-    ends = (tenures.where(F.col("end_date").isNotNull())
-            .select(F.col(group), F.col("end_date").alias("day")).distinct()
-            .withColumns({"n": F.lit(None).cast("bigint"), "first_member": F.lit(None).cast("bigint"),
-                          "kind": F.lit(1)}))
-    starts = tenures.groupBy(F.col(group), F.col("start_date").alias("day")).agg(
-        F.count("*").alias("n"), F.min(member).alias("first_member")).withColumn("kind", F.lit(0))
+    events = _events(tenures, [group, member]).groupBy(group, "day", "kind").agg(
+        F.count("*").alias("n"), F.min(member).alias("first_member"))
     # newest day first; on one day the ends come before the starts, so a running value
     # over the rows so far sees only strictly later starts
     w = (Window.partitionBy(group).orderBy(F.desc("day"), F.desc("kind"))
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    start_day = F.when(F.col("kind") == 0, F.col("day"))
-    nearest = (ends.unionByName(starts).withColumns({
-        "next_start": F.last(start_day, ignorenulls=True).over(w),
-        "next_member": F.last("first_member", ignorenulls=True).over(w),
-        "later_tenures": F.coalesce(F.sum("n").over(w), F.lit(0))})
-        .where("kind = 1 AND next_start IS NOT NULL")
+    started = F.col("kind") == START
+    nearest = (events.withColumns({
+        "next_start": F.last(F.when(started, F.col("day")), ignorenulls=True).over(w),
+        "next_member": F.last(F.when(started, F.col("first_member")), ignorenulls=True).over(w),
+        "later_tenures": F.sum(F.when(started, F.col("n")).otherwise(0)).over(w)})
+        .where((F.col("kind") == END) & F.col("next_start").isNotNull())
         .select(group, F.col("day").alias("end_date"), "next_start", "next_member", "later_tenures"))
     return tenures.join(nearest, [group, "end_date"])
 
@@ -134,13 +138,8 @@ def peer_counts(tenures: DataFrame, group: str) -> DataFrame:
     overlapping = all - those ended before my start - those started after my end - me,
     each read from running counts per (group, day).
     """
-    starts = tenures.groupBy(group, F.col("start_date").alias("day")).agg(
-        F.count("*").alias("s")).withColumn("e", F.lit(0).cast("bigint"))
-    ends = (tenures.where(F.col("end_date").isNotNull())
-            .groupBy(group, F.col("end_date").alias("day")).agg(F.count("*").alias("e"))
-            .withColumn("s", F.lit(0).cast("bigint")))
-    daily = starts.unionByName(ends).groupBy(group, "day").agg(
-        F.sum("s").alias("s"), F.sum("e").alias("e"))
+    daily = _events(tenures, [group]).groupBy(group, "day").agg(
+        F.count_if(F.col("kind") == START).alias("s"), F.count_if(F.col("kind") == END).alias("e"))
     upto = (Window.partitionBy(group).orderBy("day")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     calendar = daily.select(
@@ -174,6 +173,7 @@ def same_place_pairs(tenures: DataFrame, group: str, member: str, bucket_days: i
     in a month and each pair comes out exactly once. Crowded (group, month) cells are
     split into as many parts as their row count asks for.
     """
+    tenures = cut_lineage(tenures.select(group, member, "start_date", "end_date"))  # read four times below
     month = lambda day: F.floor(F.unix_date(day) / bucket_days).cast("int")
     horizon = tenures.agg(F.max("start_date")).scalar()
     cells = tenures.groupBy(F.col(group).alias("g"), month(F.col("start_date")).alias("cell")).agg(

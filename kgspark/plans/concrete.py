@@ -13,6 +13,7 @@ from kgspark.operators import moves
 from kgspark.plans import binding as b
 from kgspark.plans.checks import AS_OF, active, ratio2, sql
 from kgspark.plans.registry import query
+from kgspark.session import cut_lineage
 from kgspark.sources.tables import Tables
 
 YEAR = 1998
@@ -336,7 +337,8 @@ def customer_succession(t: Tables) -> DataFrame:
                          extra=PART_RANKED))
 def move_chain(t: Tables, as_of=b.AS_OF) -> DataFrame:
     """Chronological chain of every part, one step per row (see ``move_path`` for one part)."""
-    ranked = moves.ranked_tenures(b.supplied_by(t), ["part_key"], "supp_key")
+    tenures = cut_lineage(b.supplied_by(t).drop("lines"))  # ranked from two sides
+    ranked = moves.ranked_tenures(tenures, ["part_key"], "supp_key")
     places = b.supplier_dim(t).select("supp_key", "region")
     return ranked.join(places, "supp_key").select(
         part_id().alias("part_id"), "move_rank", supplier_id().alias("supplier_id"), "region",
