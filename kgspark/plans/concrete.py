@@ -239,7 +239,8 @@ def direct_moves(t: Tables) -> DataFrame:
 
 
 def part_places(t: Tables) -> DataFrame:
-    places = b.supplier_dim(t).select("supp_key", "nation", "region")
+    """Part tenures with the supplier's nation key."""
+    places = t.supplier.select(F.col("s_suppkey").alias("supp_key"), F.col("s_nationkey").alias("nation_key"))
     return b.supplied_by(t).select("part_key", "supp_key", "start_date", "end_date").join(
         places, "supp_key")
 
@@ -252,11 +253,12 @@ def part_places(t: Tables) -> DataFrame:
       ON a.part_key = c.part_key AND a.supp_key <> c.supp_key AND c.start_date > a.end_date
     WHERE a.nation <> c.nation GROUP BY a.nation, c.nation""", "supplied_by", "supplier_dim"))
 def moves_between_nations(t: Tables) -> DataFrame:
-    counts = moves.later_pair_counts(part_places(t), ["part_key"], "nation")
-    return counts.select(
-        F.col("from_place").alias("from_nation"), F.col("to_place").alias("to_nation"),
-        "move_count", F.col("entities_moved").alias("parts_moved"),
-        F.concat_ws(" to ", "from_place", "to_place").alias("direction"))
+    counts = moves.later_pair_counts(part_places(t), ["part_key"], "nation_key")
+    names = lambda key, name: t.nation.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(name))
+    return (counts.join(names("from_place", "from_nation"), "from_place")
+            .join(names("to_place", "to_nation"), "to_place").select(
+        "from_nation", "to_nation", "move_count", F.col("entities_moved").alias("parts_moved"),
+        F.concat_ws(" to ", "from_nation", "to_nation").alias("direction")))
 
 
 @query("part_performance", sql(f"""
