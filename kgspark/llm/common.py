@@ -52,34 +52,39 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POWERS = [np.ones(1, np.uint64)]
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers(n: int) -> np.ndarray:
-    """The first n powers of a fixed odd multiplier modulo 2^64."""
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base, and of its inverse, modulo 2^64."""
     if len(_POWERS[0]) < n:
-        steps = np.full(max(n, 256), 0x9E3779B97F4A7C15, np.uint64)
-        steps[0] = 1
-        _POWERS[0] = np.multiply.accumulate(steps)
-    return _POWERS[0]
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, 1 << 10), base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS[0], _POWERS[1]
 
 
 def run_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash per run symbols[start:end]; runs are in order and don't overlap or stay empty."""
+    """One 64-bit hash per run symbols[start:end]: a polynomial in the base, from running sums."""
     if not len(starts):
         return np.empty(0, np.uint64)
-    lengths = ends - starts
-    at = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-    local = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    place = np.arange(len(at)) - np.repeat(local, lengths)
-    terms = (symbols[at].astype(np.uint64) + np.uint64(1)) * _powers(int(lengths.max()))[place]
-    return mix64(np.add.reduceat(terms, local) + lengths.astype(np.uint64))
+    n = len(symbols)
+    up, down = _powers(n)
+    terms = symbols.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= up[:n]
+    sums = np.empty(n + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(terms, out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 class Words:
     """Words of a slice of texts: the row and hash of each, in reading order."""
 
-    def __init__(self, rows: list[bytes], separators: np.ndarray, piece: int = 4 << 20):
+    def __init__(self, rows: list[bytes], separators: np.ndarray, piece: int = 1 << 20):
         """``separators``: 256 booleans; a word is a maximal run of other bytes."""
         joiner = bytes([int(np.flatnonzero(separators)[0])])
         data = np.frombuffer(joiner.join(rows) + joiner, np.uint8)
@@ -98,8 +103,8 @@ class Words:
             starts.append(begin + lo)
             lo = hi
         self.hash = np.concatenate(hashes)
-        self.row = np.searchsorted(bounds, np.concatenate(starts), side="right")
-        self.count = np.bincount(self.row, minlength=len(rows))
+        self.count = np.diff(np.searchsorted(np.concatenate(starts), bounds), prepend=0)
+        self.row = np.repeat(np.arange(len(rows)), self.count)
         self.first = np.cumsum(self.count) - self.count
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +114,7 @@ class Words:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         total = np.zeros(n, np.uint64)
         for j in range(k):
-            total += self.hash[j:n + j] * _powers(k + 1)[j + 1]
+            total += self.hash[j:n + j] * _powers(k + 1)[0][j + 1]
         index = np.flatnonzero(self.row[:n] == self.row[k - 1:n + k - 1])
         return index, mix64(total[index])
 

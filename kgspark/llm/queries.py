@@ -4,7 +4,7 @@ import importlib
 
 from kgspark.llm.registry import QUERIES
 
-MODULES = ("q09_exact_dedup",)
+MODULES = ("q01_sentence_piece", "q02_mixing", "q06_token_file", "q07_token_counts", "q09_exact_dedup")
 
 
 def load() -> dict:
