@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kgspark.llm.common import LOWER, UPPER, ascii_lower, shuffle_width
+from kgspark.llm.common import LOWER, UPPER, ascii_lower
 from kgspark.session import cut_lineage
 
 PRIMES = (2147483647, 2147483629)
@@ -136,17 +136,20 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_rows = cut_lineage(prints.join(groups, label).select("me", "keep", "size", *label))
     settled = []
     while not open_rows.isEmpty():
-        other = cut_lineage(_differing(docs, open_rows.select("me", "keep", "size").distinct(),
-                                       id_col, text_col, per_salt))
-        settled.append(open_rows.join(other, "me", "left_anti").select("me", "keep"))
+        members = open_rows.select("me", "keep", "size").distinct()
+        other = cut_lineage(_differing(docs, members, id_col, text_col, per_salt))
+        if other.isEmpty():  # as always but for collisions: sizes stand as counted
+            settled.append(members)
+            break
+        same = open_rows.join(other, "me", "left_anti").select("me", "keep")
+        sizes = cut_lineage(same.groupBy("keep").agg(F.count("*").alias("size")))
+        settled.append(same.distinct().join(sizes, "keep").select("me", "keep", "size"))
         rest = open_rows.join(other, "me", "left_semi").select("me", *label)
         regrouped = cut_lineage(rest.groupBy(*label).agg(*best))
         open_rows = cut_lineage(rest.join(regrouped, label).select("me", "keep", "size", *label))
     if not settled:
         return prints.select("me", F.col("me").alias("keep"), F.lit(1).cast("long").alias("size"))
-    members = reduce(DataFrame.unionByName, settled)
-    sizes = cut_lineage(members.groupBy("keep").agg(F.count("*").alias("size")))
-    known = cut_lineage(members.join(sizes, "keep").distinct())
+    known = cut_lineage(reduce(DataFrame.unionByName, settled))
     return (prints.select("me").join(known, "me", "left")
             .select("me", F.coalesce("keep", "me").alias("keep"), F.coalesce("size", F.lit(1).cast("long")).alias("size")))
 
