@@ -66,7 +66,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = _lines(F.col("text"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
     left = F.array_join(F.transform(kept, lambda i: F.element_at(F.col("lines"), i + 1)), "\n")
-    return (rows.join(gone, F.col("me") == F.col("of"), "left")
+    # both sides grow with the data: a merge join at every size
+    return (rows.join(gone.hint("merge"), F.col("me") == F.col("of"), "left")
             .select("row", "text", "gone", F.when(F.col("gone").isNotNull(), lines).alias("lines"), F.size(lines).alias("n_lines"))
             .select("row", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
                     F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text")))
