@@ -121,3 +121,20 @@ def test_op8(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(repr(tuple(r)) for r in op8_jaccard_join(spark, sf).collect())
     assert got == brute(rows)
+
+
+def test_one_of_each_group_stays(spark, awkward):
+    rows = corpus(5) + [(None, "x y z"), (9000, "x y z"), (9001, None), (9002, ""), (9003, "p q"), (9005, "r s"), (9004, "r s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'m' AS comp", "1 AS print")
+    kept = jj.keep_one_per_group(df)
+    assert kept.columns == df.columns
+    named = [eval(line) for line in brute(rows)]  # noqa: S307 - our own repr of tuples
+    want = {}
+    for (key, n, comp) in named:
+        if n:
+            want[comp] = min(want.get(comp, (key is None, key or 0)), (key is None, key or 0))
+    got = kept.collect()
+    assert len([r for r in got if r.text]) == len(want)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got if r.text) == sorted(want.values())
+    assert len([r for r in got if not r.text]) == 2
+    assert jj.keep_one_per_group(awkward.limit(0)).count() == 0
