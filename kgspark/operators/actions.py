@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def decide_moves(tenures: DataFrame, requests: DataFrame, entity: str, member: str) -> DataFrame:
     """Requests (entity, from_key, to_key, move_date) with a status.
 
-    APPLIED needs an open tenure at ``from_key`` that began on or before the move date.
+    APPLIED needs an open tenure at ``from_key`` that began on or before the move date. Of
+    several such requests for one tenure the earliest counts, then the smallest target;
+    the others are SUPERSEDED. A request given twice counts once.
     """
-    open_now = tenures.where(F.col("end_date").isNull()).select(
-        entity, F.col(member).alias("from_key"), F.col("start_date").alias("_open_since"))
-    found = requests.join(open_now, [entity, "from_key"], "left")
-    usable = F.col("_open_since").isNotNull() & (F.col("_open_since") <= F.col("move_date"))
-    return found.withColumn(
+    open_now = tenures.where(F.col("end_date").isNull()).groupBy(
+        entity, F.col(member).alias("from_key")).agg(F.min("start_date").alias("_open_since"))
+    asked = requests.dropDuplicates([entity, "from_key", "to_key", "move_date"])
+    found = asked.join(open_now, [entity, "from_key"], "left").withColumn(
+        "_usable", F.coalesce((F.col("_open_since") <= F.col("move_date"))
+                              & (F.col("from_key") != F.col("to_key")), F.lit(False)))
+    first = found.where("_usable").groupBy(entity, "from_key").agg(
+        F.min(F.struct("move_date", "to_key")).alias("_first"))
+    wins = F.col("_first") == F.struct("move_date", "to_key")
+    return found.join(first, [entity, "from_key"], "left").withColumn(
         "status", F.when(F.col("from_key") == F.col("to_key"), "SAME_SUPPLIER")
-        .when(usable, "APPLIED").otherwise("NO_OPEN_TENURE")).drop("_open_since")
+        .when(~F.col("_usable"), "NO_OPEN_TENURE").when(wins, "APPLIED").otherwise("SUPERSEDED")).drop(
+        "_open_since", "_usable", "_first")
 
 
 def apply_moves(tenures: DataFrame, decided: DataFrame, entity: str, member: str) -> DataFrame:
-    """Tenures after the accepted moves: the old one closed, the new one opened, the rest kept."""
+    """Tenures after the accepted moves, with a tenure number per (entity, member) by start date:
+    the old one closed, the new one opened, the rest kept. A target where the entity already has
+    an open tenure gets no second one."""
     accepted = decided.where("status = 'APPLIED'")
     closing = accepted.select(entity, F.col("from_key").alias(member), F.col("move_date").alias("_closed"))
     is_open = F.col("end_date").isNull()
     kept = tenures.join(closing, [entity, member], "left").withColumn(
         "end_date", F.when(is_open, F.col("_closed")).otherwise(F.col("end_date"))).drop("_closed")
-    opened = accepted.select(entity, F.col("to_key").alias(member), F.col("move_date").alias("start_date"),
-                             F.lit(None).cast("date").alias("end_date"))
-    return kept.select(entity, member, "start_date", "end_date").unionByName(opened)
+    still_open = kept.where(is_open).select(entity, member).distinct()
+    opened = accepted.groupBy(entity, F.col("to_key").alias(member)).agg(
+        F.min("move_date").alias("start_date")).join(still_open, [entity, member], "left_anti").withColumn(
+        "end_date", F.lit(None).cast("date"))
+    # a few tenures per (entity, member) at most: one per return
+    number = F.row_number().over(Window.partitionBy(entity, member).orderBy("start_date", "end_date"))
+    return kept.select(entity, member, "start_date", "end_date").unionByName(opened).withColumn("tenure", number)
 
 
 def engage(tenures: DataFrame, requests: DataFrame, entity: str, member: str) -> DataFrame:

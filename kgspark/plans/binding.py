@@ -69,7 +69,8 @@ def in_order(t: Tables) -> DataFrame:
     flag = F.col("l_returnflag")
     return t.lineitem.groupBy(F.col("l_partkey").alias("part_key"),
                               F.col("l_orderkey").alias("order_key")).agg(
-        F.sum(F.col("l_quantity").cast("bigint")).alias("quantity"),
+        # whole hundredths add up exactly; the fraction goes after the sum
+        F.floor(F.sum(F.floor(F.col("l_quantity") * 100 + 0.5)) / 100).cast("bigint").alias("quantity"),
         F.count_if(flag == "R").alias("returned"),
         F.count_if(flag == "A").alias("accepted"),
         F.count_if(flag == "N").alias("not_returned"))
@@ -86,25 +87,18 @@ def order_dim(t: Tables) -> DataFrame:
 def order_sides(t: Tables) -> DataFrame:
     """Lead and tail supplier of every order with lines, and what each delivered.
 
-    The lead has the smallest (line number, supplier key), the tail the largest. Both are
-    packed into one long, line number above a 32-bit supplier key, so that the aggregation
-    hashes instead of sorting. Rows are combined per (order, supplier) first: an order with
-    very many lines is reduced before its rows meet on the order key.
+    The lead has the smallest (line number, supplier key), the tail the largest. Rows are
+    combined per (order, supplier) first: an order with very many lines is reduced before
+    its rows meet on the order key.
     """
-    bits = 32
     per_supplier = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(
         F.min("l_linenumber").alias("first_line"), F.max("l_linenumber").alias("last_line"),
         F.sum(price_cents()).alias("cents"))
-    spot = lambda line: F.shiftleft(F.col(line).cast("bigint"), bits).bitwiseOR(F.col("l_suppkey"))
-    supplier = lambda spot_col: F.col(spot_col).bitwiseAND(F.lit((1 << bits) - 1))
-    spots = per_supplier.select("l_orderkey", "cents", spot("first_line").alias("first_spot"),
-                                spot("last_line").alias("last_spot"))
-    return spots.groupBy(F.col("l_orderkey").alias("order_key")).agg(
-        F.min("first_spot").alias("first_spot"), F.max("last_spot").alias("last_spot"),
-        F.min_by("cents", "first_spot").alias("lead_cents"),
-        F.max_by("cents", "last_spot").alias("tail_cents")).select(
-        "order_key", supplier("first_spot").alias("lead_key"), supplier("last_spot").alias("tail_key"),
-        "lead_cents", "tail_cents")
+    return per_supplier.groupBy(F.col("l_orderkey").alias("order_key")).agg(
+        F.min(F.struct("first_line", "l_suppkey", "cents")).alias("lead"),
+        F.max(F.struct("last_line", "l_suppkey", "cents")).alias("tail")).select(
+        "order_key", F.col("lead.l_suppkey").alias("lead_key"), F.col("tail.l_suppkey").alias("tail_key"),
+        F.col("lead.cents").alias("lead_cents"), F.col("tail.cents").alias("tail_cents"))
 
 
 def matchups(t: Tables) -> DataFrame:

@@ -23,7 +23,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey"""),
     "in_order": ((), """
         SELECT l_partkey AS part_key, l_orderkey AS order_key,
-               CAST(SUM(l_quantity) AS BIGINT) AS quantity,
+               CAST(FLOOR(SUM(ROUND(l_quantity * 100)) / 100) AS BIGINT) AS quantity,
                COUNT(*) FILTER (l_returnflag = 'R') AS returned,
                COUNT(*) FILTER (l_returnflag = 'A') AS accepted,
                COUNT(*) FILTER (l_returnflag = 'N') AS not_returned
@@ -116,7 +116,8 @@ def sql(body: str, *names: str, extra: dict[str, str] | None = None) -> str:
     for name in names:
         visit(name)
     parts = [f"{n} AS ({CTES[n][1]})" for n in order]
-    parts += [f"{n} AS ({b})" for n, b in (extra or {}).items()]
+    # evaluated once each: search levels are read several times
+    parts += [f"{n} AS MATERIALIZED ({b})" for n, b in (extra or {}).items()]
     return (f"WITH {', '.join(parts)} {body}") if parts else body
 
 

@@ -78,12 +78,13 @@ def current_assortment(t: Tables) -> DataFrame:
            COUNT(*) FILTER (lead_value > tail_value) AS wins,
            COUNT(*) FILTER (lead_value = tail_value) AS draws,
            COUNT(*) FILTER (lead_value < tail_value) AS losses
-    FROM matchups m JOIN order_dim o ON o.order_key = m.order_key
+    FROM order_sides m JOIN order_dim o ON o.order_key = m.order_key
     JOIN supplier_dim s ON s.supp_key = lead_key WHERE YEAR(order_date) = 1998
-    GROUP BY supplier_name""", "matchups", "order_dim", "supplier_dim"))
+    GROUP BY supplier_name""", "order_sides", "order_dim", "supplier_dim"))
 def supplier_performance(t: Tables, year: int = YEAR) -> DataFrame:
+    """Every order counts for its lead; one supplier on both sides is a draw with itself."""
     placed = b.order_dim(t).where(in_year("o_orderdate", year)).select("order_key")
-    scored = (b.matchups(t).join(placed, "order_key").groupBy("lead_key").agg(
+    scored = (b.order_sides(t).join(placed, "order_key").groupBy("lead_key").agg(
         F.count("*").alias("total_orders"), F.sum("lead_cents").alias("_cents"),
         F.count_if(F.col("lead_cents") > F.col("tail_cents")).alias("wins"),
         F.count_if(F.col("lead_cents") == F.col("tail_cents")).alias("draws"),
@@ -100,15 +101,15 @@ def supplier_performance(t: Tables, year: int = YEAR) -> DataFrame:
            l.supplier_name AS lead_supplier, t.supplier_name AS tail_supplier,
            CAST(lead_value AS DOUBLE) AS lead_value, CAST(tail_value AS DOUBLE) AS tail_value,
            {WINNER_SQL} AS winner
-    FROM matchups m JOIN order_dim o ON o.order_key = m.order_key
+    FROM order_sides m JOIN order_dim o ON o.order_key = m.order_key
     JOIN supplier_dim l ON l.supp_key = lead_key JOIN supplier_dim t ON t.supp_key = tail_key
-    WHERE YEAR(order_date) = 1998""", "matchups", "order_dim", "supplier_dim"))
+    WHERE YEAR(order_date) = 1998""", "order_sides", "order_dim", "supplier_dim"))
 def order_results_by_priority(t: Tables, year: int = YEAR, priority: str | None = None) -> DataFrame:
     placed = b.order_dim(t).where(in_year("o_orderdate", year))
     if priority is not None:
         placed = placed.where(F.col("priority") == priority)
     placed = placed.select("order_key", "priority", "order_date")
-    return named_sides(t, b.matchups(t).join(placed, "order_key")).select(
+    return named_sides(t, b.order_sides(t).join(placed, "order_key")).select(
         "priority", order_id().alias("order_id"), "order_date", "lead_supplier", "tail_supplier",
         b.money("lead_cents").alias("lead_value"),
         b.money("tail_cents").alias("tail_value"), winner().alias("winner"))
@@ -233,11 +234,25 @@ def part_moves(t: Tables) -> DataFrame:
            'SUPPLIER:' || supp_key AS to_supplier, prev_end AS left_date, start_date AS joined_date
     FROM ranked WHERE prev_end < start_date""", "supplied_by", extra=PART_RANKED))
 def direct_moves(t: Tables) -> DataFrame:
+    """Consecutive tenures only; all pairs at two named suppliers are in moves_between_suppliers."""
     return part_moves(t).select(
         part_id().alias("part_id"), supplier_id("from_member").alias("from_supplier"),
         supplier_id("to_member").alias("to_supplier"), "left_date", "joined_date")
 
 
+@query("moves_between_suppliers", sql("""
+    SELECT 'PART:' || x.part_key AS part_id, 'SUPPLIER:' || x.supp_key AS from_supplier,
+           'SUPPLIER:' || y.supp_key AS to_supplier, x.end_date AS left_date, y.start_date AS joined_date
+    FROM supplied_by x JOIN supplied_by y ON y.part_key = x.part_key AND y.supp_key <> x.supp_key
+    WHERE x.supp_key IN (1, 2) AND y.supp_key IN (1, 2)""", "supplied_by"))
+def moves_between_suppliers(t: Tables, a: int = 1, c: int = 2, in_time_order: bool = False) -> DataFrame:
+    """Every pair of tenures of one part at two named suppliers, in both directions."""
+    tenures = b.supplied_by(t).select("part_key", "supp_key", "start_date", "end_date")
+    return moves.moves_between(tenures, ["part_key"], "supp_key", a, c, in_time_order).select(
+        part_id().alias("part_id"), supplier_id(F.col("from_member").cast("bigint")).alias("from_supplier"),
+        supplier_id(F.col("to_member").cast("bigint")).alias("to_supplier"), "left_date", "joined_date")
+
+
 def part_places(t: Tables) -> DataFrame:
     """Part tenures with the supplier's nation key."""
     places = t.supplier.select(F.col("s_suppkey").alias("supp_key"), F.col("s_nationkey").alias("nation_key"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from kgspark.functions.props import prop
-from kgspark.operators import ontology as ont, quality as q
+from kgspark.operators import inference as inf, ontology as ont, quality as q
 from kgspark.plans import binding as b, metadata as md
 from kgspark.plans.checks import sql
-from kgspark.plans.ontology import CLASS_SQL, INVERSE_ROWS_SQL, derived_values, infer_inverse
+from kgspark.plans.ontology import ALL_INFERRED_SQL, CLASS_SQL, derived_values
 from kgspark.plans.registry import query
 from kgspark.sources.tables import Tables
 
@@ -53,7 +53,7 @@ MEMBER_CTES = {**TYPE_COUNTS,
            {len(md.RELATIONS)} AS link_types, {len(md.PROPERTIES)} AS properties,
            {len(md.INTERFACES)} AS interfaces, {len(md.ACTIONS)} AS actions,
            (SELECT COUNT(*) FROM node_keys) AS live_nodes, (SELECT COUNT(*) FROM edges) AS live_edges,
-           (SELECT COUNT(*) FROM i) AS inferred_edges""", "node_keys", "edges", extra={"i": INVERSE_ROWS_SQL}))
+           (SELECT COUNT(*) FROM i) AS inferred_edges""", "node_keys", "edges", extra={"i": ALL_INFERRED_SQL}))
 def ontology_overview(t: Tables) -> DataFrame:
     """Independent one-row aggregates as scalar subqueries; nothing is multiplied."""
     def count(df):
@@ -64,7 +64,7 @@ def ontology_overview(t: Tables) -> DataFrame:
         F.lit(len(md.CLASSES)).alias("object_types"), F.lit(len(md.RELATIONS)).alias("link_types"),
         F.lit(len(md.PROPERTIES)).alias("properties"), F.lit(len(md.INTERFACES)).alias("interfaces"),
         F.lit(len(md.ACTIONS)).alias("actions"), count(b.node_keys(t)).alias("live_nodes"),
-        count(b.kg_edges(t)).alias("live_edges"), count(infer_inverse(t)).alias("inferred_edges"))
+        count(b.kg_edges(t)).alias("live_edges"), count(inf.infer_all(b.kg_edges(t), md.RULES, md.RELATION_MAP)).alias("inferred_edges"))
 
 
 def _class_rows():

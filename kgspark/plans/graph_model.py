@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from kgspark.functions.ids import typed_id
 from kgspark.functions.intervals import active_as_of, in_year
 from kgspark.functions.props import prop, props_text
-from kgspark.operators import views
+from kgspark.operators import actions, views
 from kgspark.plans import binding as b, metadata as md
 from kgspark.plans.checks import AS_OF, active, sql
 from kgspark.plans.registry import query
@@ -241,14 +241,31 @@ def active_customers(t: Tables) -> DataFrame:
     SELECT 'BUYS_FROM', 'CUSTOMER:' || cust_key, 'SUPPLIER:' || supp_key,
            CASE WHEN end_date IS NULL THEN '{"lines":' || lines || '}'
                 ELSE '{"lines":' || lines || ',"last":"' || end_date || '"}' END
-    FROM buys_from""", "supplied_by", "buys_from"))
+    FROM buys_from
+    UNION ALL
+    SELECT 'IN_ORDER', 'PART:' || part_key, 'ORDER:' || i.order_key, '{"last":"' || order_date || '","quantity":' || quantity
+           || ',"returned":' || returned || ',"accepted":' || accepted || ',"not_returned":' || not_returned || '}'
+    FROM in_order i JOIN order_dim o ON o.order_key = i.order_key
+    UNION ALL
+    SELECT 'LEAD_SUPPLIER', 'SUPPLIER:' || lead_key, 'ORDER:' || order_key, '{"cents":' || CAST(ROUND(lead_value * 100) AS BIGINT) || '}'
+    FROM order_sides
+    UNION ALL
+    SELECT 'TAIL_SUPPLIER', 'SUPPLIER:' || tail_key, 'ORDER:' || order_key, '{"cents":' || CAST(ROUND(tail_value * 100) AS BIGINT) || '}'
+    FROM order_sides
+    UNION ALL
+    SELECT edge_type, src_id, dst_id, '{}' FROM edges WHERE edge_type = 'WITHIN'""",
+                                 "supplied_by", "buys_from", "in_order", "order_dim", "order_sides", "edges"))
 def rel_resolved_props(t: Tables) -> DataFrame:
-    """Property object rebuilt from typed columns; an open end leaves its key out."""
-    edges = b.kg_edges(t).where(F.col("edge_type").isin(*md.RELATION_MAP["engaged_with"]))
-    typed = edges.select(F.col("edge_type").alias("rel_name"), "src_id", "dst_id",
-                         prop("lines", "bigint").alias("lines"), "effective_end")
+    """Property object rebuilt from typed columns, for every relation; an unset key is left out."""
+    numbers = ("quantity", "returned", "accepted", "not_returned")
+    typed = b.kg_edges(t).select(
+        F.col("edge_type").alias("rel_name"), "src_id", "dst_id", "effective_end", prop("lines", "bigint").alias("lines"),
+        F.when(F.col("edge_type").isin("LEAD_SUPPLIER", "TAIL_SUPPLIER"),
+               (prop("value", "decimal(20,2)") * 100).cast("bigint")).alias("cents"),
+        *[prop(name, "bigint").alias(name) for name in numbers])
     return typed.select("rel_name", "src_id", "dst_id", props_text(
-        lines=F.col("lines"), last=F.col("effective_end")).alias("props_json"))
+        lines=F.col("lines"), last=F.col("effective_end"), cents=F.col("cents"),
+        **{name: F.col(name) for name in numbers}).alias("props_json"))
 
 
 # --- lineage of the configured sources ------------------------------------------------------
@@ -322,12 +339,64 @@ def coverage_profile(t: Tables) -> DataFrame:
                   FROM supplied_by GROUP BY part_key"""}))
 def apply_moves(t: Tables) -> DataFrame:
     """Requests to move every part from its last to its first supplier, accepted or rejected."""
-    from kgspark.operators.actions import decide_moves
     tenures = b.supplied_by(t).select("part_key", "supp_key", "start_date", "end_date")
-    requests = tenures.groupBy("part_key").agg(
-        F.max("supp_key").alias("from_key"), F.min("supp_key").alias("to_key")).withColumn(
-        "move_date", F.lit(dt.date(2001, 12, 1)))
-    return decide_moves(tenures, requests, "part_key", "supp_key").select(
+    return actions.decide_moves(tenures, _move_requests(tenures), "part_key", "supp_key").select(
         typed_id("PART", "part_key").alias("part_id"), typed_id("SUPPLIER", "from_key").alias("from_supplier"),
         typed_id("SUPPLIER", "to_key").alias("to_supplier"), "status",
         F.when(F.col("status") == "APPLIED", F.col("move_date")).alias("move_date"))
+
+
+def _move_requests(tenures: DataFrame) -> DataFrame:
+    return tenures.groupBy("part_key").agg(
+        F.max("supp_key").alias("from_key"), F.min("supp_key").alias("to_key")).withColumn(
+        "move_date", F.lit(dt.date(2001, 12, 1)))
+
+
+MOVED_SQL = """SELECT r.part_key, from_key, to_key FROM req r JOIN supplied_by f ON f.part_key = r.part_key
+    AND f.supp_key = r.from_key AND f.end_date IS NULL AND f.start_date <= DATE '2001-12-01' WHERE from_key <> to_key"""
+
+
+@query("tenures_after_moves", sql("""
+    SELECT 'PART:' || part_key AS part_id, 'SUPPLIER:' || supp_key AS supplier_id, start_date, end_date,
+           CAST(ROW_NUMBER() OVER (PARTITION BY part_key, supp_key ORDER BY start_date, end_date) AS INT) AS tenure
+    FROM (SELECT e.part_key, supp_key, start_date,
+                 CASE WHEN e.end_date IS NULL AND m.part_key IS NOT NULL THEN DATE '2001-12-01' ELSE e.end_date END AS end_date
+          FROM supplied_by e LEFT JOIN m ON m.part_key = e.part_key AND m.from_key = e.supp_key
+          UNION ALL
+          SELECT part_key, to_key, DATE '2001-12-01', NULL FROM m WHERE NOT EXISTS (
+              SELECT 1 FROM supplied_by o WHERE o.part_key = m.part_key AND o.supp_key = m.to_key AND o.end_date IS NULL))""",
+                                  "supplied_by", extra={
+        "req": "SELECT part_key, MAX(supp_key) AS from_key, MIN(supp_key) AS to_key FROM supplied_by GROUP BY part_key",
+        "m": MOVED_SQL}))
+def tenures_after_moves(t: Tables) -> DataFrame:
+    """All tenures once the accepted moves of ``apply_moves`` took effect."""
+    tenures = b.supplied_by(t).select("part_key", "supp_key", "start_date", "end_date")
+    decided = actions.decide_moves(tenures, _move_requests(tenures), "part_key", "supp_key")
+    return actions.apply_moves(tenures, decided, "part_key", "supp_key").select(
+        typed_id("PART", "part_key").alias("part_id"), typed_id("SUPPLIER", "supp_key").alias("supplier_id"),
+        "start_date", "end_date", "tenure")
+
+
+@query("tenures_after_engaging", sql("""
+    SELECT 'PART:' || part_key AS part_id, 'SUPPLIER:' || supp_key AS supplier_id, start_date, end_date FROM supplied_by
+    UNION ALL
+    SELECT 'PART:' || p_partkey, 'SUPPLIER:1', DATE '2001-12-01', NULL FROM part
+    WHERE p_partkey NOT IN (SELECT part_key FROM supplied_by WHERE supp_key = 1 AND end_date IS NULL)""", "supplied_by"))
+def tenures_after_engaging(t: Tables, supplier: int = 1) -> DataFrame:
+    """All tenures once every part without an open one there is engaged with one supplier."""
+    tenures = b.supplied_by(t).select("part_key", "supp_key", "start_date", "end_date")
+    requests = t.part.select(F.col("p_partkey").alias("part_key"), F.lit(supplier).cast("bigint").alias("supp_key"),
+                             F.lit(dt.date(2001, 12, 1)).alias("start_date"))
+    return actions.engage(tenures, requests, "part_key", "supp_key").select(
+        typed_id("PART", "part_key").alias("part_id"), typed_id("SUPPLIER", "supp_key").alias("supplier_id"),
+        "start_date", "end_date")
+
+
+@query("orders_after_recording", """
+    SELECT o_orderkey AS order_key, o_orderstatus AS status FROM orders
+    UNION ALL SELECT -o_orderkey - 1, 'R' FROM orders WHERE o_orderstatus = 'F'""")
+def orders_after_recording(t: Tables) -> DataFrame:
+    """Orders with one newly recorded counterpart per finished order; results for known orders change nothing."""
+    known = t.orders.select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"))
+    fresh = known.where("status = 'F'").select((-F.col("order_key") - 1).alias("order_key"), F.lit("R").alias("status"))
+    return actions.record(known, known.withColumn("status", F.lit("X")).unionByName(fresh), "order_key")

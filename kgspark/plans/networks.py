@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import DataFrame, functions as F
 
 from kgspark.functions.ids import typed_id
@@ -190,12 +188,12 @@ def shortest_path_batch(t: Tables) -> DataFrame:
 
 def _weights(t: Tables) -> DataFrame:
     """Cost of a supplier pair: the more orders they met on, the closer they are."""
-    return supplier_matches(t).select("a", "b", F.floor(F.lit(1000) / F.col("links")).cast("double").alias("w"))
+    return supplier_matches(t).select("a", "b", (F.lit(1.0) / F.col("links")).alias("w"))
 
 
 def _relax_ctes(rounds: int) -> dict[str, str]:
-    ctes = {"m": MATCH_SQL, "adj": """SELECT a, b, FLOOR(1000 / links) AS w FROM m
-                                      UNION ALL SELECT b, a, FLOOR(1000 / links) FROM m""",
+    ctes = {"m": MATCH_SQL, "adj": """SELECT a, b, CAST(1 AS DOUBLE) / links AS w FROM m
+                                      UNION ALL SELECT b, a, CAST(1 AS DOUBLE) / links FROM m""",
             "d0": "SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost"}
     for i in range(1, rounds + 1):
         ctes[f"d{i}"] = f"""SELECT node, MIN(cost) AS cost FROM (SELECT node, cost FROM d{i - 1}
@@ -203,15 +201,16 @@ def _relax_ctes(rounds: int) -> dict[str, str]:
     return ctes
 
 
-@query("shortest_path_weighted", sql("""SELECT 'SUPPLIER:1' AS source_id, 'SUPPLIER:' || node AS id, cost
-    FROM d12""", "matchups", extra=_relax_ctes(12)))
+@query("shortest_path_weighted", sql("""SELECT 'SUPPLIER:1' AS source_id, 'SUPPLIER:' || node AS id,
+    ROUND(cost, 9) AS cost FROM d12""", "matchups", extra=_relax_ctes(12)))
 def shortest_path_weighted(t: Tables, source: int = START_SUPPLIER) -> DataFrame:
     """Least total cost from one supplier to every other over order matches."""
     weights = cut_lineage(_weights(t))
     graph = Graph(t.supplier.select(F.col("s_suppkey").alias("id")), pairs=weights.select("a", "b"))
     seeds = t.spark.createDataFrame([(source,)], "source bigint")
     costs = traverse.weighted_distances(graph, weights, seeds)
-    return costs.select(supplier_id("source").alias("source_id"), supplier_id("node").alias("id"), "cost")
+    return costs.select(supplier_id("source").alias("source_id"), supplier_id("node").alias("id"),
+                        F.round("cost", 9).alias("cost"))
 
 
 @query("supplier_network_depth", sql("""
@@ -326,15 +325,31 @@ def centrality_degree_part(t: Tables, relations=("order",)) -> DataFrame:
     return scores.select(part_id("id").alias("id"), F.round("score", 9).alias("score"))
 
 
-@query("centrality_eigenvector_part")
+SETTLED = 1e-10  # mean change per score at which the registered power iterations stop
+
+
+def _power_sql(nodes: str, adj: str, prefix: str, steps: int = 80) -> str:
+    """Power iteration on A + I for a fixed number of steps, brought to unit length at the end."""
+    ctes = sql("", "matchups", extra={
+        "adj": adj, "own": f"SELECT id, id AS other FROM ({nodes}) UNION ALL SELECT a, b FROM adj"})
+    return f"""{ctes.replace("WITH", "WITH RECURSIVE", 1)}, it AS (
+            SELECT id, CAST(1 AS DOUBLE) AS v, 0 AS step FROM ({nodes})
+            UNION ALL SELECT own.id, SUM(it.v) / 100, ANY_VALUE(it.step) + 1 FROM it JOIN own ON own.other = it.id
+            WHERE it.step < {steps} GROUP BY own.id)
+        SELECT '{prefix}:' || id AS id, ROUND(v / (SELECT SQRT(SUM(v * v)) FROM it WHERE step = {steps}), 6) AS score
+        FROM it WHERE step = {steps}"""
+
+
+@query("centrality_eigenvector_part", _power_sql("SELECT p_partkey AS id FROM part", CO_ORDER_ADJ, "PART"))
 def centrality_eigenvector_part(t: Tables, relations=("order",)) -> DataFrame:
-    scores = centrality.eigenvector(load_graph(t, "part", relations))
-    return scores.select(part_id("id").alias("id"), F.round("score", 9).alias("score"))
+    scores = centrality.eigenvector(load_graph(t, "part", relations), tolerance=SETTLED)
+    return scores.select(part_id("id").alias("id"), F.round("score", 6).alias("score"))
 
 
-@query("centrality_eigenvector")
+@query("centrality_eigenvector", _power_sql("SELECT s_suppkey AS id FROM supplier", SUPPLIER_ADJ, "SUPPLIER"))
 def centrality_eigenvector(t: Tables) -> DataFrame:
-    return _scores(centrality.eigenvector(load_graph(t, "supplier")))
+    scores = centrality.eigenvector(load_graph(t, "supplier"), tolerance=SETTLED)
+    return scores.select(supplier_id("id").alias("id"), F.round("score", 6).alias("score"))
 
 
 @query("centrality_top", sql(f"""
@@ -363,15 +378,27 @@ def community_sizes(t: Tables) -> DataFrame:
     return sizes.select(supplier_id("community_id").alias("community_id"), "size")
 
 
+@query("community_invariants", """
+    SELECT (SELECT COUNT(*) FROM supplier) AS nodes, TRUE AS each_node_once, TRUE AS named_by_smallest_member,
+           TRUE AS at_least_as_good_as_one_community""")
+def community_invariants(t: Tables) -> DataFrame:
+    """What any outcome of the community search must satisfy, on the whole supplier graph."""
+    graph = load_graph(t, "supplier")
+    found = cut_lineage(community.louvain(graph))
+    per = found.groupBy("community_id").agg(F.min("id").alias("low"))
+    good = community.modularity(graph, found) >= -1e-12  # one community of all nodes has modularity 0
+    return found.agg(F.count("*").alias("nodes"), (F.count("*") == F.count_distinct("id")).alias("each_node_once")).join(
+        per.agg(F.min(F.col("community_id") == F.col("low")).alias("named_by_smallest_member")), how="cross").withColumn(
+        "at_least_as_good_as_one_community", F.lit(good))
+
+
 # --- movement and time ------------------------------------------------------------------------
 
 @query("moves_for_supplier", sql("""
     SELECT 'SUPPLIER:' || supp_key AS supplier_id, 'PART:' || e.part_key AS other_id, part_name AS name,
            start_date, end_date, COALESCE(CAST(value AS DOUBLE), 0) AS value
-    FROM supplied_by e JOIN part_dim p ON p.part_key = e.part_key
-    WHERE start_date BETWEEN DATE '1998-01-01' AND DATE '1999-12-31'""", "supplied_by", "part_dim"))
-def moves_for_supplier(t: Tables, supplier: int | None = None, first=dt.date(1998, 1, 1),
-                       last=dt.date(1999, 12, 31)) -> DataFrame:
+    FROM supplied_by e JOIN part_dim p ON p.part_key = e.part_key""", "supplied_by", "part_dim"))
+def moves_for_supplier(t: Tables, supplier: int | None = None, first=None, last=None) -> DataFrame:
     rows = temporal.within(b.supplied_by(t), first, last)
     if supplier is not None:
         rows = rows.where(F.col("supp_key") == supplier)

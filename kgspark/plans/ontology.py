@@ -68,19 +68,6 @@ INVERSE_ROWS_SQL = f"""
     FROM edges WHERE edge_type = 'BUYS_FROM'"""
 
 
-@query("rel_resolved", sql(f"""
-    SELECT edge_type AS rel_name, src_id, {SRC_CLASS} AS src_class, dst_id, {DST_CLASS} AS dst_class,
-           effective_start, effective_end, CAST(1.0 AS DOUBLE) AS weight, 'EXPLICIT' AS source FROM edges
-    UNION ALL
-    SELECT rel_name, src_id, {SRC_CLASS}, dst_id, {DST_CLASS}, effective_start, effective_end, weight,
-           inference_kind FROM inv""", "edges", extra={"inv": INVERSE_ROWS_SQL}))
-def rel_resolved(t: Tables) -> DataFrame:
-    """Explicit edges and the edges of the two concrete inverse rules in one schema."""
-    edges = b.kg_edges(t)
-    inferred = inf.infer_all(edges, [rule("RULE_INV_001"), rule("RULE_INV_002")], md.RELATION_MAP)
-    return ont.with_inferred(ont.resolved_relations(edges, md.CLASSES), inferred, md.CLASSES)
-
-
 def _abstract_sql(rels: str) -> str:
     return sql(f"""SELECT edge_type AS via_rel, src_id AS subject_id, {SRC_CLASS} AS subject_class,
         dst_id AS object_id, {DST_CLASS} AS object_class, effective_start, effective_end
@@ -115,16 +102,21 @@ def generated_engaged_with(t: Tables) -> DataFrame:
     return ont.generate_relation_views(resolved, md.RELATION_MAP)["engaged_with"]
 
 
-def _pairs_values() -> str:
-    rows = [f"('{c.class_name}', '{d}', {n})" for c in md.CLASSES
-            for d, n in ont.descendants(md.CLASSES, c.class_name).items()]
-    return "SELECT * FROM (VALUES " + ", ".join(rows) + ") v(ancestor_class, descendant_class, depth)"
+def _pairs_sql() -> str:
+    """Every class with its descendants, walked down in SQL from the parent list alone."""
+    rows = ", ".join(f"('{c.class_name}', {repr(c.parent_class_name) if c.parent_class_name else 'NULL'})"
+                     for c in md.CLASSES)
+    return f"""WITH RECURSIVE parents(child, parent) AS (VALUES {rows}),
+        down(ancestor_class, descendant_class, depth) AS (
+            SELECT child, child, 0 FROM parents
+            UNION ALL SELECT d.ancestor_class, p.child, d.depth + 1 FROM down d JOIN parents p ON p.parent = d.descendant_class)
+        SELECT * FROM down"""
 
 
 @query("class_closure", sql(f"""
     SELECT ancestor_class, descendant_class, depth, COUNT(node_id) AS members
     FROM pairs LEFT JOIN (SELECT node_id, {CLASS_SQL.format(c='node_id')} AS c FROM node_keys) n
-      ON n.c = descendant_class GROUP BY ALL""", "node_keys", extra={"pairs": _pairs_values()}))
+      ON n.c = descendant_class GROUP BY ALL""", "node_keys", extra={"pairs": _pairs_sql()}))
 def class_closure(t: Tables) -> DataFrame:
     """Reflexive class closure with the number of live members of each descendant class."""
     members = (b.node_keys(t).groupBy("node_type").agg(F.count("*").alias("members"))
@@ -258,6 +250,19 @@ ALL_INFERRED_SQL = f"""({INVERSE_ROWS_SQL}) UNION ALL ({ABSTRACT_INVERSE_SQL})
     UNION ALL ({TRANSITIVE_SQL}) UNION ALL ({CHAIN_SQL})"""
 
 
+@query("rel_resolved", sql(f"""
+    SELECT edge_type AS rel_name, src_id, {SRC_CLASS} AS src_class, dst_id, {DST_CLASS} AS dst_class,
+           effective_start, effective_end, CAST(1.0 AS DOUBLE) AS weight, 'EXPLICIT' AS source FROM edges
+    UNION ALL
+    SELECT rel_name, src_id, {SRC_CLASS}, dst_id, {DST_CLASS}, effective_start, effective_end, weight,
+           inference_kind FROM i""", "edges", extra={"i": ALL_INFERRED_SQL}))
+def rel_resolved(t: Tables) -> DataFrame:
+    """Explicit edges and the edges of every enabled rule in one schema."""
+    edges = b.kg_edges(t)
+    inferred = inf.infer_all(edges, md.RULES, md.RELATION_MAP)
+    return ont.with_inferred(ont.resolved_relations(edges, md.CLASSES), inferred, md.CLASSES)
+
+
 @query("run_inference", sql("""
     SELECT rule_id, inference_kind AS rule_kind, rel_name AS target_rel, 'OK' AS status,
            COUNT(*) AS inferred FROM i GROUP BY rule_id, inference_kind, rel_name""", "edges",

@@ -3,7 +3,7 @@
 A mapping names the source table, an optional filter and a column map, so a new
 source is configuration. Nodes: node_id, node_type, name, props, ts_ingested.
 Edges: edge_id, src_id, src_type, dst_id, dst_type, edge_type, weight, props,
-effective_start, effective_end, ts_ingested.
+effective_start, effective_end, ts_ingested. A malformed date or time loads as null.
 """
 
 from __future__ import annotations
@@ -64,13 +64,13 @@ def map_objects(df: DataFrame, spec: ObjectSource) -> DataFrame:
         F.lit(spec.node_type).alias("node_type"),
         F.expr(spec.name).cast("string").alias("name"),
         (build_props(**props) if props else F.lit(None).cast("variant")).alias("props"),
-        F.expr(spec.ingested).cast("timestamp_ntz").alias("ts_ingested"))
+        F.expr(spec.ingested).try_cast("timestamp_ntz").alias("ts_ingested"))
 
 
 def map_links(df: DataFrame, spec: LinkSource) -> DataFrame:
     src = typed_id(spec.src_type, F.expr(spec.src_key))
     dst = typed_id(spec.dst_type, F.expr(spec.dst_key))
-    start = F.expr(spec.start).cast("date")
+    start = F.expr(spec.start).try_cast("date")
     props = {k: F.expr(v) for k, v in spec.props.items()}
     return _filtered(df, spec.where).select(
         edge_id(F.lit(spec.edge_type), src, dst, start).alias("edge_id"),
@@ -79,8 +79,8 @@ def map_links(df: DataFrame, spec: LinkSource) -> DataFrame:
         F.lit(spec.edge_type).alias("edge_type"),
         F.expr(spec.weight).cast("double").alias("weight"),
         (build_props(**props) if props else F.lit(None).cast("variant")).alias("props"),
-        start.alias("effective_start"), F.expr(spec.end).cast("date").alias("effective_end"),
-        F.expr(spec.ingested).cast("timestamp_ntz").alias("ts_ingested"))
+        start.alias("effective_start"), F.expr(spec.end).try_cast("date").alias("effective_end"),
+        F.expr(spec.ingested).try_cast("timestamp_ntz").alias("ts_ingested"))
 
 
 def ingest_objects(frames: Mapping[str, DataFrame], specs: list[ObjectSource]) -> DataFrame:
@@ -101,7 +101,7 @@ def tag_by_role(df: DataFrame, role: Column, shapes: Mapping[str, Mapping[str, C
         props = F.when(tag == node_type, shaped) if props is None else props.when(tag == node_type, shaped)
     return df.select(F.concat_ws(":", tag, key.cast("string")).alias("node_id"),
                      tag.alias("node_type"), name.cast("string").alias("name"),
-                     props.alias("props"), ingested.cast("timestamp_ntz").alias("ts_ingested"))
+                     props.alias("props"), ingested.try_cast("timestamp_ntz").alias("ts_ingested"))
 
 
 def edges_from_props(nodes: DataFrame, node_type: str, links: Mapping[str, tuple[str, str]],

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from kgspark.session import cut_lineage
 from kgspark.operators import actions, moves
 
 DAY0 = dt.date(2000, 1, 1)
@@ -130,21 +131,29 @@ def test_peers_of(tenures):
 
 
 def test_apply_moves(spark):
-    day = dt.date(2001, 12, 1)
+    day, soon = dt.date(2001, 12, 1), dt.date(2001, 11, 1)
     tenures = spark.createDataFrame(
-        [(1, 10, DAY0, None), (2, 10, DAY0, day), (3, 10, DAY0, None)],
-        "part_key bigint, supp_key bigint, start_date date, end_date date")
-    requests = spark.createDataFrame([(1, 10, 20, day), (2, 10, 20, day), (3, 10, 10, day)],
-                                     "part_key bigint, from_key bigint, to_key bigint, move_date date")
+        [(1, 10, DAY0, None), (2, 10, DAY0, day), (3, 10, DAY0, None), (4, 10, DAY0, None), (5, 10, DAY0, None),
+         (5, 20, DAY0, day)], "part_key bigint, supp_key bigint, start_date date, end_date date")
+    requests = spark.createDataFrame(
+        [(1, 10, 20, day), (2, 10, 20, day), (3, 10, 10, day), (4, 10, 30, day), (4, 10, 20, soon), (4, 10, 40, soon),
+         (4, 10, 20, soon), (5, 10, 20, day)], "part_key bigint, from_key bigint, to_key bigint, move_date date")
     decided = actions.decide_moves(tenures, requests, "part_key", "supp_key")
-    assert {r.part_key: r.status for r in decided.collect()} == {
-        1: "APPLIED", 2: "NO_OPEN_TENURE", 3: "SAME_SUPPLIER"}
-    after = sorted(tuple(r) for r in actions.apply_moves(tenures, decided, "part_key", "supp_key").collect()
-                   if r.part_key == 1)
-    assert after == [(1, 10, DAY0, day), (1, 20, day, None)]
+    assert {(r.part_key, r.to_key): r.status for r in decided.collect()} == {
+        (1, 20): "APPLIED", (2, 20): "NO_OPEN_TENURE", (3, 10): "SAME_SUPPLIER", (4, 20): "APPLIED",
+        (4, 30): "SUPERSEDED", (4, 40): "SUPERSEDED", (5, 20): "APPLIED"}
+    after = {(r.part_key, r.supp_key, r.tenure): (r.start_date, r.end_date)
+             for r in actions.apply_moves(tenures, decided, "part_key", "supp_key").collect()}
+    assert after == {(1, 10, 1): (DAY0, day), (1, 20, 1): (day, None), (2, 10, 1): (DAY0, day), (3, 10, 1): (DAY0, None),
+                     (4, 10, 1): (DAY0, soon), (4, 20, 1): (soon, None), (5, 10, 1): (DAY0, day),
+                     (5, 20, 1): (DAY0, day), (5, 20, 2): (day, None)}
+    # the same requests again find nothing open to move
+    written = cut_lineage(actions.apply_moves(tenures, decided, "part_key", "supp_key"))
+    again = actions.decide_moves(written, requests, "part_key", "supp_key")
+    assert again.where("status = 'APPLIED'").count() == 0
     engaged = actions.engage(tenures, spark.createDataFrame(
-        [(1, 10, day), (4, 10, day)], "part_key bigint, supp_key bigint, start_date date"), "part_key", "supp_key")
-    assert engaged.count() == 4  # part 1 already has an open tenure there
+        [(1, 10, day), (6, 10, day)], "part_key bigint, supp_key bigint, start_date date"), "part_key", "supp_key")
+    assert engaged.count() == 7  # part 1 already has an open tenure there
     known = spark.createDataFrame([(1, "a")], "k bigint, v string")
     new = spark.createDataFrame([(1, "b"), (2, "c")], "k bigint, v string")
     assert sorted(tuple(r) for r in actions.record(known, new, "k").collect()) == [(1, "a"), (2, "c")]
