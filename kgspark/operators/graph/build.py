@@ -1,10 +1,9 @@
 """Undirected graphs: pair edges, and hubs standing for everyone who shares them.
 
 Entities sharing a hub (parts on one order, suppliers of one part) are all neighbours of
-each other. A hub with n members means n(n-1)/2 neighbour pairs, so traversals keep the n
-membership rows and go through the hub. Where an algorithm needs distinct neighbours,
-``project`` writes pairs for small hubs only and treats the members of large hubs as
-classes, which exchange sums instead of pairs.
+each other, once per shared hub: the weight of a hub edge is the number of shared hubs. A
+hub with n members stands for n(n-1)/2 neighbour pairs but is only ever kept, read and
+shuffled as its n membership rows, whatever its size.
 """
 
 from __future__ import annotations
@@ -16,84 +15,48 @@ from pyspark.sql import DataFrame, functions as F
 
 from kgspark.session import cut_lineage
 
-HOT_HUB = 1000  # hubs with more members are never spelled out as pairs
-
 
 @dataclass
 class Graph:
-    """nodes: id. pairs: a, b with a < b. members: node, kind, hub.
-
-    classes (node, sig) and links (sig, sig2) stand for all pairs of different nodes whose
-    classes are linked, in both directions and including a class with itself; they never
-    repeat a pair held in ``pairs``.
-    """
+    """nodes: id. pairs: a, b with a < b. members: node, kind, hub. Pairs and hubs add up."""
 
     nodes: DataFrame
     pairs: DataFrame | None = None
     members: DataFrame | None = None
-    classes: DataFrame | None = None
-    links: DataFrame | None = None
 
     def adjacency(self) -> DataFrame:
         """Pair edges in both directions as (src, dst)."""
         if self.pairs is None:
-            raise ValueError("this graph has no pair edges; project it first")
+            raise ValueError("this graph has no pair edges")
         both = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
                                  F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
         return self.pairs.select(both.alias("e")).select("e.*")
 
 
 class Neighbours:
-    """Sums over distinct neighbours, the one step all centralities are made of."""
+    """Weighted sums over neighbours, the one step all centralities are made of."""
 
     def __init__(self, graph: Graph):
-        self.adjacency = cut_lineage(graph.adjacency())
-        self.classes, self.links = graph.classes, graph.links
+        self.adjacency = cut_lineage(graph.adjacency()) if graph.pairs is not None else None
+        self.members = graph.members
+        if self.members is not None:
+            self.held = cut_lineage(self.members.groupBy("node").agg(F.count("*").alias("hubs")))
 
     def total(self, values: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-        """values: keys, node, v -> keys, node, v summed over each node's neighbours."""
-        out = values.withColumnRenamed("node", "src").join(self.adjacency, "src").select(
-            *keys, F.col("dst").alias("node"), "v")
-        if self.classes is not None:
-            inside = values.join(self.classes, "node")
-            per_class = inside.groupBy(*keys, "sig").agg(F.sum("v").alias("v"))
-            received = (per_class.join(self.links, "sig").groupBy(*keys, F.col("sig2").alias("sig"))
-                        .agg(F.sum("v").alias("v")).join(self.classes, "sig").select(*keys, "node", "v"))
-            own = inside.select(*keys, "node", (-F.col("v")).alias("v"))  # a node is in its own class
-            out = out.unionByName(received).unionByName(own)
-        return out.groupBy(*keys, "node").agg(F.sum("v").alias("v"))
-
-
-def project(graph: Graph, hot_hub: int = HOT_HUB) -> Graph:
-    """Hub graph -> graph of distinct neighbours.
-
-    Small hubs become pairs, at most hot_hub squared each. Members of large hubs are
-    grouped into classes by the set of large hubs they belong to (two 64-bit fingerprints
-    and the count); two classes are linked when they share a large hub. A pair that is
-    linked through classes is left out of the pairs, so each neighbour counts once.
-    """
-    members = graph.members
-    sizes = cut_lineage(hub_sizes(members))
-    hot = sizes.where(F.col("members") > hot_hub).select("kind", "hub")
-    small = members.join(hot, ["kind", "hub"], "left_anti")
-    left = small.select("kind", "hub", F.col("node").alias("a"))
-    right = small.select("kind", "hub", F.col("node").alias("b"))
-    pairs = left.join(right, ["kind", "hub"]).where("a < b").select("a", "b").distinct()
-    if hot.isEmpty():
-        return Graph(graph.nodes, pairs=cut_lineage(pairs))
-    large = cut_lineage(members.join(hot, ["kind", "hub"], "left_semi"))
-    prints = large.groupBy("node").agg(
-        F.bit_xor(F.xxhash64("kind", "hub")).alias("x"),
-        F.bit_xor(F.xxhash64("hub", "kind", F.lit(1))).alias("y"), F.count("*").alias("n"))
-    shapes = cut_lineage(prints.groupBy("x", "y", "n").agg(F.min("node").alias("sig")))
-    classes = cut_lineage(prints.join(shapes, ["x", "y", "n"]).select("node", "sig"))
-    held = large.join(shapes.select(F.col("sig").alias("node")), "node", "left_semi").select(
-        F.col("node").alias("sig"), "kind", "hub")
-    links = cut_lineage(held.join(held.withColumnRenamed("sig", "sig2"), ["kind", "hub"])
-                        .select("sig", "sig2").distinct())
-    tagged = (pairs.join(classes.toDF("a", "sig"), "a", "left").join(classes.toDF("b", "sig2"), "b", "left"))
-    rest = tagged.join(links, ["sig", "sig2"], "left_anti").select("a", "b")
-    return Graph(graph.nodes, pairs=cut_lineage(rest), classes=classes, links=links)
+        """values: keys, node, v -> keys, node, v summed over each node's neighbours.
+
+        Through hubs: members send their value in, the hub sends the sum back, and each
+        member takes off its own share, once per hub it holds.
+        """
+        parts = []
+        if self.adjacency is not None:
+            parts.append(values.withColumnRenamed("node", "src").join(self.adjacency, "src").select(
+                *keys, F.col("dst").alias("node"), "v"))
+        if self.members is not None:
+            sums = values.join(self.members, "node").groupBy(*keys, "kind", "hub").agg(F.sum("v").alias("v"))
+            parts.append(sums.join(self.members, ["kind", "hub"]).select(*keys, "node", "v"))
+            parts.append(values.join(self.held, "node").select(*keys, "node", (-F.col("v") * F.col("hubs")).alias("v")))
+        return reduce(DataFrame.unionByName, parts).groupBy(*keys, "node").agg(F.sum("v").alias("v"))
 
 
 def canonical_pairs(links: DataFrame, x: str, y: str, via: str, relationship: str) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Centralities of undirected, unweighted graphs; hub graphs are projected first.
+"""Centralities of undirected graphs. A pair edge weighs 1, a hub edge as many as the hubs shared:
+degree adds these weights, and paths over different hubs are different shortest paths.
 
 Definitions: degree and closeness after Freeman with the usual correction for several
 components, betweenness after Brandes (2001), eigenvector after Bonacich (1972).
@@ -11,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from kgspark.operators.graph.build import Graph, Neighbours, project
+from kgspark.operators.graph.build import Graph, Neighbours
 from kgspark.session import cut_lineage
 
 # fixed values: iteration cap and tolerance of the power iteration
@@ -20,15 +21,11 @@ TOLERANCE = 1e-6
 SOURCES_PER_BATCH = 4096
 
 
-def _neighbours(graph: Graph) -> Neighbours:
-    return Neighbours(project(graph) if graph.members is not None else graph)
-
-
 def degree(graph: Graph) -> DataFrame:
-    """degree / (n - 1); isolated nodes score 0."""
+    """Weighted degree / (n - 1); isolated nodes score 0."""
     n = graph.nodes.agg(F.count("*")).scalar()
     ones = graph.nodes.select(F.col("id").alias("node"), F.lit(1).cast("bigint").alias("v"))
-    counted = _neighbours(graph).total(ones).select(F.col("node").alias("id"), "v")
+    counted = Neighbours(graph).total(ones).select(F.col("node").alias("id"), "v")
     return graph.nodes.select("id").join(counted, "id", "left").select(
         "id", F.coalesce(F.col("v") / (n - 1), F.lit(0.0)).alias("score"))
 
@@ -61,7 +58,7 @@ def closeness(graph: Graph, per_batch: int = SOURCES_PER_BATCH) -> DataFrame:
 
     Each level of a batch adds its counts per source; only two levels are looked back at.
     """
-    around = _neighbours(graph)
+    around = Neighbours(graph)
     sums = []
     for sources in _batches(graph, per_batch):
         counts = [level.groupBy("source").agg(F.count("*").alias("r"), (F.count("*") * depth).alias("d"))
@@ -81,7 +78,7 @@ def closeness(graph: Graph, per_batch: int = SOURCES_PER_BATCH) -> DataFrame:
 
 def betweenness(graph: Graph, per_batch: int = SOURCES_PER_BATCH) -> DataFrame:
     """Share of shortest paths through each node, scaled by 2/((n-1)(n-2))."""
-    around = _neighbours(graph)
+    around = Neighbours(graph)
     parts = []
     for sources in _batches(graph, per_batch):
         levels = _sigma_levels(sources, around)
@@ -117,7 +114,7 @@ def eigenvector(graph: Graph, max_steps: int = MAX_STEPS, tolerance: float = TOL
 
     Only two scalars per step reach the driver.
     """
-    around = _neighbours(graph)
+    around = Neighbours(graph)
     n = graph.nodes.count()
     if n == 0:
         return graph.nodes.select("id").withColumn("score", F.lit(0.0))

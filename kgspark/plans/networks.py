@@ -50,7 +50,7 @@ def load_graph(t: Tables, graph_type: str, relations=None) -> Graph:
         return Graph(nodes, members=cut_lineage(part_members(t, relations or ("supplier", "order"))))
     if graph_type == "supplier":
         nodes = t.supplier.select(F.col("s_suppkey").alias("id"))
-        pairs = supplier_pairs(t) if relations == ("match", "move") else supplier_matches(t)
+        pairs = {("match",): supplier_matches, ("match", "move"): supplier_pairs}[relations or ("match", "move")](t)
         return Graph(nodes, pairs=cut_lineage(pairs.select("a", "b")))
     raise ValueError(f"unknown graph type {graph_type}")
 
@@ -104,8 +104,8 @@ def graph_edges_supplier(t: Tables) -> DataFrame:
 
 # --- SQL pieces: unrolled search levels --------------------------------------------------------
 
-CO_ORDER_ADJ = """SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x
-    JOIN lineitem y ON y.l_orderkey = x.l_orderkey AND y.l_partkey <> x.l_partkey"""
+PART_HUBS = """SELECT DISTINCT l_partkey AS node, 'order' AS kind, l_orderkey AS hub FROM lineitem
+    UNION ALL SELECT DISTINCT l_partkey, 'supplier', l_suppkey FROM lineitem"""
 CO_SUPPLIER_ADJ = """SELECT x.l_partkey AS a, y.l_partkey AS b, MIN(x.l_suppkey) AS via
     FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) x
     JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) y
@@ -114,7 +114,9 @@ CO_PART_ADJ = """SELECT x.l_suppkey AS a, y.l_suppkey AS b, MIN(x.l_partkey) AS
     FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) x
     JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) y
       ON y.l_partkey = x.l_partkey AND y.l_suppkey <> x.l_suppkey GROUP BY 1, 2"""
-SUPPLIER_ADJ = """SELECT lead_key AS a, tail_key AS b FROM matchups UNION SELECT tail_key, lead_key FROM matchups"""
+SUPPLIER_ADJ = """SELECT lead_key AS a, tail_key AS b FROM matchups UNION SELECT tail_key, lead_key FROM matchups
+    UNION SELECT prev_member, supp_key FROM ranked WHERE prev_end < start_date AND prev_member <> supp_key
+    UNION SELECT supp_key, prev_member FROM ranked WHERE prev_end < start_date AND prev_member <> supp_key"""
 
 
 def level_ctes(adj: str, sources: str, depth: int) -> dict[str, str]:
@@ -129,14 +131,27 @@ def level_ctes(adj: str, sources: str, depth: int) -> dict[str, str]:
     return ctes
 
 
+def hub_level_ctes(hubs: str, sources: str, depth: int) -> dict[str, str]:
+    """The same levels on a graph of hubs, through memberships."""
+    ctes = {"mem": hubs, "l0": f"SELECT source, source AS node, CAST(NULL AS BIGINT) AS parent FROM ({sources})"}
+    for d in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT source, node FROM l{i}" for i in range(max(0, d - 2), d))
+        ctes[f"l{d}"] = f"""SELECT h.source, m.node, MIN(h.parent) AS parent FROM (
+                SELECT f.source, m.kind, m.hub, MIN(f.node) AS parent FROM l{d - 1} f JOIN mem m ON m.node = f.node
+                GROUP BY 1, 2, 3) h JOIN mem m ON m.kind = h.kind AND m.hub = h.hub
+            ANTI JOIN ({seen}) s ON s.source = h.source AND s.node = m.node GROUP BY 1, 2"""
+    ctes["r"] = " UNION ALL ".join(f"SELECT source, node, parent, {d} AS dist FROM l{d}" for d in range(depth + 1))
+    return ctes
+
+
 # --- paths -------------------------------------------------------------------------------------
 
 @query("bfs_distances", sql("""SELECT 'PART:' || source AS source_id, 'PART:' || node AS id, dist AS distance,
-    'PART:' || parent AS parent_id FROM r""", extra=level_ctes(
-        CO_ORDER_ADJ, "SELECT CAST(1 AS BIGINT) AS source", 6)))
+    'PART:' || parent AS parent_id FROM r""", extra=hub_level_ctes(
+        PART_HUBS, "SELECT CAST(1 AS BIGINT) AS source", 6)))
 def bfs_distances(t: Tables, source: int = START_PART) -> DataFrame:
-    """Distance of every part reached from one part through shared orders."""
-    graph = load_graph(t, "part", ("order",))
+    """Distance of every part reached from one part through shared orders and suppliers."""
+    graph = load_graph(t, "part")
     seeds = t.spark.createDataFrame([(source,)], "source bigint")
     rows = traverse.all_levels(traverse.bfs_levels(graph, seeds))
     return rows.select(part_id("source").alias("source_id"), part_id("node").alias("id"),
@@ -154,7 +169,7 @@ def _path_rows(found: DataFrame, node_type: str) -> DataFrame:
                         node_path(node_type).alias("path"))
 
 
-def _path_sql(pairs: str, adj: str, depth: int) -> str:
+def _path_sql(pairs: str, depth: int) -> str:
     """Paths by walking the parents back from each target."""
     walks = {"w0": f"""SELECT p.source, p.target, r.dist, p.target AS node,
         'PART:' || p.target AS path FROM ({pairs}) p LEFT JOIN r ON r.source = p.source AND r.node = p.target"""}
@@ -165,13 +180,12 @@ def _path_sql(pairs: str, adj: str, depth: int) -> str:
     return sql(f"""SELECT 'PART:' || source AS source_id, 'PART:' || target AS target_id,
         CASE WHEN dist IS NULL THEN 'NO_PATH' ELSE 'OK' END AS status, dist AS distance,
         CASE WHEN dist IS NOT NULL THEN path END AS path FROM w{depth}""",
-               extra={**level_ctes(adj, f"SELECT DISTINCT source FROM ({pairs})", depth), **walks})
+               extra={**hub_level_ctes(PART_HUBS, f"SELECT DISTINCT source FROM ({pairs})", depth), **walks})
 
 
-@query("shortest_path", _path_sql("SELECT CAST(1 AS BIGINT) AS source, CAST(2 AS BIGINT) AS target",
-                                  CO_ORDER_ADJ, 6))
+@query("shortest_path", _path_sql("SELECT CAST(1 AS BIGINT) AS source, CAST(2 AS BIGINT) AS target", 6))
 def shortest_path(t: Tables, source: int = START_PART, target: int = END_PART,
-                  graph_type: str = "part", relations=("order",)) -> DataFrame:
+                  graph_type: str = "part", relations=None) -> DataFrame:
     pair = t.spark.createDataFrame([(source, target)], "source bigint, target bigint")
     kind = {"part": "PART", "supplier": "SUPPLIER"}
     graph = load_graph(t, graph_type, relations)
@@ -179,11 +193,11 @@ def shortest_path(t: Tables, source: int = START_PART, target: int = END_PART,
 
 
 @query("shortest_path_batch", _path_sql("""SELECT MIN(p_partkey) AS source, MAX(p_partkey) AS target FROM part
-    GROUP BY p_brand""", CO_ORDER_ADJ, 6))
+    GROUP BY p_brand""", 6))
 def shortest_path_batch(t: Tables) -> DataFrame:
     """First and last part of every brand: all pairs in one search."""
     pairs = t.part.groupBy("p_brand").agg(F.min("p_partkey").alias("source"), F.max("p_partkey").alias("target"))
-    return _path_rows(traverse.shortest_paths(load_graph(t, "part", ("order",)), pairs), "PART")
+    return _path_rows(traverse.shortest_paths(load_graph(t, "part"), pairs), "PART")
 
 
 def _weights(t: Tables) -> DataFrame:
@@ -275,7 +289,7 @@ def _scores(scores: DataFrame) -> DataFrame:
 @query("centrality_degree", sql(f"""
     SELECT 'SUPPLIER:' || s_suppkey AS id, ROUND(COALESCE(n, 0) / ({N_SUPPLIERS} - 1), 9) AS score
     FROM supplier LEFT JOIN (SELECT a, COUNT(*) AS n FROM adj GROUP BY a) d ON d.a = s_suppkey""",
-                                "matchups", extra={"adj": SUPPLIER_ADJ}))
+                                "matchups", "supplied_by", extra={**PART_RANKED, "adj": SUPPLIER_ADJ}))
 def centrality_degree(t: Tables) -> DataFrame:
     return _scores(centrality.degree(load_graph(t, "supplier")))
 
@@ -284,8 +298,8 @@ def centrality_degree(t: Tables) -> DataFrame:
     SELECT 'SUPPLIER:' || s_suppkey AS id, ROUND(COALESCE((CAST(n AS DOUBLE) / s) *
            (CAST(n AS DOUBLE) / ({N_SUPPLIERS} - 1)), 0), 9) AS score
     FROM supplier LEFT JOIN (SELECT source, COUNT(*) AS n, SUM(dist) AS s FROM r WHERE dist > 0 GROUP BY source) d
-      ON d.source = s_suppkey""", "matchups", extra=level_ctes(
-        SUPPLIER_ADJ, "SELECT s_suppkey AS source FROM supplier", 6)))
+      ON d.source = s_suppkey""", "matchups", "supplied_by", extra={**PART_RANKED, **level_ctes(
+        SUPPLIER_ADJ, "SELECT s_suppkey AS source FROM supplier", 6)}))
 def centrality_closeness(t: Tables) -> DataFrame:
     return _scores(centrality.closeness(load_graph(t, "supplier")))
 
@@ -310,17 +324,20 @@ def _sigma_ctes(depth: int) -> dict[str, str]:
       SELECT x.node AS v, SUM(x.sigma * y.sigma / st.sigma) AS c
       FROM g st JOIN g x ON x.source = st.source JOIN g y ON y.source = st.node AND y.node = x.node
       WHERE st.source < st.node AND x.node <> st.source AND x.node <> st.node
-        AND x.dist + y.dist = st.dist GROUP BY x.node) b ON b.v = s_suppkey""", "matchups",
-                                     extra=_sigma_ctes(6)))
+        AND x.dist + y.dist = st.dist GROUP BY x.node) b ON b.v = s_suppkey""", "matchups", "supplied_by",
+                                     extra={**PART_RANKED, **_sigma_ctes(6)}))
 def centrality_betweenness(t: Tables) -> DataFrame:
     return _scores(centrality.betweenness(load_graph(t, "supplier")))
 
 
-@query("centrality_degree_part", f"""
+@query("centrality_degree_part", sql("""
     SELECT 'PART:' || p_partkey AS id, ROUND(COALESCE(n, 0) / ((SELECT COUNT(*) FROM part) - 1), 9) AS score
-    FROM part LEFT JOIN (SELECT a, COUNT(*) AS n FROM ({CO_ORDER_ADJ}) GROUP BY a) d ON d.a = p_partkey""")
-def centrality_degree_part(t: Tables, relations=("order",)) -> DataFrame:
-    """Degree of every part among the parts it shares an order with."""
+    FROM part LEFT JOIN (
+        SELECT mem.node, CAST(SUM(h.n - 1) AS DOUBLE) AS n FROM mem
+        JOIN (SELECT kind, hub, COUNT(*) AS n FROM mem GROUP BY kind, hub) h ON h.kind = mem.kind AND h.hub = mem.hub
+        GROUP BY mem.node) d ON d.node = p_partkey""", extra={"mem": PART_HUBS}))
+def centrality_degree_part(t: Tables, relations=None) -> DataFrame:
+    """Degree of every part among the parts it shares orders and suppliers with, once per shared one."""
     scores = centrality.degree(load_graph(t, "part", relations))
     return scores.select(part_id("id").alias("id"), F.round("score", 9).alias("score"))
 
@@ -328,25 +345,29 @@ def centrality_degree_part(t: Tables, relations=("order",)) -> DataFrame:
 SETTLED = 1e-10  # mean change per score at which the registered power iterations stop
 
 
-def _power_sql(nodes: str, adj: str, prefix: str, steps: int = 80) -> str:
+def _power_sql(nodes: str, adj: str, prefix: str, steps: int = 40) -> str:
     """Power iteration on A + I for a fixed number of steps, brought to unit length at the end."""
-    ctes = sql("", "matchups", extra={
-        "adj": adj, "own": f"SELECT id, id AS other FROM ({nodes}) UNION ALL SELECT a, b FROM adj"})
+    ctes = sql("", "matchups", "supplied_by", extra={
+        **PART_RANKED, "mem": PART_HUBS, "adj": adj,
+        "own": f"SELECT id, id AS other, 1 AS w FROM ({nodes}) UNION ALL SELECT a, b, w FROM adj"})
     return f"""{ctes.replace("WITH", "WITH RECURSIVE", 1)}, it AS (
             SELECT id, CAST(1 AS DOUBLE) AS v, 0 AS step FROM ({nodes})
-            UNION ALL SELECT own.id, SUM(it.v) / 100, ANY_VALUE(it.step) + 1 FROM it JOIN own ON own.other = it.id
+            UNION ALL SELECT own.id, SUM(it.v * own.w) / 100, ANY_VALUE(it.step) + 1 FROM it JOIN own ON own.other = it.id
             WHERE it.step < {steps} GROUP BY own.id)
         SELECT '{prefix}:' || id AS id, ROUND(v / (SELECT SQRT(SUM(v * v)) FROM it WHERE step = {steps}), 6) AS score
         FROM it WHERE step = {steps}"""
 
 
-@query("centrality_eigenvector_part", _power_sql("SELECT p_partkey AS id FROM part", CO_ORDER_ADJ, "PART"))
-def centrality_eigenvector_part(t: Tables, relations=("order",)) -> DataFrame:
+@query("centrality_eigenvector_part", _power_sql("SELECT p_partkey AS id FROM part", """
+    SELECT x.node AS a, y.node AS b, COUNT(*) AS w FROM mem x JOIN mem y
+      ON y.kind = x.kind AND y.hub = x.hub AND y.node <> x.node GROUP BY 1, 2""", "PART"))
+def centrality_eigenvector_part(t: Tables, relations=None) -> DataFrame:
     scores = centrality.eigenvector(load_graph(t, "part", relations), tolerance=SETTLED)
     return scores.select(part_id("id").alias("id"), F.round("score", 6).alias("score"))
 
 
-@query("centrality_eigenvector", _power_sql("SELECT s_suppkey AS id FROM supplier", SUPPLIER_ADJ, "SUPPLIER"))
+@query("centrality_eigenvector", _power_sql("SELECT s_suppkey AS id FROM supplier",
+                                            f"SELECT a, b, 1 AS w FROM ({SUPPLIER_ADJ})", "SUPPLIER"))
 def centrality_eigenvector(t: Tables) -> DataFrame:
     scores = centrality.eigenvector(load_graph(t, "supplier"), tolerance=SETTLED)
     return scores.select(supplier_id("id").alias("id"), F.round("score", 6).alias("score"))
@@ -355,7 +376,7 @@ def centrality_eigenvector(t: Tables) -> DataFrame:
 @query("centrality_top", sql(f"""
     SELECT 'SUPPLIER:' || s_suppkey AS id, s_name AS name, ROUND(n / ({N_SUPPLIERS} - 1), 9) AS score
     FROM supplier JOIN (SELECT a, COUNT(*) AS n FROM adj GROUP BY a) d ON d.a = s_suppkey
-    ORDER BY n DESC, s_suppkey LIMIT 10""", "matchups", extra={"adj": SUPPLIER_ADJ}))
+    ORDER BY n DESC, s_suppkey LIMIT 10""", "matchups", "supplied_by", extra={**PART_RANKED, "adj": SUPPLIER_ADJ}))
 def centrality_top(t: Tables, graph_type: str = "supplier", method: str = "degree",
                    top_n: int = 10, relations=None) -> DataFrame:
     """Top parts or suppliers by a centrality, with their names."""

@@ -10,7 +10,7 @@ import pytest
 
 from kgspark.operators.graph import centrality, community, traverse
 from kgspark.operators.graph.build import (Graph, Neighbours, canonical_pairs, first_relation_wins,
-                                           hub_sizes, memberships, project)
+                                           hub_sizes, memberships)
 
 # a 4-cycle with a tail, a triangle apart from it, and an isolated node
 EDGES = [(0, 1), (1, 2), (2, 3), (0, 3), (3, 4), (4, 5), (10, 11), (11, 12), (10, 12)]
@@ -203,23 +203,38 @@ def test_building(spark):
         (7, 2, 1), (8, 1, 0)]
 
 
-@pytest.mark.parametrize("hot_hub", [0, 2, 3, 100])
-def test_projection_counts_each_neighbour_once(hub_graph, spark, hot_hub):
-    """The same neighbour sums whichever hubs are spelled out and whichever are classes."""
+def hub_weights(graph):
+    """Shared hubs of every pair of nodes."""
+    hubs, shared = {}, {}
+    for r in graph.members.collect():
+        hubs.setdefault((r.kind, r.hub), []).append(r.node)
+    for members in hubs.values():
+        for a, b in itertools.permutations(members, 2):
+            shared[a, b] = shared.get((a, b), 0) + 1
+    return shared
+
+
+def test_hub_sums_weigh_shared_hubs(hub_graph, spark):
     graph, adj, nodes = hub_graph
-    around = Neighbours(project(graph, hot_hub))
+    w = hub_weights(graph)
     values = spark.createDataFrame([("k", n, float(n + 1)) for n in nodes], "source string, node bigint, v double")
-    got = {r.node: r.v for r in around.total(values, ("source",)).collect() if abs(r.v) > 1e-9}
-    assert got == {n: pytest.approx(sum(m + 1 for m in adj[n])) for n in nodes if adj[n]}
+    got = {r.node: r.v for r in Neighbours(graph).total(values, ("source",)).collect() if abs(r.v) > 1e-9}
+    assert got == {n: pytest.approx(sum(w[m, n] * (m + 1) for m in adj[n])) for n in nodes if adj[n]}
 
 
-def test_hub_graph_centralities(hub_graph, monkeypatch):
+def test_hub_graph_centralities(hub_graph):
     graph, adj, nodes = hub_graph
-    monkeypatch.setattr("kgspark.operators.graph.centrality.project", lambda g: project(g, 3))
-    assert scores(centrality.degree(graph)) == {n: len(adj[n]) / 14 for n in nodes}
+    w = hub_weights(graph)
+    assert scores(centrality.degree(graph)) == {n: sum(w[m, n] for m in adj[n]) / 14 for n in nodes}
     got = scores(centrality.closeness(graph))
     between = scores(centrality.betweenness(graph))
-    info = {n: search(adj, n) for n in nodes}
+    info = {}
+    for s in nodes:
+        dist, _, order = search(adj, s)
+        sigma = {s: 1}
+        for v in order[1:]:
+            sigma[v] = sum(sigma[u] * w[u, v] for u in adj[v] if dist[u] == dist[v] - 1)
+        info[s] = dist, sigma
     for n in nodes:
         r, total = len(info[n][0]) - 1, sum(info[n][0].values())
         assert got[n] == pytest.approx(r / total * r / 14 if total else 0.0)
@@ -230,7 +245,12 @@ def test_hub_graph_centralities(hub_graph, monkeypatch):
         assert between[n] == pytest.approx(share * 2 / (14 * 13))
 
 
-def test_louvain_refuses_unspelled_hubs(hub_graph, monkeypatch):
-    monkeypatch.setattr("kgspark.operators.graph.community.project", lambda g: project(g, 2))
-    with pytest.raises(ValueError):
-        community.louvain(hub_graph[0])
+def test_a_hub_of_thousands(spark):
+    """One hub of 4000 members beside small ones, through the same code as any other."""
+    rows = [(n, "h", 0) for n in range(4000)] + [(n, "g", n // 4) for n in range(4000, 4020)] + [(0, "g", 1000)]
+    graph = Graph(spark.range(4020), members=spark.createDataFrame(rows, "node bigint, kind string, hub bigint"))
+    degrees = scores(centrality.degree(graph))
+    assert degrees[1] == 3999 / 4019 and degrees[0] == (3999 + 4) / 4019 and degrees[4000] == 4 / 4019
+    found = {r.id: r.community_id for r in community.louvain(graph).collect()}
+    assert {found[n] for n in range(1, 4000)} == {found[1]} and found[4004] == 4004 == found[4007]
+    assert len(found) == 4020
