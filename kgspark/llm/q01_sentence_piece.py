@@ -1,14 +1,15 @@
 """op1: every whole text encoded and decoded, with the original library's pieces compared."""
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kgspark.llm.common import documents
+from kgspark.llm.common import documents, text_slices
 from kgspark.llm.registry import query
 from kgspark.llm.sentence_piece import _model_bytes, codec, ids_crc32
 
-import numpy as np
+SLICE = 1 << 20  # bytes of text whose ids are held as Python numbers at once
 
 
 def encoded_and_decoded(docs: DataFrame, model_file: str, check: bool = True) -> DataFrame:
@@ -22,15 +23,16 @@ def encoded_and_decoded(docs: DataFrame, model_file: str, check: bool = True) ->
     def run(batches):
         coder = codec(data, check)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            flat, sizes = coder.encode(texts)
-            rows = np.split(flat, np.cumsum(sizes)[:-1]) if texts else []
-            back = coder.decode([r.tolist() for r in rows])
-            same = [a == coder.shown(t) for a, t in zip(back, texts)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array([ids_crc32(r) for r in rows], pa.int64()),
-                 pa.array(same, pa.bool_()), pa.array([coder.differing == 0] * len(texts), pa.bool_())],
-                names=["doc_id", "n_tokens", "ids_crc32", "round_trip", "parity"])
+            ids, texts = batch.column("doc_id"), batch.column("text")
+            for first, part in text_slices(texts, SLICE):
+                part = [t.decode() for t in part]
+                flat, sizes = coder.encode(part)
+                rows = np.split(flat, np.cumsum(sizes)[:-1])
+                same = [a == coder.shown(t) for a, t in zip(coder.decode([r.tolist() for r in rows]), part)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(first, len(part)), pa.array(sizes), pa.array([ids_crc32(r) for r in rows], pa.int64()),
+                     pa.array(same, pa.bool_()), pa.array([coder.differing == 0] * len(part), pa.bool_())],
+                    names=["doc_id", "n_tokens", "ids_crc32", "round_trip", "parity"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
