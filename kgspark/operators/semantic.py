@@ -124,8 +124,9 @@ class SemanticModel:
                     {c: F.coalesce(c, f"r__{c}") for c in out_names}).drop(
                     *[f"r__{c}" for c in out_names])
             else:
-                result = result.withColumns(
-                    {m.name: agg.select(m.name).scalar() for m in wanted})
+                # one row: all metrics of the fact come from one subquery
+                row = agg.select(F.struct(*[m.name for m in wanted])).scalar()
+                result = result.withColumn("_row", row).select("*", "_row.*").drop("_row")
         return result
 
     def duplicate_keys(self, table: str) -> DataFrame:

@@ -204,7 +204,14 @@ def co_supplied_with(t: Tables) -> DataFrame:
         "peers", "overlapping_peers")
 
 
-def co_supplied_parts(t: Tables, part: int) -> DataFrame:
+@query("co_supplied_parts", sql("""
+    SELECT 'PART:' || x.part_key AS part_id, 'SUPPLIER:' || x.supp_key AS supplier_id, x.start_date, x.end_date,
+           CASE WHEN x.end_date IS NULL AND a.end_date IS NULL THEN NULL
+                ELSE GREATEST(DATEDIFF('day', GREATEST(x.start_date, a.start_date), LEAST(
+                     COALESCE(x.end_date, DATE '9999-12-31'), COALESCE(a.end_date, DATE '9999-12-31'))), 0) END AS overlap_days
+    FROM supplied_by a JOIN supplied_by x ON x.supp_key = a.supp_key AND x.part_key <> a.part_key
+    WHERE a.part_key = 1""", "supplied_by"))
+def co_supplied_parts(t: Tables, part: int = 1) -> DataFrame:
     """The parts that ever shared a supplier with one part, with the true overlap in days."""
     rows = moves.peers_of(b.supplied_by(t).select("part_key", "supp_key", "start_date", "end_date"),
                           "supp_key", "part_key", part)
@@ -214,7 +221,7 @@ def co_supplied_parts(t: Tables, part: int) -> DataFrame:
     return rows.select(
         part_id().alias("part_id"), supplier_id().alias("supplier_id"), "start_date", "end_date",
         F.when(last == far, F.lit(None)).when(last >= first, F.datediff(last, first))
-        .otherwise(0).alias("overlap_days"))
+        .otherwise(0).cast("bigint").alias("overlap_days"))
 
 
 CONSECUTIVE_SQL = """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from kgspark.functions.ids import typed_id
@@ -13,6 +15,8 @@ from kgspark.operators.semantic import Join, SemanticModel
 from kgspark.plans import binding as b, metadata as md
 from kgspark.plans.checks import AS_OF, active, sql
 from kgspark.plans.registry import query
+from kgspark.session import checkpoint_dir, cut_lineage
+from kgspark.sources import sinks
 from kgspark.sources.tables import Tables
 
 CLASS_SQL = ("CASE split_part({c}, ':', 1) WHEN 'PART' THEN 'Part' WHEN 'CUSTOMER' THEN 'Customer' "
@@ -268,7 +272,12 @@ def rel_resolved(t: Tables) -> DataFrame:
            COUNT(*) AS inferred FROM i GROUP BY rule_id, inference_kind, rel_name""", "edges",
                             extra={"i": ALL_INFERRED_SQL}))
 def run_inference(t: Tables) -> DataFrame:
-    return inf.run_inference(b.kg_edges(t), md.RULES, md.RELATION_MAP)
+    """Edges are written once, then each rule's edges to its own folder, counted as they are written."""
+    edges = cut_lineage(b.kg_edges(t).select(
+        "src_id", "dst_id", "edge_type", "weight", "effective_start", "effective_end"))
+    folder = f"{checkpoint_dir(t.spark).rstrip('/')}/inferred-{uuid.uuid4().hex}"
+    return inf.run_inference(edges, md.RULES, md.RELATION_MAP,
+                             lambda rows, rule: sinks.refresh_rule(rows, folder, rule.rule_id))
 
 
 @query("inferred_summary", sql("""
@@ -325,8 +334,10 @@ REFERENTIAL_SQL = f"""
 
 
 def nodes_known(t: Tables) -> DataFrame:
-    """The node table as it stood on the reference date; later orders are not in it yet."""
-    return b.kg_nodes(t).where(F.col("ts_ingested").cast("date") <= F.lit(b.AS_OF)).select("node_id")
+    """Ids of the node table as it stood on the reference date; later orders are not in it yet."""
+    placed = t.orders.where(F.col("o_orderdate").cast("date") <= F.lit(b.AS_OF)).select(
+        typed_id("ORDER", "o_orderkey").alias("node_id"))
+    return b.node_keys(t).where("node_type <> 'ORDER'").select("node_id").unionByName(placed)
 
 
 @query("check_referential", sql(REFERENTIAL_SQL, "edges", "order_dim"))
