@@ -307,23 +307,24 @@ def _lineage(df: DataFrame, kind: str, specs: list[tuple[str, str, int]]) -> Dat
 
 @query("coverage_profile", sql("""
     SELECT 'NODE' AS kind, node_type AS element, COUNT(*) AS rows_held, MIN(d) AS first_date,
-           MAX(d) AS last_date, 0 AS open_rows
+           MAX(d) AS last_date, 0 AS open_rows, CAST(node_type = 'REGION' AS DOUBLE) AS null_props_share
     FROM (SELECT node_type, CASE WHEN node_type = 'ORDER' THEN order_date ELSE DATE '1995-01-01' END AS d
           FROM node_keys LEFT JOIN order_dim ON node_id = 'ORDER:' || order_key) GROUP BY node_type
     UNION ALL
     SELECT 'EDGE', edge_type, COUNT(*), MIN(effective_start), MAX(effective_start),
-           COUNT(*) FILTER (effective_end IS NULL) FROM edges GROUP BY edge_type""",
+           COUNT(*) FILTER (effective_end IS NULL), CAST(edge_type = 'WITHIN' AS DOUBLE) FROM edges GROUP BY edge_type""",
                                "node_keys", "order_dim", "edges"))
 def coverage_profile(t: Tables) -> DataFrame:
-    """Time covered, row counts and open rows per node and edge type."""
+    """Time covered, row counts, open rows and share of rows without properties per node and edge type."""
+    bare = (F.count_if(F.col("props").isNull()) / F.count("*")).alias("null_props_share")
     day = F.col("ts_ingested").cast("date")
     nodes = b.kg_nodes(t).groupBy(F.lit("NODE").alias("kind"), F.col("node_type").alias("element")).agg(
         F.count("*").alias("rows_held"), F.min(day).alias("first_date"), F.max(day).alias("last_date"),
-        F.lit(0).cast("bigint").alias("open_rows"))
+        F.lit(0).cast("bigint").alias("open_rows"), bare)
     edges = b.kg_edges(t).groupBy(F.lit("EDGE").alias("kind"), F.col("edge_type").alias("element")).agg(
         F.count("*").alias("rows_held"), F.min("effective_start").alias("first_date"),
         F.max("effective_start").alias("last_date"),
-        F.count_if(F.col("effective_end").isNull()).alias("open_rows"))
+        F.count_if(F.col("effective_end").isNull()).alias("open_rows"), bare)
     return nodes.unionByName(edges)
 
 
