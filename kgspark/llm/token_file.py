@@ -2,7 +2,7 @@
 
 Documents are dealt to parts by ranges of their id and sorted within each part, so that the parts in
 order hold the corpus in ascending id order. A part is an Arrow IPC file whose record batches have
-two fixed-size-list columns: ``ids`` (uint32) and ``mask`` (boolean, false on the padding of a
+two fixed-size-list columns: ``ids`` (uint16 for vocabularies that fit, else uint32) and ``mask`` (boolean, false on the padding of a
 part's last sequence). Sequence i of a batch lies at i * length of the values buffer, so a memory
 map gives it without a copy. The end id may also occur inside a text; a second file per part holds
 each document's id, start within the part and length.
@@ -93,8 +93,8 @@ def library_encoder(config: str) -> LibraryEncoder:
     return _ENCODERS[key]
 
 
-def file_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
+def file_schema(length: int, kind) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -103,12 +103,14 @@ DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_toke
 class SequenceWriter:
     """Cuts a run of ids into sequences and writes them batch by batch."""
 
-    def __init__(self, sink, length: int):
+    def __init__(self, sink, length: int, vocabulary: int):
         self.length, self.held, self.size, self.total = length, [], 0, 0
-        self.file = pa.ipc.new_file(sink, file_schema(length))
+        self.kind = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+        self.schema = file_schema(length, self.kind)
+        self.file = pa.ipc.new_file(sink, self.schema)
 
     def add(self, ids: np.ndarray) -> None:
-        self.held.append(ids)
+        self.held.append(ids.astype(self.kind))
         self.size += len(ids)
         self.total += len(ids)
         if self.size >= self.length * BATCH:
@@ -120,13 +122,13 @@ class SequenceWriter:
 
     def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
         columns = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (ids, mask)]
-        self.file.write_batch(pa.RecordBatch.from_arrays(columns, schema=file_schema(self.length)))
+        self.file.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
 
     def close(self) -> None:
         if self.size:
             run = np.concatenate(self.held)
             pad = -len(run) % self.length
-            self._batch(np.concatenate((run, np.zeros(pad, np.uint32))), np.arange(len(run) + pad) < len(run))
+            self._batch(np.concatenate((run, np.zeros(pad, self.kind))), np.arange(len(run) + pad) < len(run))
         self.file.close()
 
 
@@ -156,7 +158,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder:
         stem = f"part-{part:06d}-{uuid.uuid4().hex}"
         with fs.open_output_stream(f"{root}/{stem}.tokens.arrow") as sink, \
                 fs.open_output_stream(f"{root}/{stem}.docs.arrow") as index_sink:
-            sequences, n_docs = SequenceWriter(sink, length), 0
+            sequences, n_docs = SequenceWriter(sink, length, max(coder.tokenizer.get_vocab_size(), end_id + 1)), 0
             index = pa.ipc.new_file(index_sink, DOCS_SCHEMA)
             while batch is not None:
                 flat, sizes = coder.ids(batch.column("text").to_pylist())
