@@ -77,6 +77,17 @@ def test_all_pairs(spark):
     assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_part_of_another(spark):
+    """A text that is three quarters of another, whose own words come first in any order of rarity."""
+    rng = random.Random(9)
+    rows = []
+    for k in range(12):
+        words = ["c%d_%d" % (k, rng.randrange(10**6)) for _ in range(60 + 7 * k)]
+        extra = ["e%d_%d" % (k, rng.randrange(10**6)) for _ in range(len(words) // 3 - rng.randrange(3))]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(words + extra)), (3 * k + 2, " ".join(extra + words))]
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_no_hub_rounds(spark, monkeypatch):
     """The exact step alone gives the same groups, and so do orders that know no heavy shingle."""
     rows = corpus(3)
@@ -99,11 +110,11 @@ def test_lists_over_batches():
         rng = random.Random(seed)
         rows = sorted({(rng.randrange(30), rng.randrange(6)) for _ in range(70)})
         rows = sorted(rows + rows[::7])
-        table = pa.table({"token": [t for t, _ in rows], "v": [v for _, v in rows], "np": [10 * v for _, v in rows]})
+        table = pa.table({"token": [t for t, _ in rows], "v": [v for _, v in rows], "np": [10 * v for _, v in rows], "last": [0] * len(rows)})
         lists = {}
         for t, v in set(rows):
             lists.setdefault(t, []).append(v)
-        want = sorted((t, v, 10 * v) for t, m in lists.items() if len(m) > 1 for v in m)
+        want = sorted((t, v, 10 * v, 0) for t, m in lists.items() if len(m) > 1 for v in m)
         for size in (1, 2, 3, 50):
             batches = table.to_batches(max_chunksize=size)
             assert sorted(r for b in jj._shared_lists(batches) for r in zip(*(c.to_pylist() for c in b.columns))) == want
