@@ -134,7 +134,8 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     quota = max(1, max_rows // len(counts))
     spark = docs.sparkSession
     limits = spark.createDataFrame([(r.lang, 1.5 * quota / r["count"]) for r in counts], "lang string, share double")
-    drawn = (rows.join(limits, "lang").where("draw < share").select("lang", "draw", "text")
+    # at most MAX_LABELS rows
+    drawn = (rows.join(F.broadcast(limits), "lang").where("draw < share").select("lang", "draw", "text")
              .orderBy("draw", "lang", "text").limit(2 * max_rows).collect())
     by_label: dict[str, list] = {}
     for r in drawn:
