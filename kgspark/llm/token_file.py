@@ -26,12 +26,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark import TaskContext
 
-from kgspark.llm.common import shuffle_width
+from kgspark.llm.common import shuffle_width, text_slices
 from kgspark.llm.pieces import PieceMemo, byte_level_starts
 from kgspark.session import checkpoint_dir, cut_lineage
 
 SEQUENCE = 2048  # ids in a sequence
 BATCH = 64  # sequences in a record batch
+SLICE = 4 << 20  # bytes of text encoded at once
 
 
 class LibraryEncoder:
@@ -161,14 +162,14 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder:
             sequences, n_docs = SequenceWriter(sink, length, max(coder.tokenizer.get_vocab_size(), end_id + 1)), 0
             index = pa.ipc.new_file(index_sink, DOCS_SCHEMA)
             while batch is not None:
-                flat, sizes = coder.ids(batch.column("text").to_pylist())
-                ends = np.cumsum(sizes)
-                flat = np.insert(flat, ends, np.uint32(end_id))  # the end id after each document
-                sizes = sizes + 1
-                index.write_batch(pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(sequences.total + np.cumsum(sizes) - sizes), pa.array(sizes)],
-                    schema=DOCS_SCHEMA))
-                sequences.add(flat)
+                for first, part_texts in text_slices(batch.column("text"), SLICE):
+                    flat, sizes = coder.ids([t.decode() for t in part_texts])
+                    flat = np.insert(flat, np.cumsum(sizes), np.uint32(end_id))  # the end id after each document
+                    sizes = sizes + 1
+                    index.write_batch(pa.RecordBatch.from_arrays(
+                        [batch.column("id").slice(first, len(sizes)), pa.array(sequences.total + np.cumsum(sizes) - sizes),
+                         pa.array(sizes)], schema=DOCS_SCHEMA))
+                    sequences.add(flat)
                 n_docs += batch.num_rows
                 batch = next(batches, None)
             sequences.close()
