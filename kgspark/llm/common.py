@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from kgspark.session import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes that end a word of the regular expression [^\x20\x09-\x0D]+
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
@@ -22,6 +24,26 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def remaining(docs: DataFrame, me: Column, marks: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``marks`` (of, once) leaves, as they are; ``me`` is a row's name.
+
+    Rows whose name is marked go, unless ``once`` holds: then one of them stays, the least by its columns
+    in order. Tasks send one row per such name, so that no task holds all copies.
+    """
+    if marks.where("once").isEmpty():
+        return docs.join(marks.select(F.col("of").alias("__dropped")).hint("merge"), me == F.col("__dropped"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), me.alias("me"))
+    kept = cut_lineage(rows.join(marks.hint("merge"), F.col("me") == F.col("of"), "left")
+                       .where("once IS NULL OR once").select("row", "me", "once"))
+    least = F.min("row")
+    if any("map<" in kind for _, kind in docs.dtypes):  # maps have no order of their own
+        least = F.min_by("row", F.struct(*[F.to_json(F.struct(f"row.`{c}`")) if "map<" in kind else F.col(f"row.`{c}`")
+                                           for c, kind in docs.dtypes]))
+    one = kept.where("once").groupBy("me").agg(least.alias("row"))
+    return (kept.where("once IS NULL").select("row").unionByName(one.select("row"))
+            .select([F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The cluster's own number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

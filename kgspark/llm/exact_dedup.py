@@ -11,8 +11,9 @@ chunk by chunk in a salted join, so that no task holds a group. Rows that differ
 form new groups and are compared again until none is left.
 
 Null text is empty; a null id sorts below all others; rows that repeat id and text share every
-decision and stay or go together; an id repeated with different texts is several documents. An
-empty table gives an empty result. Other columns are not touched.
+decision and stay or go together, unless one row per document is asked for; an id repeated with
+different texts is several documents. An empty table gives an empty result. Other columns are not
+touched.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kgspark.llm.common import LOWER, UPPER, ascii_lower
+from kgspark.llm.common import LOWER, UPPER, ascii_lower, remaining
 from kgspark.session import cut_lineage
 
 PRIMES = (2147483647, 2147483629)
@@ -154,10 +155,15 @@ def exact_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .select("me", F.coalesce("keep", "me").alias("keep"), F.coalesce("size", F.lit(1).cast("long")).alias("size")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of equal texts the one with the largest id, all columns as they are."""
-    dropped = cut_lineage(exact_classes(docs, id_col, text_col).where("me <> keep")
-                          .select(F.col("me").alias("__dropped")).distinct())
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", one_row: bool = False) -> DataFrame:
+    """The rows of ``docs`` that stay: of equal texts the one with the largest id, all columns as they are.
+
+    Rows that share the largest id, or have none, all stay; with ``one_row`` the least of them by its columns.
+    """
+    marks = exact_classes(docs, id_col, text_col).where("size > 1").groupBy("me", "keep").agg(F.count("*").alias("times"))
+    once = F.col("me") == F.col("keep")
+    marks = cut_lineage(marks.where(~once | (F.col("times") > 1) if one_row else ~once)
+                        .select(F.col("me").alias("of"), once.alias("once")))
     text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     me = F.struct(F.col(id_col).cast("long").alias("key"), F.sha2(text, 256).alias("sha"))
-    return docs.join(dropped.hint("merge"), me == F.col("__dropped"), "left_anti")  # alike at every size
+    return remaining(docs, me, marks)  # alike at every size

@@ -68,3 +68,15 @@ def test_collisions(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert ed.exact_classes(df).count() == 0 and ed.exact_dedup(df).count() == 0
+
+
+def test_one_row_of_copies_that_share_id_and_text(spark):
+    rows = ([(12, "twice", "b"), (12, "twice", "a"), (12, "Twice", "a"), (3, "TWICE", "c"), (13, "one", "a"), (13, "two", "a")]
+            + [(None, "none", "z")] * 300 + [(None, "other", None), (None, "other", "y"), (7, None, "a"), (7, "", "a")])
+    df = spark.createDataFrame(rows, "doc_id long, text string, me string")
+    want = [(12, "Twice", "a"), (13, "one", "a"), (13, "two", "a"), (None, "none", "z"), (None, "other", None), (7, None, "a")]
+    kept = ed.exact_dedup(df, one_row=True)
+    assert kept.columns == df.columns and sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, want))
+    mapped = ed.exact_dedup(df.withColumn("bag", F.create_map(F.lit("k"), F.col("text"))), one_row=True)
+    assert mapped.count() == len(want)
+    assert ed.exact_dedup(df.limit(0), one_row=True).count() == 0

@@ -157,3 +157,11 @@ def test_one_of_each_group_stays(spark, awkward):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got if r.text) == sorted(want.values())
     assert len([r for r in got if not r.text]) == 2
     assert jj.keep_one_per_group(awkward.limit(0)).count() == 0
+
+
+def test_one_row_of_copies_that_share_id_and_text(spark):
+    rows = ([(1, "p q r", "b"), (1, "p q r", "a"), (2, "p q r", "a"), (3, "s t", "a"), (4, " ", "b"), (4, " ", "a"), (5, "", "a")]
+            + [(None, "u v", "z")] * 300)
+    df = spark.createDataFrame(rows, "doc_id long, text string, me string")
+    want = [(1, "p q r", "a"), (3, "s t", "a"), (4, " ", "a"), (5, "", "a"), (None, "u v", "z")]
+    assert sorted(map(repr, map(tuple, jj.keep_one_per_group(df).collect()))) == sorted(map(repr, want))

@@ -38,6 +38,16 @@ def test_stages(spark, sf):
     assert empty.count() == 0
 
 
+def test_table_loaded_twice(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    nameless = docs.selectExpr("cast(null AS long) AS doc_id", "concat('zq ', text) AS text", "lang", "source", "n_chars").limit(20)
+    once = cut_lineage(docs.unionByName(nameless))
+    twice = cut_lineage(once.unionByName(once))
+    for _, stage in cp.STAGES[1:3]:
+        once, twice = (cut_lineage(stage(spark, df, sf)) for df in (once, twice))
+        assert sorted(map(repr, twice.collect())) == sorted(map(repr, once.collect()))
+
+
 def test_registered():
     names = set(entry.queries())
     assert {"pipeline"} <= names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
