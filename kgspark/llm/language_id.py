@@ -7,9 +7,10 @@ landmark texts turns the kernel into vectors; one-versus-rest kernel ridge regre
 them. As the kernel is linear in the presence vector, landmarks, map and weights fold into one matrix
 (features x languages), and a batch of whole texts is scored by one matrix product.
 
-Learning uses a bounded sample: at most MAX_ROWS labelled texts of at most MAX_BYTES, taken by a hash
-of the id in equal numbers per label, LANDMARKS of them as landmarks; the matrix has at most
-FEATURES x MAX_LABELS entries. Prediction reads every text whole and nothing but the text.
+Learning uses a bounded sample: at most MAX_ROWS labelled texts of any length, taken by a hash of the
+id in equal numbers per label, LANDMARKS of them as landmarks. Executors turn them into feature sets,
+bit masks of FEATURES places, and only these go to the driver. The matrix has at most FEATURES x
+MAX_LABELS entries. Prediction reads every text whole and nothing but the text.
 
 A text that is null or without a letter gets ``und`` and score 0, as does every text if nothing was
 learned. Ties go to the first label in order. Null ids count as the empty string in the held-out
@@ -18,16 +19,18 @@ rule. Repeated rows, empty tables and other columns need no care: one row out pe
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from kgspark.llm.common import LOWER, UPPER, text_slices
 from kgspark.llm.mixing import uniform
 
 BITS = {2: 13, 3: 15, 4: 16}
 FEATURES = sum(1 << b for b in BITS.values())
-MAX_ROWS, MAX_BYTES, LANDMARKS, MAX_LABELS, RIDGE = 1200, 1 << 15, 200, 512, 1.0
+MAX_ROWS, LANDMARKS, MAX_LABELS, RIDGE = 1200, 200, 512, 1.0
 UNKNOWN = "und"
 _FOLD = bytearray(range(256))
 for _i in range(128):
@@ -69,17 +72,50 @@ def mark(row: np.ndarray, text: bytes, value, piece: int = 1 << 20) -> None:
         row[ngram_features(data[start:start + piece + 3])] = value
 
 
-def kernel(sets: list[np.ndarray], landmarks: list[np.ndarray]) -> np.ndarray:
-    """Normalised presence kernel of feature sets with landmarks."""
-    joined, bounds = np.concatenate(landmarks), np.cumsum([0] + [len(m) for m in landmarks[:-1]])
-    sizes, out, seen = np.array([len(m) for m in landmarks]), np.empty((len(sets), len(landmarks))), np.zeros(FEATURES, bool)
-    for row, one in zip(out, sets):
-        seen[one] = True
-        row[:] = np.add.reduceat(seen[joined].astype(np.int64), bounds) / np.sqrt(sizes * len(one))
-        seen[one] = False
+def kernel(sets: Sequence[np.ndarray], landmarks: Sequence[np.ndarray], together: int = 48) -> np.ndarray:
+    """Normalised presence kernel of feature sets with landmarks; products of bounded batches of sets."""
+    marks = np.zeros((len(landmarks), FEATURES), np.float32)  # counts of up to FEATURES are exact
+    for row, one in zip(marks, landmarks):
+        row[one] = 1
+    out, seen = np.empty((len(sets), len(landmarks))), np.zeros((min(together, len(sets)), FEATURES), np.float32)
+    for at in range(0, len(sets), together):
+        n = min(together, len(sets) - at)
+        seen[:] = 0
+        for k in range(n):
+            seen[k, sets[at + k]] = 1
+        sizes = np.outer(seen[:n].sum(axis=1, dtype=float), marks.sum(axis=1, dtype=float))
+        out[at:at + n] = (seen[:n] @ marks.T) / np.sqrt(sizes)
     return out
 
 
+class Masks(Sequence):
+    """Feature sets held as bit masks and opened one at a time."""
+
+    def __init__(self, masks: list[bytes]):
+        self.masks = masks
+
+    def __len__(self) -> int:
+        return len(self.masks)
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            return Masks(self.masks[at])
+        return np.flatnonzero(np.unpackbits(np.frombuffer(self.masks[at], np.uint8), count=FEATURES))
+
+
+def _masks(batches):
+    """The feature set of each text as a bit mask."""
+    for batch in batches:
+        for first, texts in text_slices(batch.column("text")):
+            seen, out = np.zeros(FEATURES, bool), []
+            for text in texts:
+                seen[:] = False
+                mark(seen, text, True)
+                out.append(np.packbits(seen).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, len(texts)) for c in ("lang", "draw")),
+                                              pa.array(out, pa.binary())], names=["lang", "draw", "mask"])
+
+
 class Model:
     """Labels in order and the folded matrix."""
 
@@ -89,10 +125,14 @@ class Model:
     @classmethod
     def fit(cls, texts: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
         """Labels in equal numbers should alternate in ``texts``: the first ones become landmarks."""
+        return cls.fit_sets([presence(t) for t in texts], labels, landmarks, ridge)
+
+    @classmethod
+    def fit_sets(cls, sets: Sequence[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+        """The same from feature sets."""
         known = sorted(set(labels))
         if not known:
             return cls([], np.zeros((FEATURES, 0), np.float32))
-        sets = [presence(t) for t in texts]
         marks = sets[:landmarks]  # the landmark texts
         values, vectors = np.linalg.eigh(kernel(marks, marks))
         use = values > 1e-8 * values[-1]
@@ -122,31 +162,30 @@ class Model:
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   max_rows: int = MAX_ROWS) -> list:
-    """At most ``max_rows`` rows (text, lang), labels alternating, each label's rows by hash of the id."""
+    """At most ``max_rows`` rows (mask, lang), or one per label, labels alternating, each label's rows by hash of the id."""
     key = F.col(id_col)
     rows = (docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(key))
             .select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
                     uniform(key, "lang").alias("draw"))
-            .where((F.octet_length("text") <= MAX_BYTES) & F.col("text").rlike(r"\p{L}")))
+            .where(F.col("text").rlike(r"\p{L}")))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()
     if not counts:
         return []
     quota = max(1, max_rows // len(counts))
     spark = docs.sparkSession
-    limits = spark.createDataFrame([(r.lang, 1.5 * quota / r["count"]) for r in counts], "lang string, share double")
+    # some more than the quota, so that no label goes without
+    limits = spark.createDataFrame([(r.lang, max(1.5 * quota, quota + 12.0) / r["count"]) for r in counts], "lang string, share double")
     # at most MAX_LABELS rows
     drawn = (rows.join(F.broadcast(limits), "lang").where("draw < share").select("lang", "draw", "text")
-             .orderBy("draw", "lang", "text").limit(2 * max_rows).collect())
-    by_label: dict[str, list] = {}
-    for r in drawn:
-        by_label.setdefault(r.lang, []).append(r)
-    mixed = [(i, r.lang, r) for members in by_label.values() for i, r in enumerate(members[:quota])]
-    return [r for _, _, r in sorted(mixed, key=lambda x: x[:2])]
+             .mapInArrow(_masks, "lang string, draw double, mask binary"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "mask"))
+    return sorted(drawn.select("lang", "mask", place.alias("place")).where(F.col("place") <= quota).collect(),
+                  key=lambda r: (r.place, r.lang))
 
 
 def learn(docs: DataFrame, **columns) -> Model:
     rows = training_rows(docs, **columns)
-    return Model.fit([r.text.encode() for r in rows], [r.lang for r in rows])
+    return Model.fit_sets(Masks([bytes(r.mask) for r in rows]), [r.lang for r in rows])
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text",
@@ -179,6 +218,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text",
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in some language: all but those predicted ``und``."""
+    """The rows of ``docs`` in some language: all but those predicted ``und``, or, if nothing was learned,
+    those whose text holds a letter."""
+    if not model.labels:
+        return docs.where(F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"\p{L}"))
     return (predict(docs, model, text_col).where(F.col("lang_pred") != UNKNOWN)
             .select([F.col(f"row.`{c}`").alias(c) for c in docs.columns]))

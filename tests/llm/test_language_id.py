@@ -60,3 +60,24 @@ def test_awkward_rows(spark, sf, awkward):
     nothing = li.learn(awkward.where("lang = 'none'"))
     assert {r.lang_pred for r in li.predict(awkward, nothing).collect()} == {"und"}
     assert li.predict(awkward.limit(0), model).count() == 0
+
+
+def test_languages_of_long_texts_only(spark):
+    short, long = "the cat sat on the mat ", "le chat noir est couché sur la table "
+    rows = [(i, short + str(i), "en") for i in range(60)] + [(100 + i, long * 1200 + str(i), "fr") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = li.learn(docs)
+    assert model.labels == ["en", "fr"]
+    assert all(r.lang_pred == r.row.lang for r in li.predict(docs, model).collect())
+    sets = [li.presence(t.encode()) for _, t, _ in rows[55:65]]
+    packed = li.Masks([np.packbits(np.isin(np.arange(li.FEATURES), s)).tobytes() for s in sets])
+    assert (li.kernel(sets, sets[:3]) == li.kernel(packed, packed[:3])).all()
+    books = docs.where("lang = 'fr'")
+    assert li.learn(books).labels == ["fr"]
+
+
+def test_texts_with_letters_stay_when_nothing_was_learned(spark):
+    docs = spark.createDataFrame([(1, "abc", None), (2, "12 34", None), (3, None, None), (4, "語", None)],
+                                 "doc_id long, text string, lang string")
+    model = li.learn(docs)
+    assert model.labels == [] and sorted(r.doc_id for r in li.identified(docs, model).collect()) == [1, 4]
