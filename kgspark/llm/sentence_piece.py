@@ -136,6 +136,17 @@ class SentencePieceCodec:
         """What encoding and decoding makes of a text: normalised, with space marks shown as spaces."""
         return (self.normalizer.normalize_str(text) if self.normalizer else text).replace(MARK, " ")
 
+    def as_original(self, texts: list[str], rows: list[np.ndarray], whole: int = 1 << 20) -> list[bool]:
+        """Whether the original library gives each raw text, as a whole, the ids in ``rows``. Of texts over
+        ``whole`` characters, whose encoding would not fit in memory, it gives the normalised string to compare."""
+        out = []
+        for text, row in zip(texts, rows):
+            if len(text) <= whole:
+                out.append(self.original.encode(text) == row.tolist())
+            else:
+                out.append(self.original.normalize(text) == self.normalize(text).replace(" ", MARK))
+        return out
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids of each text)."""
         texts = [self.normalize(t) for t in texts]

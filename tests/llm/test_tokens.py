@@ -150,3 +150,19 @@ def test_op1(spark, sf):
     for r in rows:
         ids = known.encode(docs[r.doc_id])
         assert (r.n_tokens, r.ids_crc32) == (len(ids), spm.ids_crc32(np.array(ids)))
+
+
+@pytest.mark.parametrize("data", [None, unigram_model()], ids=["bpe", "unigram"])
+def test_parity_covers_the_normaliser(data):
+    from tokenizers import normalizers
+    coder = spm.SentencePieceCodec(data or spm._model_bytes(public_tokenizers.path("piece_bpe_32k.model")), check=True)
+    texts = ["", " ", "Plain Text", "  two  spaces ", "\uff21\ufb01 \u2163", "a\tb\nc"]
+
+    def seen(whole):
+        flat, sizes = coder.encode(texts)
+        rows = np.split(flat, np.cumsum(sizes)[:-1])
+        return coder.as_original(texts, rows, whole)
+
+    assert all(seen(1 << 20)) and all(seen(0))
+    coder.normalizer = normalizers.Replace("Text", "Test")
+    assert not seen(1 << 20)[2] and not seen(0)[2] and coder.differing == 0
