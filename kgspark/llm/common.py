@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from kgspark.session import cut_lineage
@@ -88,8 +89,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+SHORT = 64  # symbols of a run up to which a polynomial modulo 2^64 tells runs apart; from 1024 on it need not
+
+
 def run_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One 64-bit hash per run symbols[start:end]: a polynomial in the base, from running sums."""
+    """One 64-bit hash per run symbols[start:end]: of short runs a polynomial in the base, from running sums;
+    of longer ones a hash of their bytes."""
+    out = _short_hashes(symbols, starts, ends)
+    for i in np.flatnonzero(ends - starts > SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(symbols[starts[i]:ends[i]].tobytes())
+    return out
+
+
+def _short_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.empty(0, np.uint64)
     n = len(symbols)

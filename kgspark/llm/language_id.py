@@ -10,7 +10,7 @@ them. As the kernel is linear in the presence vector, landmarks, map and weights
 Learning uses a bounded sample: at most MAX_ROWS labelled texts of any length, taken by a hash of the
 id in equal numbers per label, LANDMARKS of them as landmarks. Executors turn them into feature sets,
 bit masks of FEATURES places, and only these go to the driver. The matrix has at most FEATURES x
-MAX_LABELS entries. Prediction reads every text whole and nothing but the text.
+max_labels entries, a parameter; labels beyond it are reported in a warning. Prediction reads every text whole and nothing but the text.
 
 A text that is null or without a letter gets ``und`` and score 0, as does every text if nothing was
 learned. Ties go to the first label in order. Null ids count as the empty string in the held-out
@@ -19,7 +19,8 @@ rule. Repeated rows, empty tables and other columns need no care: one row out pe
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -161,21 +162,24 @@ class Model:
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                  max_rows: int = MAX_ROWS) -> list:
+                  max_rows: int = MAX_ROWS, max_labels: int = MAX_LABELS) -> list:
     """At most ``max_rows`` rows (mask, lang), or one per label, labels alternating, each label's rows by hash of the id."""
     key = F.col(id_col)
     rows = (docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(key))
             .select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
                     uniform(key, "lang").alias("draw"))
             .where(F.col("text").rlike(r"\p{L}")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels + 1).collect()
     if not counts:
         return []
+    if len(counts) > max_labels:
+        warnings.warn(f"more than {max_labels} labels: only the most frequent are learned; raise max_labels to learn all")
+        counts = counts[:max_labels]
     quota = max(1, max_rows // len(counts))
     spark = docs.sparkSession
     # some more than the quota, so that no label goes without
     limits = spark.createDataFrame([(r.lang, max(1.5 * quota, quota + 12.0) / r["count"]) for r in counts], "lang string, share double")
-    # at most MAX_LABELS rows
+    # at most max_labels rows
     drawn = (rows.join(F.broadcast(limits), "lang").where("draw < share").select("lang", "draw", "text")
              .mapInArrow(_masks, "lang string, draw double, mask binary"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "mask"))
@@ -190,37 +194,38 @@ def learn(docs: DataFrame, **columns) -> Model:
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text",
             label_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """All columns of ``docs`` with the predicted label and its regression value between 0 and 1."""
+    """All columns of ``docs``, as struct ``row``, with the predicted label and its regression value between 0 and 1.
+
+    Only the text goes through Python; the other columns stay where they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.labels, model.matrix))  # bounded, see above
-    schema = T.StructType([T.StructField("row", T.StructType(docs.schema.fields)), T.StructField(label_col, T.StringType()),
-                           T.StructField(score_col, T.DoubleType())])
 
-    def run(batches):
+    @F.arrow_udf(T.StructType([T.StructField(label_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Model(*shared.value)
         for batch in batches:
-            whole = batch.column("spoken").to_pylist()
-            names, values = [UNKNOWN] * len(whole), [0.0] * len(whole)
+            names, values = [UNKNOWN] * len(batch), [0.0] * len(batch)
             if scorer.labels:
-                for first, texts in text_slices(batch.column("text")):
+                for first, texts in text_slices(batch):
                     found = scorer.scores(texts)
                     best = found.argmax(axis=1)
                     for k, (label, value) in enumerate(zip(best.tolist(), found.max(axis=1).tolist())):
-                        if whole[first + k]:
-                            names[first + k] = scorer.labels[label]
-                            values[first + k] = min(max(value, 0.0), 1.0)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(names), pa.array(values, pa.float64())],
-                                             names=["row", label_col, score_col])
+                        names[first + k], values[first + k] = scorer.labels[label], min(max(value, 0.0), 1.0)
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.float64())], names=[label_col, score_col])
 
+    judged = judged.asNondeterministic()  # else a filter on the label would have it run twice
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return (docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"),
-                        text.rlike(r"\p{L}").alias("spoken"))
-            .mapInArrow(run, schema))
+    spoken = text.rlike(r"\p{L}")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), spoken.alias("spoken"), judged(text).alias("found"))
+    return rows.select("row", F.when(F.col("spoken"), F.col(f"found.{label_col}")).otherwise(UNKNOWN).alias(label_col),
+                       F.when(F.col("spoken"), F.col(f"found.{score_col}")).otherwise(0.0).alias(score_col))
 
 
-def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def identified(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` in some language: all but those predicted ``und``, or, if nothing was learned,
-    those whose text holds a letter."""
+    those whose text holds a letter. A row without a language gets the predicted one."""
     if not model.labels:
         return docs.where(F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike(r"\p{L}"))
-    return (predict(docs, model, text_col).where(F.col("lang_pred") != UNKNOWN)
-            .select([F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
+    kept = predict(docs, model, text_col).where(F.col("lang_pred") != UNKNOWN)
+    return kept.select([F.coalesce(f"row.`{c}`", F.col("lang_pred").cast(kind)).alias(c) if c == lang_col else F.col(f"row.`{c}`").alias(c)
+                        for c, kind in docs.dtypes])

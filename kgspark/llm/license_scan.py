@@ -2,9 +2,11 @@
 
 Every run of two words of every text is hashed (rolling sums of word hashes) and joined with the
 places of the same two words in short licence templates. A match votes for the diagonal (place in the
-text less place in the template); votes of a diagonal are a bit mask of the template's places, so
-repeats count once. Neighbouring diagonals, as a word too many or too few makes them, are merged, and
-a merged span is verified: the share of the template it covers, and its length. A base phrase must
+text less place in the template); votes of a diagonal are bit masks of the template's places, 63 to a block,
+so repeats count once and a template may have any length. Neighbouring diagonals, as a word too many or too few makes them, are merged, and
+a merged span is verified: the share of the template it covers, and its length. A chain of neighbours that
+gets longer than a stretched template falls into windows of diagonals, each of them verified; a window that
+covers too little still gives its best diagonal. A base phrase must
 stand as it is: all places on one diagonal.
 
 Words: A-Z lower-cased, runs of letters, digits and non-ASCII characters. Null text is empty. Rows that
@@ -24,7 +26,7 @@ from kgspark.session import cut_lineage
 K = 2
 #: The phrases asked for and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Wording of public licence notices, at most 64 words each (a vote mask has 63 places).
+#: Wording of public licences and licence notices, opening sentences and parts of the body.
 TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
@@ -40,9 +42,32 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided "
             "that the following conditions are met"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions "
+            "of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to "
+            "the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the "
+            "authors or copyright holders be liable for any claim damages or other liability whether in an action of "
+            "contract tort or otherwise arising from out of or in connection with the software or the use or other "
+            "dealings in the software"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is "
+               "distributed on an as is basis without warranties or conditions of any kind either express or implied see "
+               "the license for the specific language governing permissions and limitations under the license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the "
+            "implied warranty of merchantability or fitness for a particular purpose see the gnu general public license "
+            "for more details"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+            "products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied "
+            "warranties including but not limited to the implied warranties of merchantability and fitness for a "
+            "particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any "
+            "direct indirect incidental special exemplary or consequential damages"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including "
+            "all implied warranties of merchantability and fitness in no event shall the author be liable for any special "
+            "direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
 ]
 COVERED, STRETCH, SLACK = 0.7, 1.5, 2
+BLOCK = 63  # places of a vote mask
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SEPARATORS = separator_table(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 
@@ -53,8 +78,8 @@ def template_table(templates: list[tuple[str, str]], base: dict[str, str]) -> li
     listed = [(label, text, True) for text, label in base.items()] + [(label, text, False) for label, text in templates]
     for number, (label, text, is_base) in enumerate(listed):
         places, hashes = Words([text.lower().encode()], SEPARATORS).grams(K)
-        if not 1 <= len(places) <= 63:
-            raise ValueError(f"a template has 2 to 64 words: {text!r}")
+        if not len(places):
+            raise ValueError(f"a template has two words at least: {text!r}")
         rows += [(h, number, p, len(places), label, is_base) for p, h in zip(places.tolist(), hashes.view(np.int64).tolist())]
     return rows
 
@@ -97,8 +122,8 @@ def _votes(docs: DataFrame, id_col: str, text_col: str, templates, base) -> Data
     matched = (grams.join(F.broadcast(table), (grams.gram == table.hash) & (grams.place >= 0), "left")
                .where("place < 0 OR template IS NOT NULL"))
     return (matched.groupBy("id", "print", "template", "n_grams", "label", "is_base",
-                            (F.col("place") - F.col("at")).alias("diagonal"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"),
+                            (F.col("place") - F.col("at")).alias("diagonal"), F.expr(f"at div {BLOCK}").alias("block"))
+            .agg(F.bit_or(F.expr(f"shiftleft(1L, cast(at % {BLOCK} AS int))")).alias("mask"),
                  F.min("place").alias("start"), F.max("place").alias("last"),
                  F.max("gram").alias("word"), F.count("*").alias("rows")))
 
@@ -108,20 +133,32 @@ def _spans(votes: DataFrame) -> DataFrame:
     owner = ["id", "print", "template"]
     along = Window.partitionBy(*owner).orderBy("diagonal")
     apart = F.when(F.col("is_base"), F.lit(0)).otherwise(F.lit(SLACK))
-    fresh = ((F.col("diagonal") - F.lag("diagonal").over(along) > apart)
-             | F.lag("diagonal").over(along).isNull()).cast("int")
-    covered = F.bit_count("mask") / F.col("n_grams")
-    merged = (votes.withColumn("span", F.sum(fresh).over(along))
-              .groupBy(*owner, "span", "n_grams", "label", "is_base")
-              .agg(F.max(F.struct(covered.alias("covered"), (-F.col("start")).alias("back"), "last")).alias("best"),
-                   F.bit_or("mask").alias("mask"), F.min("start").alias("start"), F.max("last").alias("last")))
-    # a chain of neighbours that got too long falls back on its best diagonal
+    before = F.lag("diagonal").over(along)
+    chained = votes.withColumn("chain", F.sum((before.isNull() | (F.col("diagonal") - before > apart)).cast("int")).over(
+        along.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    chain = Window.partitionBy(*owner, "chain")
+    length = F.max("last").over(chain) + K - F.min("start").over(chain)
+    width = F.greatest(F.lit(1), F.floor((STRETCH - 1) * F.col("n_grams")))
+    window = F.floor((F.col("diagonal") - F.min("diagonal").over(chain)) / width)
+    parted = chained.withColumn("part", F.when(length <= F.col("n_grams") * STRETCH + K, F.lit(0)).otherwise(window))
+    # the blocks of a diagonal, and of a part of a chain, add up
+    diagonals = (parted.groupBy(*owner, "chain", "part", "n_grams", "label", "is_base", "diagonal")
+                 .agg((F.sum(F.bit_count("mask")) / F.col("n_grams")).alias("covered"), F.min("start").alias("start"),
+                      F.max("last").alias("last"))
+                 .groupBy(*owner, "chain", "part", "n_grams", "label", "is_base")
+                 .agg(F.max(F.struct("covered", (-F.col("start")).alias("back"), "last")).alias("best"),
+                      F.min("start").alias("start"), F.max("last").alias("last")))
+    union = (parted.groupBy(*owner, "chain", "part", "block").agg(F.bit_or("mask").alias("mask"))
+             .groupBy(*owner, "chain", "part").agg(F.sum(F.bit_count("mask")).alias("places")))
+    covered = F.col("places") / F.col("n_grams")
+    least = F.when(F.col("is_base"), 1.0).otherwise(COVERED)
     tight = F.col("last") + K - F.col("start") <= F.col("n_grams") * STRETCH + K
-    spans = merged.select("id", "print", "label", "is_base",
-                          F.when(tight, F.col("start")).otherwise(-F.col("best.back")).alias("start"),
-                          (F.when(tight, F.col("last")).otherwise(F.col("best.last")) + K).alias("end"),
-                          F.when(tight, covered).otherwise(F.col("best.covered")).alias("covered"))
-    return spans.where(F.col("covered") >= F.when(F.col("is_base"), 1.0).otherwise(COVERED))
+    spans = (diagonals.join(union, [*owner, "chain", "part"])
+             .select("id", "print", "label", "is_base", least.alias("least"),
+                     F.when(tight, F.col("start")).otherwise(-F.col("best.back")).alias("start"),
+                     (F.when(tight, F.col("last")).otherwise(F.col("best.last")) + K).alias("end"),
+                     F.when(tight, covered).otherwise(F.col("best.covered")).alias("covered")))
+    return spans.where("covered >= least").drop("least")
 
 
 def license_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=tuple(TEMPLATES),

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from kgspark.llm.pieces import PieceMemo, metaspace_starts
+from kgspark.llm.pieces import PieceMemo, metaspace_starts, parts
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
@@ -112,8 +112,8 @@ def build_tokenizer(model: Model):
 class SentencePieceCodec:
     """Encodes and decodes texts; ``parity`` compares with the original library piece by piece."""
 
-    def __init__(self, data: bytes, check: bool = False):
-        self.model = Model(data)
+    def __init__(self, data: bytes, check: bool = False, by_piece: bool = True):
+        self.model, self.by_piece = Model(data), by_piece
         self.tokenizer, self.normalizer = build_tokenizer(self.model)
         self.memo = PieceMemo(self._encode, metaspace_starts)
         self.original, self.differing = None, 0
@@ -123,7 +123,7 @@ class SentencePieceCodec:
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if self.original:  # the original adds the first space itself
+        if self.original and self.by_piece:  # the original adds the first space itself
             known = self.original.encode([t[1:] for t in texts] if self.model.dummy_prefix else texts, num_threads=1)
             self.differing += sum(a != b for a, b, t in zip(found, known, texts) if len(t) > 1 and t[0] in (" ", MARK))
         return found
@@ -137,14 +137,19 @@ class SentencePieceCodec:
         return (self.normalizer.normalize_str(text) if self.normalizer else text).replace(MARK, " ")
 
     def as_original(self, texts: list[str], rows: list[np.ndarray], whole: int = 1 << 20) -> list[bool]:
-        """Whether the original library gives each raw text, as a whole, the ids in ``rows``. Of texts over
-        ``whole`` characters, whose encoding would not fit in memory, it gives the normalised string to compare."""
+        """Whether the original library gives each raw text the ids in ``rows``. It gets texts over ``whole``
+        characters in parts, cut before single spaces, each of which it starts with a space mark of its own."""
         out = []
         for text, row in zip(texts, rows):
             if len(text) <= whole:
                 out.append(self.original.encode(text) == row.tolist())
-            else:
-                out.append(self.original.normalize(text) == self.normalize(text).replace(" ", MARK))
+                continue
+            at, same = 0, True
+            for k, part in enumerate(part for held in parts([text], whole) for _, part in held):
+                ids = self.original.encode(part[1:] if k and self.model.dummy_prefix else part)
+                same = same and row[at:at + len(ids)].tolist() == ids
+                at += len(ids)
+            out.append(same and at == len(row))
         return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -163,12 +168,12 @@ class SentencePieceCodec:
 _CODECS: dict[int, SentencePieceCodec] = {}
 
 
-def codec(data: bytes, check: bool = False) -> SentencePieceCodec:
+def codec(data: bytes, check: bool = False, by_piece: bool = True) -> SentencePieceCodec:
     """One codec per worker process and file."""
-    key = hash((data, check))
+    key = hash((data, check, by_piece))
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = SentencePieceCodec(data, check)
+        _CODECS[key] = SentencePieceCodec(data, check, by_piece)
     return _CODECS[key]
 
 

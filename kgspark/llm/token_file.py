@@ -2,8 +2,8 @@
 
 Documents are dealt to parts by ranges of their id and sorted within each part, so that the parts in
 order hold the corpus in ascending id order. A part is an Arrow IPC file whose record batches have
-two fixed-size-list columns: ``ids`` (uint16 for vocabularies that fit, else uint32) and ``mask`` (boolean, false on the padding of a
-part's last sequence). Sequence i of a batch lies at i * length of the values buffer, so a memory
+two fixed-size-list columns: ``ids`` (uint16 for vocabularies that fit, else uint32) and ``mask`` (uint8, 0 on the padding of a
+part's last sequence, else 1). Sequence i of a batch lies at i * length of the values buffer, so a memory
 map gives it without a copy. The end id may also occur inside a text; a second file per part holds
 each document's id, start within the part and length.
 
@@ -11,7 +11,7 @@ A task writes under a name of its own; the manifest, itself a written table, nam
 tasks that succeeded, so that a repeated or lost task leaves nothing behind that is read.
 
 Null text is empty: such a document holds the end id alone. Null ids come first. Rows that repeat an
-id follow each other by text. An empty table gives no parts and no rows.
+id follow each other by a hash of the text, so that many of them spread over parts. An empty table gives no parts and no rows.
 """
 
 from __future__ import annotations
@@ -71,13 +71,13 @@ class LibraryEncoder:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, ids of each text); texts with special strings go to the library whole."""
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        flat, sizes = self.memo.ids([t for i, t in enumerate(texts) if i not in set(odd)] if odd else texts)
+        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        flat, sizes = self.memo.ids([t for i, t in enumerate(texts) if i not in odd] if odd else texts)
         if not odd:
             return flat, sizes
         ends = np.cumsum(sizes)
         plain = iter(np.split(flat, ends[:-1]) if len(sizes) else [])
-        marked = dict(zip(odd, self._encode([texts[i] for i in odd])))
+        marked = dict(zip(sorted(odd), self._encode([texts[i] for i in sorted(odd)])))
         rows = [np.array(marked[i], np.uint32) if i in marked else next(plain) for i in range(len(texts))]
         return np.concatenate(rows), np.array([len(r) for r in rows])
 
@@ -95,7 +95,7 @@ def library_encoder(config: str) -> LibraryEncoder:
 
 
 def file_schema(length: int, kind) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length))])
 
 
 DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -118,7 +118,7 @@ class SequenceWriter:
             run = np.concatenate(self.held)
             whole = len(run) // (self.length * BATCH) * self.length * BATCH
             for at in range(0, whole, self.length * BATCH):
-                self._batch(run[at:at + self.length * BATCH], np.ones(self.length * BATCH, bool))
+                self._batch(run[at:at + self.length * BATCH], np.ones(self.length * BATCH, np.uint8))
             self.held, self.size = [run[whole:]], len(run) - whole
 
     def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
@@ -129,7 +129,7 @@ class SequenceWriter:
         if self.size:
             run = np.concatenate(self.held)
             pad = -len(run) % self.length
-            self._batch(np.concatenate((run, np.zeros(pad, self.kind))), np.arange(len(run) + pad) < len(run))
+            self._batch(np.concatenate((run, np.zeros(pad, self.kind))), (np.arange(len(run) + pad) < len(run)).view(np.uint8))
         self.file.close()
 
 
@@ -180,8 +180,8 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, end_id: int, folder:
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = (docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-            .repartitionByRange(shuffle_width(spark), F.col("id").asc_nulls_first())
-            .sortWithinPartitions(F.col("id").asc_nulls_first(), "text"))
+            .repartitionByRange(shuffle_width(spark), F.col("id").asc_nulls_first(), F.xxhash64("text"))
+            .sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text"))
     manifest = cut_lineage(rows.mapInArrow(
         write, "part long, tokens_file string, docs_file string, n_docs long, n_tokens long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per part
@@ -202,10 +202,10 @@ class TokenFile:
         self.length = self.reader.schema.field("ids").type.list_size
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence i; the ids are a view of the file."""
+        """(ids, mask) of sequence i, both views of the file."""
         batch, row = self.reader.get_batch(i // BATCH), i % BATCH
         ids, mask = (batch.column(k).values.slice((batch.column(k).offset + row) * self.length, self.length) for k in (0, 1))
-        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
+        return ids.to_numpy(), mask.to_numpy()
 
     def runs(self, start: int, n: int):
         """Views that hold ids start to start + n, batch by batch."""

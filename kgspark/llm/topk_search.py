@@ -13,8 +13,9 @@ queries against blocks of data, all distributed; what is merged is k rows per qu
 
 Scores are exact integers: products run in double precision below 2^53 and in Python integers beyond,
 held to the range of a long. Ties go to the smaller id. Null vectors, vectors with a null or
-non-finite component and null ids take no part; shorter vectors are padded with zeros; of rows that
-share an id the smallest vector (in array order) stands; an empty table gives an empty result.
+non-finite component and null ids take no part; shorter vectors are padded with zeros; rows that share an
+id are rows of their own, candidates for each other and, as queries, with answers of their own; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ SCALE = 256
 class CoverTree:
     """Nodes level by level; the children of a node and the points of a leaf are contiguous."""
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
-        self.ids, self.points = ids, points
+    def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF, rows: np.ndarray | None = None):
+        """``rows`` tell apart points that share an id; by default ids do."""
+        self.ids, self.points, self.rows = ids, points, ids if rows is None else rows
         real = points.astype(np.float64)
         centers, radii, children, spans, order = [], [], [], [], []
         pending = []
@@ -85,7 +87,7 @@ class Search:
     def __init__(self, queries: CoverTree, k: int, low: np.ndarray):
         """``low``: scores that each query is known to reach k times elsewhere."""
         self.q, self.k = queries, k
-        self.best = [([], []) for _ in queries.ids]  # scores, ids
+        self.best = [([], []) for _ in queries.ids]  # scores, (id, row)
         self.low = low.astype(np.float64)
 
     def meet(self, data: CoverTree) -> None:
@@ -129,7 +131,7 @@ class Search:
 
     def _score(self, members: np.ndarray, rows: np.ndarray) -> None:
         queries, points = self.exact
-        ids = self.data.ids[rows]
+        ids, numbers = self.data.ids[rows], self.data.rows[rows]
         for at in range(0, len(rows), 4096):
             part = rows[at:at + 4096]
             scores = queries[members] @ points[part].T
@@ -137,31 +139,30 @@ class Search:
                 near = np.flatnonzero(line >= self.low[m])
                 if not len(near):
                     continue
-                own = ids[at:at + 4096][near]
-                near, own = near[own != self.q.ids[m]], own[own != self.q.ids[m]]
+                near = near[numbers[at:at + 4096][near] != self.q.rows[m]]
                 if len(near) > self.k:  # all of the k-th score and above, then by id
-                    cut = np.sort(line[near])[-self.k]
-                    near, own = near[line[near] >= cut], own[line[near] >= cut]
-                held = sorted(zip((-line[near]).tolist(), own.tolist()))[:self.k]
+                    near = near[line[near] >= np.sort(line[near])[-self.k]]
+                own = zip(ids[at + near].tolist(), numbers[at + near].tolist())
+                held = sorted(zip((-line[near]).tolist(), own))[:self.k]
                 held = sorted(held + list(zip((-s for s in self.best[m][0]), self.best[m][1])))[:self.k]
                 self.best[m] = ([-s for s, _ in held], [i for _, i in held])
                 if len(held) == self.k:
                     self.low[m] = max(self.low[m], float(-held[-1][0]))
 
-    def rows(self) -> list[tuple[int, int, int]]:
+    def rows(self) -> list[tuple[int, int, int, int]]:
+        """(query row, id, row, score) of what each query has found."""
         top = (1 << 63) - 1
-        return [(int(q), int(i), max(min(int(s), top), -top - 1)) for q, (scores, ids) in zip(self.q.ids, self.best)
-                for s, i in zip(scores, ids)]
+        return [(int(q), int(i), int(r), max(min(int(s), top), -top - 1)) for q, (scores, found) in zip(self.q.rows, self.best)
+                for s, (i, r) in zip(scores, found)]
 
 
 def _integers(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, x): one integer vector per id that takes part."""
+    """(id, x, row): the integer vectors that take part, each with a number of its own; number them once, in a written table."""
     x = F.col("x")
     valid = (x.isNotNull() & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf")))))
     return (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
             .where(F.col("id").isNotNull() & valid)
-            .select("id", F.transform("x", lambda v: F.floor(v * SCALE).cast("long")).alias("x"))
-            .groupBy("id").agg(F.min("x").alias("x")))
+            .select("id", F.transform("x", lambda v: F.floor(v * SCALE).cast("long")).alias("x"), F.monotonically_increasing_id().alias("row")))
 
 
 def _assign(shared):
@@ -175,7 +176,8 @@ def _assign(shared):
                 one = one.values.to_numpy()
                 row[:len(one)] = one
             cell = (((pivots ** 2).sum(axis=1) - 2 * points @ pivots.T)).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists, pa.array(cell, pa.int32())], names=["id", "x", "cell"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists, batch.column("row"), pa.array(cell, pa.int32())],
+                                             names=["id", "x", "row", "cell"])
     return run
 
 
@@ -187,11 +189,11 @@ def _trees(rows: DataFrame, width: int, size: int) -> DataFrame:
         points = np.zeros((len(frame), width), np.int64)
         for row, one in zip(points, frame["x"]):
             row[:len(one)] = one
-        tree = CoverTree(frame["id"].to_numpy(), points)
+        tree = CoverTree(frame["id"].to_numpy(), points, rows=frame["row"].to_numpy())
         return pd.DataFrame({"cell": [key[0]], "chunk": [key[1]], "n": [len(frame)], "center": [tree.center[0].tolist()],
                              "norm": [tree.norm[0]], "radius": [tree.radius[0]], "body": [pickle.dumps(tree)]})
 
-    dealt = rows.join(F.broadcast(counts), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    dealt = rows.join(F.broadcast(counts), "cell").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int"))
     return cut_lineage(dealt.groupBy("cell", "chunk").applyInPandas(
         build, "cell int, chunk int, n long, center array<double>, norm double, radius double, body binary"))
 
@@ -210,7 +212,7 @@ def _search(k: int):
                         out += search.rows()
                     queries = pickle.loads(columns[2][i].as_buffer())
                     low = dict(columns[3][i].as_py() or [])
-                    search = Search(queries, k, np.array([low.get(int(q), -np.inf) for q in queries.ids]))
+                    search = Search(queries, k, np.array([low.get(int(q), -np.inf) for q in queries.rows]))
                     key = here
                 search.meet(pickle.loads(columns[4][i].as_buffer()))
             if len(out) > 10000:
@@ -223,14 +225,14 @@ def _search(k: int):
 
 
 def _answer(rows: list) -> pa.RecordBatch:
-    q, i, s = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q, i, s)], names=["query_id", "vec_id", "score"])
+    columns = zip(*rows) if rows else ((),) * 4
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["query", "vec_id", "row", "score"])
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
-    """(query_id, top): the k best of each query; every task that met it has sent k rows at most."""
-    ranked = F.struct((-F.col("score")).alias("less"), F.col("vec_id"))
-    return rows.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(ranked)), 1, k).alias("top"))
+    """(query, top): the k best of each query row; every task that met it has sent k rows at most."""
+    ranked = F.struct((-F.col("score")).alias("less"), F.col("vec_id"), F.col("row"))
+    return rows.groupBy("query").agg(F.slice(F.array_sort(F.collect_set(ranked)), 1, k).alias("top"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -238,40 +240,40 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     spark = vectors.sparkSession
     rows = cut_lineage(_integers(vectors, id_col, vector_col))
     # a bounded sample of rows serves as pivots; any choice gives the same answers
-    sample = [r.x for r in rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).collect()]
+    sample = [r.x for r in rows.orderBy(F.xxhash64("x"), "row").limit(PIVOTS).collect()]
     width = rows.agg(F.max(F.size("x"))).first()[0] or 1
     pivots = np.zeros((max(len(sample), 1), width))
     for row, x in zip(pivots, sample):
         row[:len(x)] = x
-    placed = cut_lineage(rows.mapInArrow(_assign(spark.sparkContext.broadcast(pivots)), "id long, x array<long>, cell int"))
+    placed = cut_lineage(rows.mapInArrow(_assign(spark.sparkContext.broadcast(pivots)), "id long, x array<long>, row long, cell int"))
     data = _trees(placed, width, CHUNK).withColumn("tile", F.pmod(F.xxhash64("cell", "chunk"), F.lit(TILES)).cast("int"))
     queries = _trees(placed.where(is_query), width, QUERY_CHUNK)
     for c in queries.columns:
         queries = queries.withColumnRenamed(c, f"q_{c}")
 
     def search(pairs: DataFrame, lows: DataFrame) -> DataFrame:
-        """Answers of chunk pairs (q_cell, q_chunk, cell, chunk); ``lows`` holds (query_id, cell, chunk, low)."""
+        """Answers of chunk pairs (q_cell, q_chunk, cell, chunk); ``lows`` holds (query, cell, chunk, low)."""
         known = (lows.groupBy(F.col("cell").alias("q_cell"), F.col("chunk").alias("q_chunk"))
-                 .agg(F.collect_list(F.struct("query_id", "low")).alias("low")))
+                 .agg(F.collect_list(F.struct("query", "low")).alias("low")))
         met = (pairs.join(data.select("cell", "chunk", "body"), ["cell", "chunk"])
                .join(queries.select("q_cell", "q_chunk", "q_body"), ["q_cell", "q_chunk"])
                .join(known, ["q_cell", "q_chunk"], "left"))
         part = F.pmod(F.xxhash64("cell", "chunk"), F.lit(8))  # a query chunk's pairs may go to eight tasks
         return cut_lineage(met.repartition("q_cell", "q_chunk", part).sortWithinPartitions("q_cell", "q_chunk")
                            .select("q_cell", "q_chunk", "q_body", "low", "body")
-                           .mapInArrow(_search(k), "query_id long, vec_id long, score long"))
+                           .mapInArrow(_search(k), "query long, vec_id long, row long, score long"))
 
-    none = spark.createDataFrame([], "query_id long, cell int, chunk int, low double")
+    none = spark.createDataFrame([], "query long, cell int, chunk int, low double")
     own = data.join(queries, data.cell == queries.q_cell).select("q_cell", "q_chunk", "cell", "chunk")
     near = search(own, none)
     # the k-th score of each query so far, at its own chunk
     reached = (_best(near, k).where(F.size("top") == k)
-               .select("query_id", (-F.element_at("top", k)["less"]).cast("double").alias("low")))
+               .select("query", (-F.element_at("top", k)["less"]).cast("double").alias("low")))
     chunks = F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("chunks")
     per = cut_lineage(placed.where(is_query).groupBy("cell").agg(chunks))
-    lows = cut_lineage(placed.where(is_query).select(F.col("id").alias("query_id"), "cell").join(F.broadcast(per), "cell")
-                       .withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int"))
-                       .join(reached, "query_id", "left").select("query_id", "cell", "chunk", "low"))
+    lows = cut_lineage(placed.where(is_query).select(F.col("row").alias("query"), "cell").join(F.broadcast(per), "cell")
+                       .withColumn("chunk", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int"))
+                       .join(reached, "query", "left").select("query", "cell", "chunk", "low"))
     worst = lows.groupBy(F.col("cell").alias("q_cell"), F.col("chunk").alias("q_chunk")).agg(
         F.min(F.coalesce("low", F.lit(float("-inf")))).alias("worst"))
     # chunks against chunks, tile by tile: a few numbers per chunk, not its rows
@@ -284,6 +286,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     pairs = (asked.join(outline, "tile").where("cell <> q_cell").withColumn("middle", middle)
              .where(F.col("middle") + spread + room >= F.col("worst")).select("q_cell", "q_chunk", "cell", "chunk"))
     far = search(cut_lineage(pairs), lows.where("low IS NOT NULL"))
-    return (_best(near.unionByName(far), k).select("query_id", F.posexplode("top").alias("at", "one"))
+    ids = placed.where(is_query).select(F.col("row").alias("query"), F.col("id").alias("query_id"))
+    return (_best(near.unionByName(far), k).join(ids, "query").select("query_id", F.posexplode("top").alias("at", "one"))
             .select("query_id", (F.col("at") + 1).alias("rank"), F.col("one.vec_id").alias("vec_id"),
                     (-F.col("one.less")).alias("score")))

@@ -56,3 +56,23 @@ def test_spans(spark):
     assert texts.count() == 7
     first = [s for s in spans.where("id = 1 AND NOT is_base").collect()]
     assert [(s.label, s.start, s.end) for s in first] == [("gpl", 2, 2 + len(gpl.replace("/", " ").split()))]
+
+
+def test_long_templates_and_chains(spark):
+    """A template of more than 63 places, and many spans of one chain of neighbouring diagonals."""
+    body = " ".join(f"w{i}" for i in range(200))
+    short = "alpha beta alpha beta gamma"
+    templates = [("long", body), ("short", short)]
+    run = "alpha beta " * 40  # every second diagonal has votes
+    rows = [(1, "x " + body + " y"), (2, body.replace("w77 ", "").replace("w150 ", "w150 extra ")), (3, " ".join(body.split()[:100])),
+            (4, f"{short} {run} {short} {run} {short}"), (5, run), (6, body + " " + body)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, spans = ls.scan_licenses(df, templates=templates)
+    found = {}
+    for s in spans.where("NOT is_base").collect():
+        found.setdefault(s.id, []).append((s.label, s.start, s.end))
+    assert found[1] == [("long", 1, 201)] and [x[0] for x in found[2]] == ["long"] and 3 not in found and len(found[6]) == 2
+    # each notice of the chain lies in a span of its own
+    words = rows[3][1].split()
+    places = [i for i in range(len(words)) if words[i:i + 5] == short.split()]
+    assert len(places) == 3 and all(any(s < p + 5 and p < e for _, s, e in found[4]) for p in places)

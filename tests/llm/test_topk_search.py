@@ -13,16 +13,13 @@ from kgspark.llm.q10_topk_search import SQL, op10_topk_search
 
 
 def brute(rows, k=5, every=50):
-    known = {}
-    for key, x in rows:
-        if key is None or x is None or any(v is None or not math.isfinite(v) for v in x):
-            continue
-        ints = [math.floor(256 * v) for v in x]
-        known[key] = min(known.get(key, ints), ints)
+    """Every row but the query's own is a candidate, also one that shares its id."""
+    known = [(key, [math.floor(256 * v) for v in x]) for key, x in rows
+             if key is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
     out = []
-    for q, x in known.items():
+    for at, (q, x) in enumerate(known):
         if q % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in known.items() if i != q)[:k]
+            scores = sorted((-sum(a * b for a, b in zip(x, y)), i) for j, (i, y) in enumerate(known) if j != at)[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     return sorted(out)
 
@@ -63,7 +60,7 @@ def test_dual_search():
     want = []
     for q in range(300):
         scores = sorted((-int(points[q] @ points[j]), int(ids[j])) for j in range(900) if j != q)[:5]
-        want += [(int(ids[q]), i, -s) for s, i in scores]
+        want += [(int(ids[q]), i, i, -s) for s, i in scores]
     assert sorted(search.rows()) == sorted(want)
 
 
@@ -84,6 +81,8 @@ def test_awkward_rows(spark):
             (4, []), (5, [1e6, -1e6]), (150, [1e6, 1.0]), (6, [0.1, 0.2]), (6, [0.1, 0.2]), (7, [-3.0, 2.0]), (7, [3.0, 2.0])]
     assert found(spark, rows) == brute(rows)
     assert found(spark, rows[:1]) == [] and found(spark, []) == []
+    rows = [(1, [1.0, 0.0]), (1, [5.0, 0.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0]), (50, [2.0, 0.0])]
+    assert found(spark, rows) == brute(rows) and found(spark, rows[:3]) == [(50, 1, 1, 327680), (50, 2, 1, 65536)]
 
 
 def test_op10_matches_sql(spark, sf):
