@@ -145,7 +145,7 @@ class SentencePieceCodec:
                 out.append(self.original.encode(text) == row.tolist())
                 continue
             at, same = 0, True
-            for k, part in enumerate(part for held in parts([text], whole) for _, part in held):
+            for k, part in enumerate(part for held in parts([text], max(whole, 1)) for _, part in held):
                 ids = self.original.encode(part[1:] if k and self.model.dummy_prefix else part)
                 same = same and row[at:at + len(ids)].tolist() == ids
                 at += len(ids)
