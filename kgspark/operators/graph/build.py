@@ -9,16 +9,20 @@ shuffled as its n membership rows, whatever its size.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from kgspark.session import cut_lineage
+from kgspark.session import bucketed
 
 
 @dataclass
 class Graph:
-    """nodes: id. pairs: a, b with a < b. members: node, kind, hub. Pairs and hubs add up."""
+    """nodes: id. pairs: a, b with a < b. members: node, kind, hub. Pairs and hubs add up.
+
+    For loops the graph is written once in buckets: memberships by node and by hub, pair edges by source.
+    Steps join these tables on their bucket keys, so that only frontiers and scores are ever moved.
+    """
 
     nodes: DataFrame
     pairs: DataFrame | None = None
@@ -32,15 +36,32 @@ class Graph:
                                  F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
         return self.pairs.select(both.alias("e")).select("e.*")
 
+    @cached_property
+    def links(self) -> DataFrame:
+        """The pair edges (src, dst) in buckets of src."""
+        return bucketed(self.adjacency(), "src")
+
+    @cached_property
+    def by_node(self) -> DataFrame:
+        """The memberships in buckets of the node."""
+        return bucketed(self.members.select("node", "kind", "hub"), "node")
+
+    @cached_property
+    def by_hub(self) -> DataFrame:
+        """The memberships in buckets of the hub."""
+        return bucketed(self.by_node, "kind", "hub")
+
+    @cached_property
+    def held(self) -> DataFrame:
+        """(node, hubs): how many hubs each node holds, in buckets of the node."""
+        return bucketed(self.by_node.groupBy("node").agg(F.count("*").alias("hubs")), "node")
+
 
 class Neighbours:
     """Weighted sums over neighbours, the one step all centralities are made of."""
 
     def __init__(self, graph: Graph):
-        self.adjacency = cut_lineage(graph.adjacency()) if graph.pairs is not None else None
-        self.members = graph.members
-        if self.members is not None:
-            self.held = cut_lineage(self.members.groupBy("node").agg(F.count("*").alias("hubs")))
+        self.graph = graph
 
     def total(self, values: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         """values: keys, node, v -> keys, node, v summed over each node's neighbours.
@@ -48,14 +69,14 @@ class Neighbours:
         Through hubs: members send their value in, the hub sends the sum back, and each
         member takes off its own share, once per hub it holds.
         """
-        parts = []
-        if self.adjacency is not None:
-            parts.append(values.withColumnRenamed("node", "src").join(self.adjacency, "src").select(
+        parts, graph = [], self.graph
+        if graph.pairs is not None:
+            parts.append(values.withColumnRenamed("node", "src").join(graph.links, "src").select(
                 *keys, F.col("dst").alias("node"), "v"))
-        if self.members is not None:
-            sums = values.join(self.members, "node").groupBy(*keys, "kind", "hub").agg(F.sum("v").alias("v"))
-            parts.append(sums.join(self.members, ["kind", "hub"]).select(*keys, "node", "v"))
-            parts.append(values.join(self.held, "node").select(*keys, "node", (-F.col("v") * F.col("hubs")).alias("v")))
+        if graph.members is not None:
+            sums = values.join(graph.by_node, "node").groupBy(*keys, "kind", "hub").agg(F.sum("v").alias("v"))
+            parts.append(sums.join(graph.by_hub, ["kind", "hub"]).select(*keys, "node", "v"))
+            parts.append(values.join(graph.held, "node").select(*keys, "node", (-F.col("v") * F.col("hubs")).alias("v")))
         return reduce(DataFrame.unionByName, parts).groupBy(*keys, "node").agg(F.sum("v").alias("v"))
 
 

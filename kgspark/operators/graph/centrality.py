@@ -53,21 +53,25 @@ def _sigma_levels(sources: DataFrame, around: Neighbours) -> list[DataFrame]:
         levels.append(nxt)
 
 
-def closeness(graph: Graph, per_batch: int = SOURCES_PER_BATCH) -> DataFrame:
-    """(r-1)/sum(d) * (r-1)/(n-1) with r the reachable nodes including the node itself.
+def closeness(graph: Graph, per_batch: int = SOURCES_PER_BATCH, sources: DataFrame | None = None) -> DataFrame:
+    """(r-1)/sum(d) * (r-1)/(n-1) with r the reachable nodes including the node itself, exactly.
 
-    Each level of a batch adds its counts per source; only two levels are looked back at.
+    Each level of a batch adds its counts per source; only two levels are looked back at. Of all nodes that
+    is a row per source and node; ``sources`` (source) names the nodes to score, ``closeness_by_sketches``
+    scores all.
     """
     around = Neighbours(graph)
     sums = []
-    for sources in _batches(graph, per_batch):
+    for batch in [sources.distinct()] if sources is not None else _batches(graph, per_batch):
         counts = [level.groupBy("source").agg(F.count("*").alias("r"), (F.count("*") * depth).alias("d"))
-                  for depth, level in enumerate(_sigma_levels(sources, around)) if depth]
+                  for depth, level in enumerate(_sigma_levels(batch, around)) if depth]
         if counts:
             sums.append(cut_lineage(reduce(DataFrame.unionByName, counts).groupBy("source").agg(
                 F.sum("r").alias("r"), F.sum("d").alias("d"))))
     n = graph.nodes.agg(F.count("*")).scalar()
     nodes = graph.nodes.select("id")
+    if sources is not None:
+        nodes = nodes.join(sources.select(F.col("source").alias("id")).distinct(), "id", "left_semi")
     if not sums:
         return nodes.withColumn("score", F.lit(0.0))
     total = reduce(DataFrame.unionByName, sums).withColumnRenamed("source", "id")
@@ -76,27 +80,117 @@ def closeness(graph: Graph, per_batch: int = SOURCES_PER_BATCH) -> DataFrame:
         "id", F.coalesce((r / d) * (r / (n - 1)), F.lit(0.0)).alias("score"))
 
 
+SKETCH = 12  # log2 of a sketch's registers
+SKETCH_ERROR = 1.04 / math.sqrt(1 << SKETCH)  # standard error of a count; sets of a few hundred are counted as they are
+
+
+def closeness_by_sketches(graph: Graph, lg: int = SKETCH) -> DataFrame:
+    """(id, score, reached): closeness of all nodes with one row per node.
+
+    Every node holds a distinct-count sketch of the nodes within d steps. A step hands sketches on along
+    pair edges and through hubs, where they merge, until no count grows. A node's distances sum up from the
+    growth of its counts. A count has a relative standard error of 1.04 / sqrt(2^lg); ``reached`` is the last.
+    """
+    if graph.nodes.isEmpty():
+        return graph.nodes.select("id", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("reached"))
+    sketch, union = f"hll_sketch_agg(node, {lg})", "hll_union_agg(sketch)"
+    size = F.round(F.expr("hll_sketch_estimate(sketch)")).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    state = cut_lineage(graph.nodes.select(F.col("id").alias("node")).groupBy("node").agg(F.expr(sketch).alias("sketch"))
+                        .select("node", "sketch", F.lit(1).cast("bigint").alias("n"), none.alias("far"), F.lit(True).alias("grew")))
+    depth = 0
+    while not state.where("grew").isEmpty():
+        depth += 1
+        passed = [state.select("node", "sketch")]
+        if graph.pairs is not None:
+            passed.append(state.select(F.col("node").alias("src"), "sketch").join(graph.links, "src")
+                          .select(F.col("dst").alias("node"), "sketch"))
+        if graph.members is not None:
+            merged = state.join(graph.by_node, "node").groupBy("kind", "hub").agg(F.expr(union).alias("sketch"))
+            passed.append(merged.join(graph.by_hub, ["kind", "hub"]).select("node", "sketch"))
+        heard = reduce(DataFrame.unionByName, passed).groupBy("node").agg(F.expr(union).alias("sketch")).withColumn("now", size)
+        state = cut_lineage(heard.join(state.select("node", "n", "far"), "node").select(
+            "node", "sketch", F.greatest("now", "n").alias("n"),
+            (F.col("far") + F.greatest(F.col("now") - F.col("n"), none) * depth).alias("far"), (F.col("now") > F.col("n")).alias("grew")))
+    n = graph.nodes.agg(F.count("*")).scalar()
+    r = (F.col("n") - 1).cast("double")
+    return state.select(F.col("node").alias("id"), F.when(F.col("far") > 0, (r / F.col("far")) * (r / (n - 1))).otherwise(0.0).alias("score"),
+                        F.col("n").alias("reached"))
+
+
+def _dependencies(sources: DataFrame, around: Neighbours) -> DataFrame | None:
+    """(source, node, delta): the share of shortest paths from each source that pass each node, none for one-level searches."""
+    levels = _sigma_levels(sources, around)
+    delta = levels[-1].select("source", "node", "sigma", F.lit(0.0).alias("delta"))
+    gathered = []
+    for depth in range(len(levels) - 1, 0, -1):
+        gathered.append(delta.select("source", "node", "delta"))
+        if depth == 1:
+            break
+        # each child passes (1 + delta) / sigma to its parents one level up
+        share = ((1 + F.col("delta")) / F.col("sigma")).alias("v")
+        offers = around.total(delta.select("source", "node", share), ("source",)).withColumnRenamed("v", "c")
+        delta = cut_lineage(levels[depth - 1].join(offers, ["source", "node"], "left").select(
+            "source", "node", "sigma", F.coalesce(F.col("sigma") * F.col("c"), F.lit(0.0)).alias("delta")))
+    return reduce(DataFrame.unionByName, gathered) if gathered else None
+
+
+def betweenness_by_pivots(graph: Graph, error: float = 0.01, risk: float = 0.05, first: int = 64, seed: int = 0) -> DataFrame:
+    """(id, score, low, high, pivots): betweenness from a sample of sources, all nodes' bounds holding at once
+    with probability 1 - ``risk``.
+
+    A source's share of paths through a node, over n - 2, lies in [0, 1], and its mean over all sources is the
+    score, so the mean over a random sample is unbiased. The sample doubles, from ``first`` sources on, until
+    empirical Bernstein bounds (Maurer and Pontil 2009), spread over all nodes and rounds, are within ``error``
+    of every score, or no source is left: then scores are exact. The order of sources is that of a hash.
+    """
+    n = graph.nodes.count()
+    nodes = graph.nodes.select("id")
+    if n < 3:
+        return nodes.select("id", *(F.lit(0.0).alias(c) for c in ("score", "low", "high")), F.lit(n).cast("bigint").alias("pivots"))
+    around = Neighbours(graph)
+    place = F.xxhash64("id", F.lit(seed))
+    share = F.col("delta") / (n - 2)
+    sums, taken, turn = [], 0, 0
+    edge = None  # hash up to which sources have been taken
+    while True:
+        turn += 1
+        want = min(n, first << (turn - 1))
+        rest = nodes.select(F.col("id").alias("source"), place.alias("place"))
+        rest = rest if edge is None else rest.where(F.col("place") > edge)
+        batch = cut_lineage(rest.orderBy("place", "source").limit(want - taken))  # so many sources at a time
+        edge = batch.agg(F.max("place")).first()[0]
+        batch = cut_lineage(rest.where(F.col("place") <= edge).select("source"))
+        taken += batch.count()
+        found = _dependencies(batch, around)
+        if found is not None:
+            sums.append(cut_lineage(found.where("node <> source").groupBy("node").agg(
+                F.sum(share).alias("s"), F.sum(share * share).alias("q"))))
+        k, whole = float(taken), taken >= n
+        total = (reduce(DataFrame.unionByName, sums).groupBy(F.col("node").alias("id")).agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
+                 if sums else nodes.select("id", F.lit(0.0).alias("s"), F.lit(0.0).alias("q")))
+        mean = F.col("s") / k
+        # a source is no middle of its own paths: the mean over the other n - 1 sources
+        scale = n / (n - 1)
+        log = math.log(3 * n * turn * (turn + 1) / risk)
+        spread = F.greatest((F.col("q") - k * mean * mean) / max(k - 1, 1), F.lit(0.0))
+        half = F.lit(0.0) if whole else (F.sqrt(2 * spread * log / k) + 7 * log / (3 * max(k - 1, 1))) * scale
+        rows = cut_lineage(nodes.join(total, "id", "left").select(
+            "id", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("q", F.lit(0.0)).alias("q"))
+            .select("id", (mean * scale).alias("score"), half.alias("half")))
+        if whole or rows.agg(F.max("half")).first()[0] <= error:
+            return rows.select("id", "score", F.greatest(F.col("score") - F.col("half"), F.lit(0.0)).alias("low"),
+                               F.least(F.col("score") + F.col("half"), F.lit(1.0)).alias("high"), F.lit(taken).cast("bigint").alias("pivots"))
+
+
 def betweenness(graph: Graph, per_batch: int = SOURCES_PER_BATCH) -> DataFrame:
     """Share of shortest paths through each node, scaled by 2/((n-1)(n-2))."""
     around = Neighbours(graph)
     parts = []
     for sources in _batches(graph, per_batch):
-        levels = _sigma_levels(sources, around)
-        delta = levels[-1].select("source", "node", "sigma", F.lit(0.0).alias("delta"))
-        gathered = []
-        for depth in range(len(levels) - 1, 0, -1):
-            gathered.append(delta.select("node", "delta"))
-            if depth == 1:
-                break
-            # each child passes (1 + delta) / sigma to its parents one level up
-            share = ((1 + F.col("delta")) / F.col("sigma")).alias("v")
-            offers = around.total(delta.select("source", "node", share), ("source",)).withColumnRenamed("v", "c")
-            delta = cut_lineage(levels[depth - 1].join(offers, ["source", "node"], "left").select(
-                "source", "node", "sigma",
-                F.coalesce(F.col("sigma") * F.col("c"), F.lit(0.0)).alias("delta")))
-        if gathered:
-            parts.append(cut_lineage(reduce(DataFrame.unionByName, gathered).groupBy("node").agg(
-                F.sum("delta").alias("delta"))))
+        found = _dependencies(sources, around)
+        if found is not None:
+            parts.append(cut_lineage(found.groupBy("node").agg(F.sum("delta").alias("delta"))))
     nodes = graph.nodes.select("id")
     if not parts:
         return nodes.withColumn("score", F.lit(0.0))

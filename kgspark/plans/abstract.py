@@ -255,7 +255,7 @@ def _inverse_rows(t: Tables, rule_id: str) -> DataFrame:
                                      "supplied_by", "part_dim"))
 def assortment_via_inverse(t: Tables) -> DataFrame:
     parts = b.part_dim(t).withColumn("part_id", part_id())
-    rows = _inverse_rows(t, "RULE_INV_001")
+    rows = _inverse_rows(t, "INV_SUPPLIES")
     return rows.join(parts, rows.dst_id == parts.part_id).select(
         F.col("src_id").alias("supplier_id"), "part_id", "part_name", "part_type", "brand",
         F.col("effective_start").alias("contract_start"), F.col("effective_end").alias("contract_end"),
@@ -270,7 +270,7 @@ def assortment_via_inverse(t: Tables) -> DataFrame:
                                     "buys_from", "customer_dim"))
 def customers_via_inverse(t: Tables) -> DataFrame:
     customers = b.customer_dim(t).withColumn("customer_id", typed_id("CUSTOMER", "cust_key"))
-    rows = _inverse_rows(t, "RULE_INV_002")
+    rows = _inverse_rows(t, "INV_SELLS_TO")
     return rows.join(customers, rows.dst_id == customers.customer_id).select(
         F.col("src_id").alias("supplier_id"), "customer_id", "customer_name", "origin", "segment",
         F.col("effective_start").alias("contract_start"), F.col("effective_end").alias("contract_end"),

@@ -378,6 +378,57 @@ def tenures_after_moves(t: Tables) -> DataFrame:
         "start_date", "end_date", "tenure")
 
 
+REPLAY_CTES = {
+    "req": "SELECT part_key, MAX(supp_key) AS from_key, MIN(supp_key) AS to_key FROM supplied_by GROUP BY part_key",
+    "m": MOVED_SQL,
+    "o": """SELECT part_key, supp_key, start_date FROM supplied_by e WHERE end_date IS NULL
+              AND NOT EXISTS (SELECT 1 FROM m WHERE m.part_key = e.part_key AND m.from_key = e.supp_key)
+            UNION ALL SELECT part_key, to_key, DATE '2001-12-01' FROM m WHERE NOT EXISTS (
+              SELECT 1 FROM supplied_by o WHERE o.part_key = m.part_key AND o.supp_key = m.to_key AND o.end_date IS NULL)""",
+    "n": """SELECT r.part_key, r.to_key AS from_key, r.from_key + 1 AS to_key,
+              CASE WHEN o.part_key IS NOT NULL THEN 'APPLIED'
+                   WHEN m.part_key IS NOT NULL AND m.from_key = r.to_key THEN 'SUPERSEDED' ELSE 'NO_OPEN_TENURE' END AS status
+            FROM req r LEFT JOIN o ON o.part_key = r.part_key AND o.supp_key = r.to_key LEFT JOIN m ON m.part_key = r.part_key"""}
+
+
+@query("moves_replayed", sql("""
+    SELECT 'PART:' || r.part_key AS part_id, 'SUPPLIER:' || r.from_key AS from_supplier, 'SUPPLIER:' || r.to_key AS to_supplier,
+           DATE '2001-12-01' AS move_date, CASE WHEN r.from_key = r.to_key THEN 'SAME_SUPPLIER'
+                WHEN m.part_key IS NULL THEN 'NO_OPEN_TENURE' ELSE 'APPLIED' END AS status
+    FROM req r LEFT JOIN m ON m.part_key = r.part_key
+    UNION ALL SELECT 'PART:' || part_key, 'SUPPLIER:' || from_key, 'SUPPLIER:' || to_key, DATE '2001-12-15', status FROM n""",
+                             "supplied_by", extra=REPLAY_CTES))
+def moves_replayed(t: Tables) -> DataFrame:
+    """Two requests per part in one batch, the second from where the first leads: every outcome in time order."""
+    decided, _ = actions.replay_moves(*_replayed(t), "part_key", "supp_key")
+    return decided.select(typed_id("PART", "part_key").alias("part_id"), typed_id("SUPPLIER", "from_key").alias("from_supplier"),
+                          typed_id("SUPPLIER", "to_key").alias("to_supplier"), "move_date", "status")
+
+
+def _replayed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    tenures = b.supplied_by(t).select("part_key", "supp_key", "start_date", "end_date")
+    there = _move_requests(tenures)
+    on = there.select("part_key", F.col("to_key").alias("from_key"), (F.col("from_key") + 1).alias("to_key"),
+                      F.lit(dt.date(2001, 12, 15)).alias("move_date"))
+    return tenures, there.unionByName(on)
+
+
+@query("tenures_replayed", sql("""
+    SELECT 'PART:' || part_key AS part_id, 'SUPPLIER:' || supp_key AS supplier_id, start_date, end_date FROM (
+        SELECT part_key, supp_key, start_date, end_date FROM supplied_by WHERE end_date IS NOT NULL
+        UNION ALL SELECT e.part_key, supp_key, start_date, DATE '2001-12-01' FROM supplied_by e
+            JOIN m ON m.part_key = e.part_key AND m.from_key = e.supp_key WHERE end_date IS NULL
+        UNION ALL SELECT o.part_key, supp_key, start_date, CASE WHEN n.part_key IS NOT NULL THEN DATE '2001-12-15' END
+            FROM o LEFT JOIN n ON n.part_key = o.part_key AND n.from_key = o.supp_key AND n.status = 'APPLIED'
+        UNION ALL SELECT part_key, to_key, DATE '2001-12-15', NULL FROM n WHERE status = 'APPLIED' AND NOT EXISTS (
+            SELECT 1 FROM o WHERE o.part_key = n.part_key AND o.supp_key = n.to_key))""", "supplied_by", extra=REPLAY_CTES))
+def tenures_replayed(t: Tables) -> DataFrame:
+    """All tenures after the requests of ``moves_replayed``."""
+    _, after = actions.replay_moves(*_replayed(t), "part_key", "supp_key")
+    return after.select(typed_id("PART", "part_key").alias("part_id"), typed_id("SUPPLIER", "supp_key").alias("supplier_id"),
+                        "start_date", "end_date")
+
+
 @query("tenures_after_engaging", sql("""
     SELECT 'PART:' || part_key AS part_id, 'SUPPLIER:' || supp_key AS supplier_id, start_date, end_date FROM supplied_by
     UNION ALL

@@ -134,13 +134,13 @@ INTERFACE_IMPL = {"Named": ("Party", "Org", "Occasion"), "Temporal": ("Order",),
                   "Locatable": ("Customer", "Org")}
 
 RULES = [
-    Rule("RULE_INV_001", "INVERSE", "SUPPLIES", inverse_of="SUPPLIED_BY", description="Supplier to part"),
-    Rule("RULE_INV_002", "INVERSE", "SELLS_TO", inverse_of="BUYS_FROM", description="Supplier to customer"),
-    Rule("RULE_INV_003", "INVERSE", "engages", inverse_of="engaged_with", description="Inverse of an abstract relation"),
-    Rule("RULE_TRA_001", "TRANSITIVE", "WITHIN", description="Places within places"),
-    Rule("RULE_CHA_001", "PROPERTY_CHAIN", "OFFERED_IN", source_rel_1="SUPPLIED_BY", source_rel_2="WITHIN",
+    Rule("INV_SUPPLIES", "INVERSE", "SUPPLIES", inverse_of="SUPPLIED_BY", description="Supplier to part"),
+    Rule("INV_SELLS_TO", "INVERSE", "SELLS_TO", inverse_of="BUYS_FROM", description="Supplier to customer"),
+    Rule("INV_ENGAGES", "INVERSE", "engages", inverse_of="engaged_with", description="Inverse of an abstract relation"),
+    Rule("TRA_WITHIN", "TRANSITIVE", "WITHIN", description="Places within places"),
+    Rule("CHAIN_OFFERED_IN", "PROPERTY_CHAIN", "OFFERED_IN", source_rel_1="SUPPLIED_BY", source_rel_2="WITHIN",
          description="Part is offered where its supplier is"),
-    Rule("RULE_INV_900", "INVERSE", "CONTAINS", inverse_of="IN_ORDER", is_enabled=False, description="Order to part"),
+    Rule("INV_CONTAINS", "INVERSE", "CONTAINS", inverse_of="IN_ORDER", is_enabled=False, description="Order to part"),
 ]
 
 ACTIONS = [

@@ -47,7 +47,7 @@ def load_graph(t: Tables, graph_type: str, relations=None) -> Graph:
     """The 'part' graph (hubs) or the 'supplier' graph (pair edges); anything else is an error."""
     if graph_type == "part":
         nodes = t.part.select(F.col("p_partkey").alias("id"))
-        return Graph(nodes, members=cut_lineage(part_members(t, relations or ("supplier", "order"))))
+        return Graph(nodes, members=part_members(t, relations or ("supplier", "order")))
     if graph_type == "supplier":
         nodes = t.supplier.select(F.col("s_suppkey").alias("id"))
         pairs = {("match",): supplier_matches, ("match", "move"): supplier_pairs}[relations or ("match", "move")](t)
@@ -227,6 +227,30 @@ def shortest_path_weighted(t: Tables, source: int = START_SUPPLIER) -> DataFrame
                         F.round("cost", 9).alias("cost"))
 
 
+PART_HUB_SIZES = """SELECT mem.node, mem.kind, mem.hub, h.w FROM mem JOIN (
+    SELECT kind, hub, COUNT(*) AS w FROM mem GROUP BY kind, hub) h ON h.kind = mem.kind AND h.hub = mem.hub"""
+
+
+def _hub_relax_ctes(rounds: int) -> dict[str, str]:
+    ctes = {"mem": PART_HUBS, "e": PART_HUB_SIZES, "d0": "SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS DOUBLE) AS cost"}
+    for i in range(1, rounds + 1):
+        ctes[f"d{i}"] = f"""SELECT node, MIN(cost) AS cost FROM (SELECT node, cost FROM d{i - 1}
+            UNION ALL SELECT mem.node, h.cost FROM (SELECT e.kind, e.hub, MIN(d.cost + e.w) AS cost FROM d{i - 1} d
+                JOIN e ON e.node = d.node GROUP BY 1, 2) h JOIN mem ON mem.kind = h.kind AND mem.hub = h.hub) GROUP BY node"""
+    return ctes
+
+
+@query("shortest_path_weighted_part", sql("""SELECT 'PART:1' AS source_id, 'PART:' || node AS id, cost FROM d12""",
+                                          extra=_hub_relax_ctes(12)))
+def shortest_path_weighted_part(t: Tables, source: int = START_PART) -> DataFrame:
+    """Least total cost from one part to every other: a shared order or supplier costs as much as it has parts."""
+    graph = load_graph(t, "part")
+    sizes = graph.by_hub.groupBy("kind", "hub").agg(F.count("*").cast("double").alias("w"))
+    seeds = t.spark.createDataFrame([(source,)], "source bigint")
+    costs = traverse.weighted_distances(graph, None, seeds, hub_weights=sizes)
+    return costs.select(part_id("source").alias("source_id"), part_id("node").alias("id"), "cost")
+
+
 @query("supplier_network_depth", sql("""
     SELECT 'SUPPLIER:' || r.node AS supplier_id, r.dist AS degree, 'PART:' || adj.via AS via_part,
            'SUPPLIER:' || r.parent AS parent_id
@@ -236,7 +260,7 @@ def supplier_network_depth(t: Tables, start: int = START_SUPPLIER,
                            max_degrees: int = MAX_SUPPLIER_DEGREES) -> DataFrame:
     """Suppliers within a few degrees of one supplier through shared parts."""
     graph = Graph(t.supplier.select(F.col("s_suppkey").alias("id")),
-                  members=cut_lineage(memberships(t.lineitem, "l_suppkey", "l_partkey", "part")))
+                  members=memberships(t.lineitem, "l_suppkey", "l_partkey", "part"))
     seeds = t.spark.createDataFrame([(start,)], "source bigint")
     rows = traverse.all_levels(traverse.bfs_levels(graph, seeds, max_degrees)).where("dist > 0")
     return traverse.with_hubs(rows, graph).select(
@@ -247,7 +271,7 @@ def supplier_network_depth(t: Tables, start: int = START_SUPPLIER,
 def supplier_network_paths(t: Tables, start: int, max_degrees: int = MAX_SUPPLIER_DEGREES) -> DataFrame:
     """As above with the whole connection path, linking part in brackets."""
     graph = Graph(t.supplier.select(F.col("s_suppkey").alias("id")),
-                  members=cut_lineage(memberships(t.lineitem, "l_suppkey", "l_partkey", "part")))
+                  members=memberships(t.lineitem, "l_suppkey", "l_partkey", "part"))
     levels = traverse.bfs_levels(graph, t.spark.createDataFrame([(start,)], "source bigint"), max_degrees)
     pairs = traverse.distances(levels).where("dist > 0").select("source", F.col("node").alias("target"))
     step = F.transform("steps", lambda s: F.when(s["via"].isNull(), typed_id("SUPPLIER", s["node"])).otherwise(
@@ -304,6 +328,31 @@ def centrality_closeness(t: Tables) -> DataFrame:
     return _scores(centrality.closeness(load_graph(t, "supplier")))
 
 
+CLOSENESS_SQL = f"""SELECT source AS node, COUNT(*) AS n, SUM(dist) AS s FROM r WHERE dist > 0 GROUP BY source"""
+
+
+@query("centrality_closeness_sketched", sql(f"""
+    SELECT 'SUPPLIER:' || s_suppkey AS id, ROUND(COALESCE((CAST(n AS DOUBLE) / s) * (CAST(n AS DOUBLE) / ({N_SUPPLIERS} - 1)), 0), 9) AS score,
+           COALESCE(n, 0) + 1 AS reached
+    FROM supplier LEFT JOIN ({CLOSENESS_SQL}) d ON d.node = s_suppkey""", "matchups", "supplied_by", extra={
+        **PART_RANKED, **level_ctes(SUPPLIER_ADJ, "SELECT s_suppkey AS source FROM supplier", 6)}))
+def centrality_closeness_sketched(t: Tables) -> DataFrame:
+    """Closeness of all suppliers from distinct-count sketches, one row per supplier at any size."""
+    found = centrality.closeness_by_sketches(load_graph(t, "supplier"))
+    return found.select(supplier_id("id").alias("id"), F.round("score", 9).alias("score"), "reached")
+
+
+@query("closeness_of_parts", sql(f"""
+    SELECT 'PART:' || p.source AS id, ROUND(COALESCE((CAST(n AS DOUBLE) / s) * (CAST(n AS DOUBLE) / ((SELECT COUNT(*) FROM part) - 1)), 0), 9) AS score
+    FROM (SELECT MIN(p_partkey) AS source FROM part GROUP BY p_brand) p LEFT JOIN ({CLOSENESS_SQL}) d ON d.node = p.source""",
+                                 extra=hub_level_ctes(PART_HUBS, "SELECT MIN(p_partkey) AS source FROM part GROUP BY p_brand", 6)))
+def closeness_of_parts(t: Tables, sources: DataFrame | None = None) -> DataFrame:
+    """Exact closeness of named parts, by default the first part of every brand."""
+    named = sources if sources is not None else t.part.groupBy("p_brand").agg(F.min("p_partkey").alias("source")).select("source")
+    found = centrality.closeness(load_graph(t, "part"), sources=named)
+    return found.select(part_id("id").alias("id"), F.round("score", 9).alias("score"))
+
+
 def _sigma_ctes(depth: int) -> dict[str, str]:
     """Shortest-path counts g(source, node, dist, sigma) by unrolled levels."""
     ctes = {"adj": SUPPLIER_ADJ,
@@ -330,6 +379,21 @@ def centrality_betweenness(t: Tables) -> DataFrame:
     return _scores(centrality.betweenness(load_graph(t, "supplier")))
 
 
+@query("centrality_betweenness_pivots", sql(f"""
+    SELECT 'SUPPLIER:' || s_suppkey AS id, ROUND(COALESCE(c, 0) * 2 / (({N_SUPPLIERS} - 1) * ({N_SUPPLIERS} - 2)), 9) AS score,
+           {N_SUPPLIERS} AS pivots
+    FROM supplier LEFT JOIN (
+      SELECT x.node AS v, SUM(x.sigma * y.sigma / st.sigma) AS c
+      FROM g st JOIN g x ON x.source = st.source JOIN g y ON y.source = st.node AND y.node = x.node
+      WHERE st.source < st.node AND x.node <> st.source AND x.node <> st.node
+        AND x.dist + y.dist = st.dist GROUP BY x.node) b ON b.v = s_suppkey""", "matchups", "supplied_by",
+                                            extra={**PART_RANKED, **_sigma_ctes(6)}))
+def centrality_betweenness_pivots(t: Tables, error: float = 0.01) -> DataFrame:
+    """Betweenness from as many sampled suppliers as the error bound asks for; of few suppliers it asks for all."""
+    found = centrality.betweenness_by_pivots(load_graph(t, "supplier"), error)
+    return found.select(supplier_id("id").alias("id"), F.round("score", 9).alias("score"), "pivots")
+
+
 @query("centrality_degree_part", sql("""
     SELECT 'PART:' || p_partkey AS id, ROUND(COALESCE(n, 0) / ((SELECT COUNT(*) FROM part) - 1), 9) AS score
     FROM part LEFT JOIN (

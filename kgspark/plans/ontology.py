@@ -65,10 +65,10 @@ def party_subtype_counts(t: Tables) -> DataFrame:
 
 INVERSE_ROWS_SQL = f"""
     SELECT 'SUPPLIES' AS rel_name, dst_id AS src_id, src_id AS dst_id, 'INVERSE' AS inference_kind,
-           'RULE_INV_001' AS rule_id, CAST(1.0 AS DOUBLE) AS weight, effective_start, effective_end
+           'INV_SUPPLIES' AS rule_id, CAST(1.0 AS DOUBLE) AS weight, effective_start, effective_end
     FROM edges WHERE edge_type = 'SUPPLIED_BY'
     UNION ALL
-    SELECT 'SELLS_TO', dst_id, src_id, 'INVERSE', 'RULE_INV_002', 1.0, effective_start, effective_end
+    SELECT 'SELLS_TO', dst_id, src_id, 'INVERSE', 'INV_SELLS_TO', 1.0, effective_start, effective_end
     FROM edges WHERE edge_type = 'BUYS_FROM'"""
 
 
@@ -211,23 +211,23 @@ def tenure_age_years(t: Tables) -> DataFrame:
 
 @query("infer_inverse", sql(INVERSE_ROWS_SQL, "edges"))
 def infer_inverse(t: Tables) -> DataFrame:
-    return inf.infer_all(b.kg_edges(t), [rule("RULE_INV_001"), rule("RULE_INV_002")])
+    return inf.infer_all(b.kg_edges(t), [rule("INV_SUPPLIES"), rule("INV_SELLS_TO")])
 
 
 ABSTRACT_INVERSE_SQL = """
     SELECT 'engages' AS rel_name, dst_id AS src_id, src_id AS dst_id, 'INVERSE' AS inference_kind,
-           'RULE_INV_003' AS rule_id, CAST(1.0 AS DOUBLE) AS weight, effective_start, effective_end
+           'INV_ENGAGES' AS rule_id, CAST(1.0 AS DOUBLE) AS weight, effective_start, effective_end
     FROM edges WHERE edge_type IN ('SUPPLIED_BY', 'BUYS_FROM')"""
 
 
 @query("infer_inverse_abstract", sql(ABSTRACT_INVERSE_SQL, "edges"))
 def infer_inverse_abstract(t: Tables) -> DataFrame:
-    return inf.infer_inverse(b.kg_edges(t), rule("RULE_INV_003"), md.RELATION_MAP)
+    return inf.infer_inverse(b.kg_edges(t), rule("INV_ENGAGES"), md.RELATION_MAP)
 
 
 TRANSITIVE_SQL = """
     SELECT 'WITHIN' AS rel_name, x.src_id, y.dst_id, 'TRANSITIVE' AS inference_kind,
-           'RULE_TRA_001' AS rule_id, CAST(0.5 AS DOUBLE) AS weight,
+           'TRA_WITHIN' AS rule_id, CAST(0.5 AS DOUBLE) AS weight,
            CAST(NULL AS DATE) AS effective_start, CAST(NULL AS DATE) AS effective_end
     FROM edges x JOIN edges y ON y.src_id = x.dst_id
     WHERE x.edge_type = 'WITHIN' AND y.edge_type = 'WITHIN'"""
@@ -235,19 +235,19 @@ TRANSITIVE_SQL = """
 
 @query("infer_transitive", sql(TRANSITIVE_SQL, "edges"))
 def infer_transitive(t: Tables) -> DataFrame:
-    return inf.infer_transitive(b.kg_edges(t), rule("RULE_TRA_001"))
+    return inf.infer_transitive(b.kg_edges(t), rule("TRA_WITHIN"))
 
 
 CHAIN_SQL = """
     SELECT DISTINCT 'OFFERED_IN' AS rel_name, x.src_id, y.dst_id, 'PROPERTY_CHAIN' AS inference_kind,
-           'RULE_CHA_001' AS rule_id, CAST(1.0 AS DOUBLE) AS weight, x.effective_start, x.effective_end
+           'CHAIN_OFFERED_IN' AS rule_id, CAST(1.0 AS DOUBLE) AS weight, x.effective_start, x.effective_end
     FROM edges x JOIN edges y ON y.src_id = x.dst_id
     WHERE x.edge_type = 'SUPPLIED_BY' AND y.edge_type = 'WITHIN'"""
 
 
 @query("infer_property_chain", sql(CHAIN_SQL, "edges"))
 def infer_property_chain(t: Tables) -> DataFrame:
-    return inf.infer_property_chain(b.kg_edges(t), rule("RULE_CHA_001"))
+    return inf.infer_property_chain(b.kg_edges(t), rule("CHAIN_OFFERED_IN"))
 
 
 ALL_INFERRED_SQL = f"""({INVERSE_ROWS_SQL}) UNION ALL ({ABSTRACT_INVERSE_SQL})
@@ -282,9 +282,9 @@ def run_inference(t: Tables) -> DataFrame:
 
 @query("inferred_summary", sql("""
     SELECT rule_id, rel_name, inference_kind,
-           CASE rule_id WHEN 'RULE_INV_001' THEN 'Supplier to part' WHEN 'RULE_INV_002' THEN 'Supplier to customer'
-                WHEN 'RULE_INV_003' THEN 'Inverse of an abstract relation'
-                WHEN 'RULE_TRA_001' THEN 'Places within places'
+           CASE rule_id WHEN 'INV_SUPPLIES' THEN 'Supplier to part' WHEN 'INV_SELLS_TO' THEN 'Supplier to customer'
+                WHEN 'INV_ENGAGES' THEN 'Inverse of an abstract relation'
+                WHEN 'TRA_WITHIN' THEN 'Places within places'
                 ELSE 'Part is offered where its supplier is' END AS rule_description,
            COUNT(*) AS inferred_count, COUNT(DISTINCT src_id) AS unique_sources,
            COUNT(DISTINCT dst_id) AS unique_targets

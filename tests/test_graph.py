@@ -171,6 +171,91 @@ def test_shortest_paths(graph, spark):
                     (77, 0): ("UNKNOWN_NODE", None, None), (4, 4): ("OK", 0, [4])}
 
 
+def smallest_parents(adj, s, t):
+    """The path that takes the smallest parent at every step back from the target."""
+    dist, path = search(adj, s)[0], [t]
+    if t not in dist:
+        return None
+    while path[0] != s:
+        path.insert(0, min(p for p in adj[path[0]] if dist.get(p) == dist[path[0]] - 1))
+    return path
+
+
+def test_search_from_both_ends(hub_graph, spark):
+    """Every pair at once, through hubs, and through hubs and pair edges that make long ways."""
+    graph, adj, nodes = hub_graph
+    chain = [(100 + i, 101 + i) for i in range(9)] + [(0, 100), (104, 7), (200, 201)]
+    more = nodes + list(range(100, 110)) + [200, 201]
+    mixed = Graph(spark.createDataFrame([(n,) for n in more], "id bigint"), members=graph.members,
+                  pairs=spark.createDataFrame(chain, "a bigint, b bigint"))
+    wide = neighbours([(a, b) for a in adj for b in adj[a]] + chain, more)
+    for g, near, ids in ((graph, adj, nodes), (mixed, wide, more)):
+        pairs = spark.createDataFrame(list(itertools.product(ids, ids)), "source bigint, target bigint")
+        rows = traverse.shortest_paths(g, pairs).collect()
+        assert len(rows) == len(ids) ** 2
+        for r in rows:
+            want = smallest_parents(near, r.source, r.target)
+            assert (r.status, r.distance, r.path) == (("OK", len(want) - 1, want) if want else ("NO_PATH", None, None))
+    short = {(r.source, r.target): r.distance for r in traverse.shortest_paths(mixed, pairs, max_depth=2).collect()}
+    assert all(short[s, t] == (len(p) - 1 if (p := smallest_parents(wide, s, t)) and len(p) <= 3 else None) for s, t in short)
+
+
+def test_both_ends_touch_less(spark):
+    rng = random.Random(8)
+    rows = {(rng.randrange(3000), "h", h) for h in range(1500) for _ in range(5)}
+    graph = Graph(spark.range(3000), members=spark.createDataFrame(list(rows), "node bigint, kind string, hub bigint"))
+    pairs = spark.createDataFrame([(i, 2999 - i) for i in range(6)], "source bigint, target bigint")
+    effort = []
+    found = traverse.shortest_paths(graph, pairs, effort=effort).collect()
+    levels = traverse.bfs_levels(graph, pairs.select("source"), None, pairs)
+    reached = traverse.distances(levels).collect()
+    known = {(r.source, r.node): r.dist for r in reached}
+    assert all(r.distance == known.get((r.source, r.target)) for r in found)
+    held = {}
+    for n, _, _ in rows:
+        held[n] = held.get(n, 0) + 1
+    one_ended = sum(held.get(r.node, 0) for r in reached if r.dist < len(levels) - 1)  # memberships of all expanded nodes
+    assert 0 < sum(effort[::2]) < one_ended / 2
+
+
+def test_loops_leave_the_graph_in_place(hub_graph, spark):
+    graph, _, nodes = hub_graph
+    front = spark.createDataFrame([(1, n, "gh"[n % 2]) for n in nodes], "source bigint, node bigint, kind string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for plan in (front.drop("kind").join(graph.by_node, "node"), front.selectExpr("source", "kind", "node AS hub").join(graph.by_hub, ["kind", "hub"])):
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            assert text.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in text
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("width", [None, 0.5, 3.0, 100.0])
+def test_weights_through_hubs(hub_graph, spark, width):
+    graph, _, nodes = hub_graph
+    rows = [(r.node, r.kind, r.hub) for r in graph.members.collect()]
+    cost = {h: float(1 + (h[1] * 7) % 5) for h in {(k, h) for _, k, h in rows}}
+    pairs = [(0, 14, 2.5), (3, 14, 0.25)]
+    best = {a: {a: 0.0} for a in nodes}
+    for a in nodes:
+        for _ in nodes:
+            for h, w in cost.items():
+                members = [n for n, k, x in rows if (k, x) == h]
+                low = min((best[a][m] for m in members if m in best[a]), default=None)
+                for m in members if low is not None else ():
+                    best[a][m] = min(best[a].get(m, 1e9), low + w)
+            for x, y, w in pairs:
+                for u, v in ((x, y), (y, x)):
+                    if u in best[a]:
+                        best[a][v] = min(best[a].get(v, 1e9), best[a][u] + w)
+    got = {}
+    frame = spark.createDataFrame([(*h, w) for h, w in cost.items()], "kind string, hub bigint, w double")
+    weights = spark.createDataFrame(pairs, "a bigint, b bigint, w double")
+    for r in traverse.weighted_distances(graph, weights, spark.createDataFrame([(n,) for n in nodes], "source bigint"), frame, width).collect():
+        got.setdefault(r.source, {})[r.node] = r.cost
+    assert got == best
+
+
 def test_paths_name_the_hubs(spark):
     members = spark.createDataFrame([(1, "s", 7), (2, "s", 7), (2, "s", 8), (3, "s", 8)],
                                     "node bigint, kind string, hub bigint")
@@ -254,3 +339,39 @@ def test_a_hub_of_thousands(spark):
     found = {r.id: r.community_id for r in community.louvain(graph).collect()}
     assert {found[n] for n in range(1, 4000)} == {found[1]} and found[4004] == 4004 == found[4007]
     assert len(found) == 4020
+
+
+def test_closeness_of_named_and_by_sketches(hub_graph, graph, spark):
+    for g, nodes in ((hub_graph[0], hub_graph[2]), (graph, NODES)):
+        exact = scores(centrality.closeness(g))
+        named = scores(centrality.closeness(g, sources=spark.createDataFrame([(nodes[1],), (nodes[2],), (999,)], "source bigint")))
+        assert named == {n: pytest.approx(exact[n]) for n in nodes[1:3]}
+        sketched = scores(centrality.closeness_by_sketches(g))
+        assert sketched == {n: pytest.approx(exact[n]) for n in nodes}
+
+
+def test_sketches_keep_their_error(spark):
+    """Thousands of nodes: counts beyond what a sketch holds as it is."""
+    rng = random.Random(4)
+    edges = {tuple(sorted((i, rng.randrange(i)))) for i in range(1, 3000)} | {tuple(sorted(rng.sample(range(3000), 2))) for _ in range(12000)}
+    g = make(spark, edges, range(3000))
+    named = rng.sample(range(3000), 4)
+    exact = scores(centrality.closeness(g, sources=spark.createDataFrame([(n,) for n in named], "source bigint")))
+    rows = {r.id: r for r in centrality.closeness_by_sketches(g).collect()}
+    assert len(rows) == 3000
+    for n in named:  # the score is a quotient of a squared count and a sum of counts: four errors' room for each
+        assert rows[n].reached == pytest.approx(3000, rel=4 * centrality.SKETCH_ERROR)
+        assert rows[n].score == pytest.approx(exact[n], rel=12 * centrality.SKETCH_ERROR)
+
+
+def test_pivots_stop_within_their_bound(spark):
+    # a few hubs of a star forest carry all paths; shares of leaves are 0
+    edges = [(0, i) for i in range(1, 4)] + [(1 + i % 3, 4 + i) for i in range(400)]
+    g = make(spark, edges, range(404))
+    exact = scores(centrality.betweenness(g))
+    rows = centrality.betweenness_by_pivots(g, error=0.4, first=64).collect()
+    assert len(rows) == 404 and {r.pivots for r in rows} == {64} or {r.pivots for r in rows} == {128}
+    assert all(r.low - 1e-9 <= exact[r.id] <= r.high + 1e-9 and r.high - r.low <= 0.8 + 1e-9 for r in rows)
+    whole = centrality.betweenness_by_pivots(g, error=0.0).collect()
+    assert {r.pivots for r in whole} == {404}
+    assert all(r.low == r.high == r.score == pytest.approx(exact[r.id]) for r in whole)

@@ -157,3 +157,47 @@ def test_apply_moves(spark):
     known = spark.createDataFrame([(1, "a")], "k bigint, v string")
     new = spark.createDataFrame([(1, "b"), (2, "c")], "k bigint, v string")
     assert sorted(tuple(r) for r in actions.record(known, new, "k").collect()) == [(1, "a"), (2, "c")]
+
+
+def test_requests_that_follow_each_other(spark):
+    """A batch in time order equals one request at a time."""
+    import datetime as dt
+    import random
+    rng = random.Random(6)
+    day = lambda n: dt.date(2000, 1, 1) + dt.timedelta(days=n)
+    tenures = [(e, m, day(rng.randrange(40)), None if rng.random() < 0.6 else day(60)) for e in range(25) for m in rng.sample(range(6), 3)]
+    requests = [(rng.randrange(26), rng.randrange(6), rng.randrange(6), day(rng.randrange(20, 90))) for _ in range(160)] * 2
+    held = {(e, m): s for e, m, s, end in tenures if end is None}
+    rows, moved, want = {(e, m, s): end for e, m, s, end in tenures}, set(), []
+    for e, a, b, d in sorted(set(requests), key=lambda r: (r[0], r[3], r[1], r[2])):
+        if a == b:
+            status = "SAME_SUPPLIER"
+        elif (e, a) not in held or held[e, a] > d:
+            status = "SUPERSEDED" if (e, a) in moved else "NO_OPEN_TENURE"
+        else:
+            status = "APPLIED"
+            rows[e, a, held.pop((e, a))] = d
+            moved.add((e, a))
+            if (e, b) not in held:
+                held[e, b] = d
+                rows[e, b, d] = None
+        want.append((e, a, b, d, status))
+    frame = spark.createDataFrame(tenures, "part_key bigint, supp_key bigint, start_date date, end_date date")
+    asked = spark.createDataFrame(requests, "part_key bigint, from_key bigint, to_key bigint, move_date date").repartition(3)
+    decided, after = actions.replay_moves(frame, asked, "part_key", "supp_key")
+    assert sorted(map(tuple, decided.collect())) == sorted(want) and {w[4] for w in want} >= {"APPLIED", "SUPERSEDED"}
+    got = [tuple(r) for r in after.collect()]
+    assert len({g[:3] for g in got}) <= len(got) and {g[:3]: g[3] for g in got} == rows
+    none, same = actions.replay_moves(frame, asked.limit(0), "part_key", "supp_key")
+    assert none.count() == 0 and sorted(map(repr, same.collect())) == sorted(map(repr, frame.collect()))
+
+
+def test_requests_given_twice(spark):
+    import datetime as dt
+    tenures = spark.createDataFrame([(1, 1, dt.date(2000, 1, 1), None)], "part_key bigint, supp_key bigint, start_date date, end_date date")
+    asked = spark.createDataFrame([(1, 2, dt.date(2000, 3, 1)), (1, 2, dt.date(2000, 2, 1)), (1, 2, dt.date(2000, 2, 1)),
+                                   (1, 1, dt.date(2000, 2, 1))], "part_key bigint, supp_key bigint, start_date date")
+    assert sorted((r.supp_key, r.start_date.month) for r in actions.engage(tenures, asked, "part_key", "supp_key").collect()) == [(1, 1), (2, 2)]
+    known = spark.createDataFrame([(1, "a")], "k bigint, v string")
+    new = spark.createDataFrame([(2, "y"), (2, "x"), (2, "x"), (1, "b")], "k bigint, v string")
+    assert sorted(map(tuple, actions.record(known, new, "k").collect())) == [(1, "a"), (2, "x")]
