@@ -38,7 +38,7 @@ class CoverTree:
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF, rows: np.ndarray | None = None):
         """``rows`` tell apart points that share an id; by default ids do."""
-        self.ids, self.points, self.rows = ids, points, ids if rows is None else rows
+        self.ids, self.rows = ids, ids if rows is None else rows
         real = points.astype(np.float64)
         centers, radii, children, spans, order = [], [], [], [], []
         pending = []
@@ -69,11 +69,25 @@ class CoverTree:
             children.append((len(pending), len(pending) + len(chosen)))
             spans.append((0, 0))
             pending += [(members[owner == k], c) for k, c in enumerate(chosen)]
+        self.points, self.centers = compact(points), np.array(centers, np.int64)
         self.center = real[centers] if centers else real[:0]
         self.radius, self.children, self.spans = np.array(radii), np.array(children), np.array(spans)
         self.norm = np.sqrt((self.center ** 2).sum(axis=1))
         self.order = np.array(order, np.int64)
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "center"}  # points already
+
+    def __setstate__(self, state):
+        self.__dict__ = state
+        self.center = self.points[self.centers].astype(np.float64)
+
+
+def compact(points: np.ndarray) -> np.ndarray:
+    """Integers in the narrowest type that holds them, for trees that travel."""
+    low, high = int(points.min(initial=0)), int(points.max(initial=0))
+    return points.astype(next(k for k in (np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max))
+
 
 def bound(center, norm, radius, centers, norms, radii):
     """Largest inner product of a point of the first ball with one of each other ball, with room for rounding."""
@@ -92,7 +106,7 @@ class Search:
 
     def meet(self, data: CoverTree) -> None:
         if len(data.ids) and len(self.q.ids):
-            most = float(np.abs(self.q.points).max(initial=0)) * float(np.abs(data.points).max(initial=0)) * self.q.points.shape[1]
+            most = float(np.abs(self.q.points.astype(np.float64)).max(initial=0)) * float(np.abs(data.points.astype(np.float64)).max(initial=0)) * self.q.points.shape[1]
             kind = np.float64 if most < 2.0 ** 53 else object
             self.exact, self.data = (self.q.points.astype(kind), data.points.astype(kind)), data
             self._visit(0, np.zeros(1, np.int64))
