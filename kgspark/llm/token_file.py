@@ -2,8 +2,8 @@
 
 Documents are dealt to parts by ranges of their id and sorted within each part, so that the parts in
 order hold the corpus in ascending id order. A part is an Arrow IPC file whose record batches have
-two fixed-size-list columns: ``ids`` (uint16 for vocabularies that fit, else uint32) and ``mask`` (uint8, 0 on the padding of a
-part's last sequence, else 1). Sequence i of a batch lies at i * length of the values buffer, so a memory
+two fixed-size-list columns: ``ids`` (uint16 for vocabularies that fit, else uint32) and ``mask`` (one bit each, false on the padding of a
+part's last sequence). Sequence i of a batch lies at i * length of the values buffer, so a memory
 map gives it without a copy. The end id may also occur inside a text; a second file per part holds
 each document's id, start within the part and length.
 
@@ -95,7 +95,7 @@ def library_encoder(config: str) -> LibraryEncoder:
 
 
 def file_schema(length: int, kind) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 DOCS_SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -118,7 +118,7 @@ class SequenceWriter:
             run = np.concatenate(self.held)
             whole = len(run) // (self.length * BATCH) * self.length * BATCH
             for at in range(0, whole, self.length * BATCH):
-                self._batch(run[at:at + self.length * BATCH], np.ones(self.length * BATCH, np.uint8))
+                self._batch(run[at:at + self.length * BATCH], np.ones(self.length * BATCH, bool))
             self.held, self.size = [run[whole:]], len(run) - whole
 
     def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
@@ -129,7 +129,7 @@ class SequenceWriter:
         if self.size:
             run = np.concatenate(self.held)
             pad = -len(run) % self.length
-            self._batch(np.concatenate((run, np.zeros(pad, self.kind))), (np.arange(len(run) + pad) < len(run)).view(np.uint8))
+            self._batch(np.concatenate((run, np.zeros(pad, self.kind))), np.arange(len(run) + pad) < len(run))
         self.file.close()
 
 
@@ -202,10 +202,10 @@ class TokenFile:
         self.length = self.reader.schema.field("ids").type.list_size
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence i, both views of the file."""
+        """(ids, mask) of sequence i; the ids are a view of the file, the mask's bits are unpacked."""
         batch, row = self.reader.get_batch(i // BATCH), i % BATCH
         ids, mask = (batch.column(k).values.slice((batch.column(k).offset + row) * self.length, self.length) for k in (0, 1))
-        return ids.to_numpy(), mask.to_numpy()
+        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
     def runs(self, start: int, n: int):
         """Views that hold ids start to start + n, batch by batch."""
