@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from kgspark.functions.ids import raw_key, type_of
+from kgspark.functions.ids import raw_key
 from kgspark.functions.intervals import active_as_of
 from kgspark.functions.props import bounded_list, prop
-from kgspark.operators.ontology import class_of_type, descendants
+from kgspark.session import cut_lineage
 
 # fixed values: the texts of the violation log
 MULTIPLE_EDGES = "Multiple edges from same source: "
@@ -79,34 +80,78 @@ def check_referential(edges: DataFrame, nodes: DataFrame, check_name: str,
         F.when(is_src, NO_SOURCE).otherwise(NO_DESTINATION).alias("details"))
 
 
-def domain_range_profile(edges: DataFrame, relations: Sequence, classes: Sequence) -> DataFrame:
-    """Edges per relation and endpoint classes, and whether they fit domain and range."""
-    counts = edges.groupBy(
-        "edge_type", class_of_type(classes, type_of("src_id")).alias("src_class"),
-        class_of_type(classes, type_of("dst_id")).alias("dst_class")).agg(F.count("*").alias("edges"))
-    fits = F.lit(False)
-    for r in relations:
-        fits = fits | ((F.col("edge_type") == r.rel_name)
-                       & F.col("src_class").isin(list(descendants(classes, r.domain_class)))
-                       & F.col("dst_class").isin(list(descendants(classes, r.range_class))))
-    return counts.withColumn("conforms", F.coalesce(fits, F.lit(False)))
+def class_intervals(tree: DataFrame, max_depth: int = 100) -> DataFrame:
+    """(class_name, low, high) of rows (class_name, parent_class_name): a class is at or below another if its
+    ``low`` lies in the other's interval. Labels are places in the order of paths from the root, and a class's
+    interval ends with the last of those below it. A class on a circle or below an unknown parent raises."""
+    paths = cut_lineage(tree.where("parent_class_name IS NULL").select("class_name", F.array("class_name").alias("path")))
+    levels = [paths]
+    for _ in range(max_depth):
+        up = levels[-1].select(F.col("class_name").alias("parent_class_name"), "path")
+        level = cut_lineage(tree.join(up, "parent_class_name").select("class_name", F.concat("path", F.array("class_name")).alias("path")))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    paths = cut_lineage(reduce(DataFrame.unionByName, levels))
+    if paths.count() != tree.count():
+        raise ValueError("every class needs one way to a root")
+    below = paths.select(F.explode("path").alias("class_name")).groupBy("class_name").agg(F.count("*").alias("size"))
+    # one row per class: a catalog, not the data
+    low = F.row_number().over(Window.orderBy("path")).cast("bigint")
+    return paths.withColumn("low", low).join(below, "class_name").select(
+        "class_name", "low", (F.col("low") + F.col("size") - 1).alias("high"))
+
+
+def edge_classes(edges: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges with the classes of their end nodes, as the nodes have them: null for an unknown node, ``?`` for
+    a node whose type has no class.
+
+    ``nodes``: node_id, node_type; ``classes``: node_type, class_name.
+    """
+    known = nodes.join(F.broadcast(classes), "node_type", "left").select("node_id", F.coalesce("class_name", F.lit("?")).alias("class_name"))  # a catalog
+    for side in ("src", "dst"):
+        edges = edges.join(known.select(F.col("node_id").alias(f"{side}_id"), F.col("class_name").alias(f"{side}_class")), f"{side}_id", "left")
+    return edges
+
+
+def _conforming(counted: DataFrame, relations: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Rows (edge_type, src_class, dst_class, ..) with conforms: both classes lie in the relation's intervals."""
+    def labels(side, name):
+        return F.broadcast(intervals.select(F.col("class_name").alias(name), F.col("low").alias(f"{side}_low"), F.col("high").alias(f"{side}_high")))
+
+    declared = (relations.join(labels("domain", "domain_class"), "domain_class").join(labels("range", "range_class"), "range_class")
+                .select(F.col("rel_name").alias("edge_type"), "domain_low", "domain_high", "range_low", "range_high"))
+    rows = (counted.join(labels("s", "src_class"), "src_class", "left").join(labels("d", "dst_class"), "dst_class", "left")
+            .join(F.broadcast(declared), "edge_type", "left"))
+    fits = F.col("s_low").between(F.col("domain_low"), F.col("domain_high")) & F.col("d_low").between(F.col("range_low"), F.col("range_high"))
+    return rows.withColumn("conforms", F.coalesce(fits, F.lit(False))).select(*counted.columns, "conforms")
 
 
-def check_domain_range(edges: DataFrame, relations: Sequence, classes: Sequence,
+def domain_range_profile(edges: DataFrame, nodes: DataFrame, classes: DataFrame, relations: DataFrame, intervals: DataFrame) -> DataFrame:
+    """Edges per relation and classes of their end nodes, and whether they fit domain and range."""
+    counted = edge_classes(edges.select("edge_type", "src_id", "dst_id"), nodes, classes).groupBy(
+        "edge_type", "src_class", "dst_class").agg(F.count("*").alias("edges"))
+    return _conforming(counted, relations, intervals)
+
+
+def check_domain_range(edges: DataFrame, nodes: DataFrame, classes: DataFrame, relations: DataFrame, intervals: DataFrame,
                        check_name: str) -> DataFrame:
-    """Edges whose endpoints fall outside the declared classes; a narrow, shuffle-free pass."""
-    fits = F.lit(False)
-    for r in relations:
-        types = [[c.node_type for c in classes if not c.is_abstract and c.class_name in
-                  descendants(classes, name)] for name in (r.domain_class, r.range_class)]
-        fits = fits | ((F.col("edge_type") == r.rel_name) & type_of("src_id").isin(types[0])
-                       & type_of("dst_id").isin(types[1]))
-    return edges.where(~fits).select(
+    """Edges whose end nodes fall outside the declared classes; unknown nodes are left to the referential check."""
+    found = _conforming(edge_classes(edges.select("edge_type", "src_id", "dst_id"), nodes, classes), relations, intervals)
+    return found.where(~F.col("conforms") & F.col("src_class").isNotNull() & F.col("dst_class").isNotNull()).select(
         F.lit(check_name).alias("check_name"), F.lit("RELATION").alias("scope"),
         F.col("edge_type").alias("rel_or_class"), "src_id", "dst_id",
         F.lit("Endpoint class outside domain or range").alias("details"))
 
 
+def unique_id_violations(nodes: DataFrame, check_name: str) -> DataFrame:
+    """One row per id that several nodes carry."""
+    return check_unique_ids(nodes).select(
+        F.lit(check_name).alias("check_name"), F.lit("CLASS").alias("scope"), F.col("node_types").alias("rel_or_class"),
+        F.col("id").alias("src_id"), F.lit(None).cast("string").alias("dst_id"),
+        F.concat(F.lit("Id carried by "), F.col("nodes").cast("string"), F.lit(" nodes")).alias("details"))
+
+
 def _property_rows(nodes: DataFrame, properties: Sequence) -> DataFrame:
     """One row per node and declared property: raw text and typed text of the value."""
     types = {}

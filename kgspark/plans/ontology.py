@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
 from kgspark.functions.ids import typed_id
@@ -271,13 +269,13 @@ def rel_resolved(t: Tables) -> DataFrame:
     SELECT rule_id, inference_kind AS rule_kind, rel_name AS target_rel, 'OK' AS status,
            COUNT(*) AS inferred FROM i GROUP BY rule_id, inference_kind, rel_name""", "edges",
                             extra={"i": ALL_INFERRED_SQL}))
-def run_inference(t: Tables) -> DataFrame:
-    """Edges are written once, then each rule's edges to its own folder, counted as they are written."""
+def run_inference(t: Tables, folder: str | None = None) -> DataFrame:
+    """Edges are written once, then each rule's edges are published to the inferred table, whose earlier rows of the
+    rule they replace, and counted as they are written."""
     edges = cut_lineage(b.kg_edges(t).select(
         "src_id", "dst_id", "edge_type", "weight", "effective_start", "effective_end"))
-    folder = f"{checkpoint_dir(t.spark).rstrip('/')}/inferred-{uuid.uuid4().hex}"
-    return inf.run_inference(edges, md.RULES, md.RELATION_MAP,
-                             lambda rows, rule: sinks.refresh_rule(rows, folder, rule.rule_id))
+    folder = folder or f"{checkpoint_dir(t.spark).rstrip('/')}/kgspark-inferred"
+    return inf.run_inference(edges, md.RULES, md.RELATION_MAP, lambda rows, rule: sinks.publish(rows, folder, rule.rule_id))
 
 
 @query("inferred_summary", sql("""
@@ -346,11 +344,37 @@ def check_referential(t: Tables) -> DataFrame:
     return q.check_referential(b.kg_edges(t), nodes_known(t), "REFERENTIAL")
 
 
-@query("check_domain_range", sql(f"""
-    SELECT edge_type, {SRC_CLASS} AS src_class, {DST_CLASS} AS dst_class, COUNT(*) AS edges,
-           TRUE AS conforms FROM edges GROUP BY ALL""", "edges"))
+def class_catalog_frames(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(types and classes, relations with domain and range, class intervals) from the catalog."""
+    tree = t.spark.createDataFrame([(c.class_name, c.parent_class_name, c.node_type) for c in md.CLASSES],
+                                   "class_name string, parent_class_name string, node_type string")
+    relations = t.spark.createDataFrame([(r.rel_name, r.domain_class, r.range_class) for r in md.RELATIONS],
+                                        "rel_name string, domain_class string, range_class string")
+    return tree.where("node_type IS NOT NULL").select("node_type", "class_name"), relations, q.class_intervals(tree)
+
+
+TYPE_CASES = " ".join(f"WHEN '{c.node_type}' THEN '{c.class_name}'" for c in md.CLASSES if c.node_type)
+
+
+def _below_sql() -> str:
+    """(rel_name, src_class, dst_class): what each relation's domain and range allow, from the parent list."""
+    classes = ", ".join(f"('{c.class_name}', {repr(c.parent_class_name) if c.parent_class_name else 'NULL'})" for c in md.CLASSES)
+    relations = ", ".join(f"('{r.rel_name}', '{r.domain_class}', '{r.range_class}')" for r in md.RELATIONS)
+    return f"""tree(c, p) AS (VALUES {classes}), declared(rel_name, domain_class, range_class) AS (VALUES {relations}),
+        below(anc, c) AS (SELECT c, c FROM tree UNION SELECT below.anc, tree.c FROM below JOIN tree ON tree.p = below.c),
+        allowed AS (SELECT rel_name, s.c AS src_class, d.c AS dst_class FROM declared
+                    JOIN below s ON s.anc = domain_class JOIN below d ON d.anc = range_class)"""
+
+
+@query("check_domain_range", sql("", "edges", "node_keys").replace("WITH", "WITH RECURSIVE", 1) + f""", {_below_sql()},
+    typed AS (SELECT edge_type, CASE s.node_type {TYPE_CASES} END AS src_class, CASE d.node_type {TYPE_CASES} END AS dst_class
+              FROM edges LEFT JOIN node_keys s ON s.node_id = src_id LEFT JOIN node_keys d ON d.node_id = dst_id)
+    SELECT edge_type, typed.src_class, typed.dst_class, COUNT(*) AS edges, BOOL_OR(a.rel_name IS NOT NULL) AS conforms
+    FROM typed LEFT JOIN allowed a ON a.rel_name = edge_type AND a.src_class = typed.src_class AND a.dst_class = typed.dst_class
+    GROUP BY edge_type, typed.src_class, typed.dst_class""")
 def check_domain_range(t: Tables) -> DataFrame:
-    return q.domain_range_profile(b.kg_edges(t), md.RELATIONS, md.CLASSES)
+    """Every edge's end nodes are looked up for their class; nothing is read off an id."""
+    return q.domain_range_profile(b.kg_edges(t), b.node_keys(t), *class_catalog_frames(t))
 
 
 REQUIRED_SQL = """
@@ -379,7 +403,24 @@ VIOLATIONS_SQL = f"({CARDINALITY_SQL}) UNION ALL ({REFERENTIAL_SQL}) UNION ALL (
 
 
 def violations(t: Tables) -> DataFrame:
-    return ont.union_all([check_cardinality_all(t), check_referential(t), check_required_props(t)])
+    """All five checks over edges that are derived and written once."""
+    edges = cut_lineage(b.kg_edges(t).select("edge_type", "src_id", "dst_id", "effective_start", "effective_end"))
+    keys = b.node_keys(t)
+    return ont.union_all([
+        q.check_cardinality_all(edges, md.RELATIONS, "CARDINALITY", b.AS_OF), q.check_referential(edges, nodes_known(t), "REFERENTIAL"),
+        q.check_domain_range(edges, keys, *class_catalog_frames(t), "DOMAIN_RANGE"), check_required_props(t),
+        q.unique_id_violations(keys, "UNIQUE_ID")])
+
+
+@query("violations_saved", sql("SELECT check_name, COUNT(*) AS violations FROM v GROUP BY check_name", "edges", "order_dim",
+                               extra={"v": VIOLATIONS_SQL}))
+def violations_saved(t: Tables, folder: str | None = None) -> DataFrame:
+    """The violations of every check, published as one part of the violation log each and counted from the log."""
+    folder = folder or f"{checkpoint_dir(t.spark).rstrip('/')}/kgspark-violations"
+    rows = cut_lineage(violations(t))
+    for check in ("CARDINALITY", "REFERENTIAL", "DOMAIN_RANGE", "REQUIRED", "UNIQUE_ID"):
+        sinks.publish(rows.where(F.col("check_name") == check), folder, check)
+    return sinks.published(t.spark, folder, rows.schema).groupBy("check_name").agg(F.count("*").alias("violations"))
 
 
 @query("violation_summary", sql("""

@@ -130,11 +130,49 @@ def test_referential_one_row_per_edge(spark, edges, nodes, splits):
         ("SUPPLIED_BY", "", "SUPPLIER:9", "Destination node not found")] * 4
 
 
-def test_domain_range(edges):
-    bad = q.check_domain_range(edges, md.RELATIONS, md.CLASSES, "D").collect()
+def catalog(spark):
+    tree = spark.createDataFrame([(c.class_name, c.parent_class_name, c.node_type) for c in md.CLASSES],
+                                 "class_name string, parent_class_name string, node_type string")
+    relations = spark.createDataFrame([(r.rel_name, r.domain_class, r.range_class) for r in md.RELATIONS],
+                                      "rel_name string, domain_class string, range_class string")
+    return tree.where("node_type IS NOT NULL").select("node_type", "class_name"), relations, q.class_intervals(tree)
+
+
+def test_domain_range(spark, edges, nodes):
+    bad = q.check_domain_range(edges, nodes, *catalog(spark), "D").collect()
     assert [(r.src_id, r.dst_id) for r in bad] == [("PART:1", "SUPPLIER:1")]
-    profile = q.domain_range_profile(edges, md.RELATIONS, md.CLASSES)
-    assert {(r.src_class, r.dst_class) for r in profile.where("NOT conforms").collect()} == {("Part", "Supplier")}
+    profile = q.domain_range_profile(edges, nodes, *catalog(spark)).where("NOT conforms AND src_class IS NOT NULL AND dst_class IS NOT NULL")
+    assert {(r.src_class, r.dst_class) for r in profile.collect()} == {("Part", "Supplier")}
+    # ids say nothing: a node called PART:77 that is an order, and one of a type without a class
+    more = nodes.select("node_id", "node_type").unionByName(spark.createDataFrame(
+        [("PART:77", "ORDER"), ("PART:78", "GHOST")], "node_id string, node_type string"))
+    planted = edges.unionByName(spark.createDataFrame(
+        [("SUPPLIED_BY", k, "SUPPLIER:1", 1.0, D(2000, 1, 1), None) for k in ("PART:77", "PART:78")],
+        "edge_type string, src_id string, dst_id string, weight double, effective_start date, effective_end date").select(edges.columns))
+    found = q.check_domain_range(planted, more, *catalog(spark), "D").collect()
+    assert sorted(r.src_id for r in found) == ["PART:1", "PART:77", "PART:78"] and {r.check_name for r in found} == {"D"}
+
+
+def test_class_intervals(spark):
+    import random
+    rng = random.Random(2)
+    parent = {f"c{i}": (f"c{rng.randrange(i)}" if i and rng.random() < 0.95 else None) for i in range(40)}
+    tree = spark.createDataFrame(list(parent.items()), "class_name string, parent_class_name string")
+    label = {r.class_name: (r.low, r.high) for r in q.class_intervals(tree).collect()}
+
+    def above(c):
+        return {c} | (above(parent[c]) if parent[c] else set())
+
+    for a in parent:
+        for c in parent:
+            assert (label[a][0] <= label[c][0] <= label[a][1]) == (a in above(c))
+    with pytest.raises(ValueError):
+        q.class_intervals(spark.createDataFrame([("a", "b"), ("b", "a"), ("r", None)], "class_name string, parent_class_name string"))
+
+
+def test_ids_carried_twice(spark, nodes):
+    twice = nodes.unionByName(nodes.limit(1))
+    assert q.unique_id_violations(twice, "U").count() == 1 and q.unique_id_violations(nodes, "U").count() == 0
 
 
 def test_required_props(spark):

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F, types as T
 
 from kgspark.functions import intervals
@@ -134,3 +135,24 @@ def test_typed_tables_round_trip(spark, tmp_path):
     back = sinks.read_table(spark, path)
     assert sorted(r.node_id for r in back.select("node_id").collect()) == ["A:1", "B:1"]
     assert back.where("node_type = 'A'").select(prop("n", "string").alias("n")).first().n == "x"
+
+
+def test_publishing_replaces_one_part(spark, tmp_path):
+    folder, schema = str(tmp_path / "inferred"), "rule_id string, src_id string"
+    rows = spark.createDataFrame([("r1", "a"), ("r1", "b"), ("r2", "c")], schema)
+
+    def now():
+        return sorted(r.src_id for r in sinks.published(spark, folder, schema).collect())
+
+    assert now() == []
+    for _ in range(2):  # two runs into one folder give one set of rows
+        for rule in ("r1", "r2"):
+            sinks.publish(rows.where(F.col("rule_id") == rule), folder, rule)
+        assert now() == ["a", "b", "c"]
+    # a run that fails half way leaves the old rows readable
+    broken = rows.where("rule_id = 'r1'").withColumn("src_id", F.expr("if(src_id = 'b', raise_error('lost'), src_id)"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish(broken, folder, "r1")
+    assert now() == ["a", "b", "c"]
+    sinks.publish(rows.where("rule_id = 'none'"), folder, "r1")  # nothing inferred any more
+    assert now() == ["c"] and sinks.manifest(spark, folder).where("part = 'r1'").count() == 3
