@@ -61,6 +61,15 @@ def origin_in_nation(t: Tables, origins=HOME_ORIGINS, nation: str = HOME_NATION)
         "nation")
 
 
+@query("parties_named_like", sql(f"""
+    SELECT DISTINCT role, party_id, party_name, supplier_name, nation FROM pe
+    WHERE party_name LIKE '%1%' AND nation LIKE 'NATION_1%' AND {active()}""", "pe"))
+def parties_named_like(t: Tables, name: str = "%1%", nation: str = "NATION_1%") -> DataFrame:
+    """Parties whose name is like one pattern, engaged in nations whose name is like another."""
+    return current(t).where(F.col("party_name").like(name) & F.col("nation").like(nation)).select(
+        "role", b.party_id().alias("party_id"), "party_name", "supplier_name", "nation").distinct()
+
+
 @query("engaged_abroad", sql(f"""
     SELECT DISTINCT role, party_id, party_name, home_region, supplier_name, region AS working_region,
            nation, via_rel FROM pe WHERE home_region <> region AND {active()}""", "pe"))

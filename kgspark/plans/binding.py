@@ -15,6 +15,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from kgspark.functions.ids import typed_id
+from kgspark.session import cut_lineage
 from kgspark.sources.ingest import LinkSource, ObjectSource, ingest_links, ingest_objects
 from kgspark.sources.tables import Tables
 
@@ -234,6 +235,14 @@ def kg_edges(t: Tables) -> DataFrame:
     return ingest_links(link_frames(t), LINK_SOURCES)
 
 
+def written_edges(t: Tables) -> DataFrame:
+    """The edges without their property bags, derived and written once for everything that reads them several
+    times. Each file holds edges of one source, so that a filter on edge_type skips the others."""
+    if "edges" not in t.written:
+        t.written["edges"] = cut_lineage(kg_edges(t).select("src_id", "dst_id", "edge_type", "weight", "effective_start", "effective_end"))
+    return t.written["edges"]
+
+
 def node_keys(t: Tables) -> DataFrame:
     """(node_id, node_type) only: no joins, no property bags."""
     sources = {"PART": (t.part, "p_partkey"), "CUSTOMER": (t.customer, "c_custkey"),

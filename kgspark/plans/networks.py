@@ -268,7 +268,13 @@ def supplier_network_depth(t: Tables, start: int = START_SUPPLIER,
         part_id("via").alias("via_part"), supplier_id("parent").alias("parent_id"))
 
 
-def supplier_network_paths(t: Tables, start: int, max_degrees: int = MAX_SUPPLIER_DEGREES) -> DataFrame:
+@query("supplier_network_paths", sql("""SELECT 'SUPPLIER:' || node AS supplier_id, degree, path FROM p1
+    UNION ALL SELECT 'SUPPLIER:' || node, degree, path FROM p2 UNION ALL SELECT 'SUPPLIER:' || node, degree, path FROM p3""", extra={
+        **level_ctes(CO_PART_ADJ, "SELECT CAST(1 AS BIGINT) AS source", 3),
+        "p0": "SELECT CAST(1 AS BIGINT) AS node, 0 AS degree, 'SUPPLIER:1' AS path",
+        **{f"p{d}": f"""SELECT l.node, {d} AS degree, p.path || ' → (PART:' || adj.via || ') → SUPPLIER:' || l.node AS path
+            FROM l{d} l JOIN p{d - 1} p ON p.node = l.parent JOIN adj ON adj.a = l.parent AND adj.b = l.node""" for d in (1, 2, 3)}}))
+def supplier_network_paths(t: Tables, start: int = START_SUPPLIER, max_degrees: int = MAX_SUPPLIER_DEGREES) -> DataFrame:
     """As above with the whole connection path, linking part in brackets."""
     graph = Graph(t.supplier.select(F.col("s_suppkey").alias("id")),
                   members=memberships(t.lineitem, "l_suppkey", "l_partkey", "part"))

@@ -260,7 +260,7 @@ ALL_INFERRED_SQL = f"""({INVERSE_ROWS_SQL}) UNION ALL ({ABSTRACT_INVERSE_SQL})
            inference_kind FROM i""", "edges", extra={"i": ALL_INFERRED_SQL}))
 def rel_resolved(t: Tables) -> DataFrame:
     """Explicit edges and the edges of every enabled rule in one schema."""
-    edges = b.kg_edges(t)
+    edges = b.written_edges(t)
     inferred = inf.infer_all(edges, md.RULES, md.RELATION_MAP)
     return ont.with_inferred(ont.resolved_relations(edges, md.CLASSES), inferred, md.CLASSES)
 
@@ -272,8 +272,7 @@ def rel_resolved(t: Tables) -> DataFrame:
 def run_inference(t: Tables, folder: str | None = None) -> DataFrame:
     """Edges are written once, then each rule's edges are published to the inferred table, whose earlier rows of the
     rule they replace, and counted as they are written."""
-    edges = cut_lineage(b.kg_edges(t).select(
-        "src_id", "dst_id", "edge_type", "weight", "effective_start", "effective_end"))
+    edges = b.written_edges(t)
     folder = folder or f"{checkpoint_dir(t.spark).rstrip('/')}/kgspark-inferred"
     return inf.run_inference(edges, md.RULES, md.RELATION_MAP, lambda rows, rule: sinks.publish(rows, folder, rule.rule_id))
 
@@ -291,7 +290,7 @@ def inferred_summary(t: Tables) -> DataFrame:
     """Live counts per enabled rule, with the rule catalog's description."""
     described = t.spark.createDataFrame([(r.rule_id, r.description) for r in md.RULES],
                                         "rule_id string, rule_description string")
-    inferred = inf.infer_all(b.kg_edges(t), md.RULES, md.RELATION_MAP)
+    inferred = inf.infer_all(b.written_edges(t), md.RULES, md.RELATION_MAP)
     return inf.summarise(inferred).join(described, "rule_id", "left")
 
 
@@ -404,8 +403,7 @@ VIOLATIONS_SQL = f"({CARDINALITY_SQL}) UNION ALL ({REFERENTIAL_SQL}) UNION ALL (
 
 def violations(t: Tables) -> DataFrame:
     """All five checks over edges that are derived and written once."""
-    edges = cut_lineage(b.kg_edges(t).select("edge_type", "src_id", "dst_id", "effective_start", "effective_end"))
-    keys = b.node_keys(t)
+    edges, keys = b.written_edges(t), b.node_keys(t)
     return ont.union_all([
         q.check_cardinality_all(edges, md.RELATIONS, "CARDINALITY", b.AS_OF), q.check_referential(edges, nodes_known(t), "REFERENTIAL"),
         q.check_domain_range(edges, keys, *class_catalog_frames(t), "DOMAIN_RANGE"), check_required_props(t),
@@ -540,7 +538,7 @@ def governance_model(t: Tables) -> SemanticModel:
                 "property": properties, "rule": rules, "permission": permissions, "action": actions,
                 "function": functions, "violation": violations(t), "live_node": b.node_keys(t).withColumn(
                 "class_name", ont.class_of_type(md.CLASSES, F.col("node_type"))),
-                "live_edge": b.kg_edges(t).select("edge_type")},
+                "live_edge": b.written_edges(t).select("edge_type")},
         keys={"class": ["class_name"], "relation": ["rel_name"], "rule": ["rule_id"]},
         joins=[Join("class_parent", "property", "class", "class_name", "class_name"),
                Join("node_class", "live_node", "class", "class_name", "class_name"),
@@ -656,6 +654,44 @@ def semantic_filter_demo(t: Tables) -> DataFrame:
         _filter_counts(abstract, list(abstract.filters)))
 
 
+@query("semantic_filter_governance", sql(f"""
+    SELECT 'active_only' AS filter_name, 'class' AS logical_table, COUNT(*) AS rows_in, COUNT(*) FILTER (status = 'ACTIVE') AS rows_kept FROM class
+    UNION ALL SELECT 'trade_ontology', 'class', COUNT(*), COUNT(*) FILTER (ontology = '{md.ONTOLOGY}') FROM class
+    UNION ALL SELECT 'abstract_classes', 'class', COUNT(*), COUNT(*) FILTER (is_abstract) FROM class
+    UNION ALL SELECT 'concrete_classes', 'class', COUNT(*), COUNT(*) FILTER (NOT is_abstract) FROM class
+    UNION ALL SELECT 'enabled_rules', 'rule', COUNT(*), COUNT(*) FILTER (is_enabled) FROM rule
+    UNION ALL SELECT 'required_properties', 'property', COUNT(*), COUNT(*) FILTER (is_required) FROM property
+    UNION ALL SELECT 'admin_permissions', 'permission', COUNT(*), COUNT(*) FILTER (privilege = 'ADMIN') FROM permission
+    UNION ALL SELECT 'read_permissions', 'permission', COUNT(*), COUNT(*) FILTER (privilege = 'READ') FROM permission
+    UNION ALL SELECT 'write_permissions', 'permission', COUNT(*), COUNT(*) FILTER (privilege = 'WRITE') FROM permission
+    UNION ALL SELECT 'enabled_actions', 'action', COUNT(*), COUNT(*) FILTER (is_enabled) FROM action
+    UNION ALL SELECT 'violated_relations', 'relation', COUNT(DISTINCT rel_name), COUNT(DISTINCT v.rel_or_class) FROM relation
+        LEFT JOIN v ON v.rel_or_class = rel_name""", "edges", "order_dim", extra={
+    "v": VIOLATIONS_SQL,
+    "class": "SELECT * FROM (VALUES " + ", ".join(f"('{c.class_name}', {c.is_abstract}, '{c.status}', '{md.ONTOLOGY}')" for c in md.CLASSES)
+             + ") c(class_name, is_abstract, status, ontology)",
+    "rule": "SELECT * FROM (VALUES " + ", ".join(f"('{r.rule_id}', {r.is_enabled})" for r in md.RULES) + ") r(rule_id, is_enabled)",
+    "relation": "SELECT * FROM (VALUES " + ", ".join(f"('{r.rel_name}')" for r in md.RELATIONS) + ") r(rel_name)",
+    "property": "SELECT * FROM (VALUES " + ", ".join(f"('{p.prop_name}', {p.is_required})" for p in md.PROPERTIES) + ") p(prop_name, is_required)",
+    "permission": "SELECT * FROM (VALUES " + ", ".join(f"('{p[0]}', '{p[3]}')" for p in md.PERMISSIONS) + ") p(role, privilege)",
+    "action": "SELECT * FROM (VALUES " + ", ".join(f"('{a[0]}', {a[3]})" for a in md.ACTIONS) + ") a(action_id, is_enabled)"}))
+def semantic_filter_governance(t: Tables) -> DataFrame:
+    """The ten governance filters over their catalogs, and the relations with violations in the live graph."""
+    model = governance_model(t)
+    hit = model.query(["violation_count"], ["relation.rel_name"]).where("rel_name IS NOT NULL")
+    seen = model.tables["relation"].agg(F.count("*").alias("rows_in")).join(hit.agg(F.count("*").alias("rows_kept")), how="cross")
+    return _filter_counts(model, list(model.filters)).unionByName(seen.select(
+        F.lit("violated_relations").alias("filter_name"), F.lit("relation").alias("logical_table"), "rows_in", "rows_kept"))
+
+
+@query("semantic_join_abstract", sql("""
+    SELECT role AS subtype, COUNT(DISTINCT party_key) AS party_count, COUNT(*) AS relationship_count
+    FROM engaged GROUP BY role""", "engaged"))
+def semantic_join_abstract(t: Tables) -> DataFrame:
+    """Two metrics of the engaged relation by the subtype of its party, over the declared join."""
+    return abstract_model(t).query(["party_count", "relationship_count"], ["party.subtype"])
+
+
 @query("semantic_join_demo", sql(f"""
     SELECT nation, CAST(SUM(value) AS DOUBLE) AS total_value, CAST(SUM(lines) AS BIGINT) AS total_lines
     FROM supplied_by e JOIN supplier_dim s ON s.supp_key = e.supp_key WHERE {active()} GROUP BY nation""",
