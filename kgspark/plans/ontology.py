@@ -294,6 +294,40 @@ def inferred_summary(t: Tables) -> DataFrame:
     return inf.summarise(inferred).join(described, "rule_id", "left")
 
 
+CHANGED_SQL = """SELECT edge_type, src_id, dst_id, CAST(1 AS DOUBLE) AS weight, effective_start, effective_end FROM edges
+    WHERE NOT (edge_type = 'SUPPLIED_BY' AND effective_end IS NOT NULL)
+    UNION ALL SELECT 'WITHIN', 'REGION:' || r_regionkey, 'WORLD:0', CAST(1 AS DOUBLE), CAST(NULL AS DATE), CAST(NULL AS DATE) FROM region"""
+
+
+@query("inference_updated", sql(f"""
+    SELECT rule_id, rel_name, src_id, dst_id, weight, effective_start, effective_end, COUNT(*) AS support FROM (
+        SELECT 'SUPPLIES' AS rel_name, dst_id AS src_id, src_id AS dst_id, 'INV_SUPPLIES' AS rule_id, weight, effective_start, effective_end
+            FROM now WHERE edge_type = 'SUPPLIED_BY'
+        UNION ALL SELECT 'SELLS_TO', dst_id, src_id, 'INV_SELLS_TO', weight, effective_start, effective_end FROM now WHERE edge_type = 'BUYS_FROM'
+        UNION ALL SELECT 'engages', dst_id, src_id, 'INV_ENGAGES', weight, effective_start, effective_end
+            FROM now WHERE edge_type IN ('SUPPLIED_BY', 'BUYS_FROM')
+        UNION ALL SELECT 'OFFERED_IN', x.src_id, y.dst_id, 'CHAIN_OFFERED_IN', x.weight * y.weight, x.effective_start, x.effective_end
+            FROM now x JOIN now y ON y.src_id = x.dst_id WHERE x.edge_type = 'SUPPLIED_BY' AND y.edge_type = 'WITHIN'
+        UNION ALL SELECT 'WITHIN', src_id, dst_id, 'TRA_WITHIN', 1.0 / MIN(depth), NULL, NULL FROM far WHERE depth > 1 GROUP BY src_id, dst_id)
+    GROUP BY rule_id, rel_name, src_id, dst_id, weight, effective_start, effective_end""", "edges", extra={
+        "now": CHANGED_SQL,
+        "w2": """SELECT x.src_id, y.dst_id FROM now x JOIN now y ON y.src_id = x.dst_id WHERE x.edge_type = 'WITHIN' AND y.edge_type = 'WITHIN'""",
+        "w3": "SELECT x.src_id, y.dst_id FROM w2 x JOIN now y ON y.src_id = x.dst_id WHERE y.edge_type = 'WITHIN'",
+        "w4": "SELECT x.src_id, y.dst_id FROM w3 x JOIN now y ON y.src_id = x.dst_id WHERE y.edge_type = 'WITHIN'",
+        "far": "SELECT *, 2 AS depth FROM w2 UNION ALL SELECT *, 3 FROM w3 UNION ALL SELECT *, 4 FROM w4"}))
+def inference_updated(t: Tables) -> DataFrame:
+    """Inferred edges after ended tenures went and a place around all regions came, worked out from the changes."""
+    edges = b.written_edges(t)
+    removed = edges.where("edge_type = 'SUPPLIED_BY' AND effective_end IS NOT NULL")
+    none = F.lit(None).cast("date")
+    added = t.region.select(
+        typed_id("REGION", "r_regionkey").alias("src_id"), F.lit("WORLD:0").alias("dst_id"), F.lit("WITHIN").alias("edge_type"),
+        F.lit(1.0).alias("weight"), none.alias("effective_start"), none.alias("effective_end"))
+    before = cut_lineage(inf.supported(edges, md.RULES, md.RELATION_MAP))
+    after = inf.update_supported(before, edges, added, removed, md.RULES, md.RELATION_MAP)
+    return after.select("rule_id", "rel_name", "src_id", "dst_id", "weight", "effective_start", "effective_end", "support")
+
+
 # --- data quality ----------------------------------------------------------------------------
 
 ACTIVE_EDGES = f"(effective_end IS NULL OR effective_end >= {AS_OF})"
