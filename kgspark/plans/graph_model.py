@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from kgspark.functions.ids import typed_id
 from kgspark.functions.intervals import active_as_of, in_year
@@ -13,7 +15,9 @@ from kgspark.operators import actions, views
 from kgspark.plans import binding as b, metadata as md
 from kgspark.plans.checks import AS_OF, active, sql
 from kgspark.plans.registry import query
-from kgspark.sources.ingest import edges_from_props
+from kgspark.session import checkpoint_dir
+from kgspark.sources import json_arrays
+from kgspark.sources.ingest import edges_from_props, tag_by_role
 from kgspark.sources.tables import Tables
 
 
@@ -452,3 +456,45 @@ def orders_after_recording(t: Tables) -> DataFrame:
     known = t.orders.select(F.col("o_orderkey").alias("order_key"), F.col("o_orderstatus").alias("status"))
     fresh = known.where("status = 'F'").select((-F.col("order_key") - 1).alias("order_key"), F.lit("R").alias("status"))
     return actions.record(known, known.withColumn("status", F.lit("X")).unionByName(fresh), "order_key")
+
+
+STAGED_PERSON = T.StructType([T.StructField("key", T.LongType()), T.StructField("name", T.StringType()), T.StructField("role", T.StringType()),
+                              T.StructField("motto", T.StringType()), T.StructField("balance", T.DoubleType())])
+STAGED_CLUB = T.StructType([T.StructField("key", T.LongType()), T.StructField("name", T.StringType()),
+                            T.StructField("place", T.StructType([T.StructField("nation", T.LongType())]))])
+
+
+def _stage(t: Tables) -> tuple[str, str]:
+    """Customers and suppliers as JSON arrays in the checkpoint folder, some of them broken or without a name."""
+    folder = f"{checkpoint_dir(t.spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    person = F.to_json(F.struct(F.col("c_custkey").alias("key"), F.when(F.col("c_nationkey") != 3, F.col("c_name")).alias("name"),
+                                F.col("c_mktsegment").alias("role"), F.concat(F.lit('"{'), "c_name", F.lit("}\\")).alias("motto"),
+                                F.col("c_acctbal").alias("balance")))
+    broken = F.when(F.col("c_acctbal") < 0, F.regexp_replace(person, '"role":', '"role"')).otherwise(person)
+    club = F.to_json(F.struct(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"),
+                              F.struct(F.col("s_nationkey").alias("nation")).alias("place")))
+    json_arrays.write_arrays(t.customer.select(broken.alias("record")), f"{folder}/persons")
+    json_arrays.write_arrays(t.supplier.select(club.alias("record")), f"{folder}/clubs")
+    return f"{folder}/persons", f"{folder}/clubs"
+
+
+@query("staged_load", """
+    SELECT 'person' AS source, UPPER(c_mktsegment) AS kind, 'LOADED' AS outcome, COUNT(*) AS records FROM customer
+    WHERE c_acctbal >= 0 AND c_nationkey <> 3 GROUP BY 2
+    UNION ALL SELECT 'person', NULL, 'MALFORMED', COUNT(*) FROM customer WHERE c_acctbal < 0 HAVING COUNT(*) > 0
+    UNION ALL SELECT 'person', NULL, 'MISSING name', COUNT(*) FROM customer WHERE c_acctbal >= 0 AND c_nationkey = 3 HAVING COUNT(*) > 0
+    UNION ALL SELECT 'club', 'CLUB', 'LOADED', COUNT(*) FROM supplier""")
+def staged_load(t: Tables) -> DataFrame:
+    """Staged JSON arrays of persons, tagged by role, and of clubs: how many records loaded and how many did not, and why."""
+    persons, clubs = _stage(t)
+    loaded, rejected = json_arrays.load_records(json_arrays.array_records(t.spark, persons), STAGED_PERSON, ("key", "name", "role"))
+    shape = {"name": F.col("name"), "motto": F.col("motto"), "balance": F.col("balance")}
+    # roles have property shapes of their own, so they are a modeller's list
+    roles = [r.role for r in t.customer.select(F.upper("c_mktsegment").alias("role")).distinct().collect()]
+    nodes = tag_by_role(loaded, F.col("role"), dict.fromkeys(roles, shape), F.col("key"), F.col("name"), F.lit(None).cast("string"))
+    good, bad = json_arrays.load_records(json_arrays.array_records(t.spark, clubs), STAGED_CLUB, ("key", "name", "place"))
+    rows = reduce(DataFrame.union, [
+        nodes.select(F.lit("person").alias("source"), F.col("node_type").alias("kind"), F.lit("LOADED").alias("outcome")),
+        rejected.select(F.lit("person"), F.lit(None).cast("string"), "reason"),
+        good.select(F.lit("club"), F.lit("CLUB"), F.lit("LOADED")), bad.select(F.lit("club"), F.lit(None).cast("string"), "reason")])
+    return rows.groupBy("source", "kind", "outcome").agg(F.count("*").alias("records"))

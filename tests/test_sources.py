@@ -156,3 +156,31 @@ def test_publishing_replaces_one_part(spark, tmp_path):
     assert now() == ["a", "b", "c"]
     sinks.publish(rows.where("rule_id = 'none'"), folder, "r1")  # nothing inferred any more
     assert now() == ["c"] and sinks.manifest(spark, folder).where("part = 'r1'").count() == 3
+
+
+def test_arrays_read_in_parts(spark, tmp_path):
+    """Arrays cut at every brace and at block borders, with nested objects, braces and escaped quotes in strings."""
+    from kgspark.sources import json_arrays
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("s", T.StringType()),
+                           T.StructField("n", T.StructType([T.StructField("x", T.LongType())])), T.StructField("l", T.ArrayType(T.LongType()))])
+    texts = ["plain", "} {", 'quote " } and \\', "é語 }}", "", "{\"k\": 1}", "],["]
+    rows = [{"k": i, "s": texts[i % len(texts)], "n": {"x": i * 2}, "l": [i, i + 1]} for i in range(700)]
+    folder = tmp_path / "arrays"
+    folder.mkdir()
+    (folder / "a.json").write_text(json.dumps(rows[:400], indent=1, ensure_ascii=False))
+    (folder / "b.json").write_text(json.dumps(rows[400:], separators=(",", ":")))
+    (folder / "c.json").write_text("[]\n")
+    (folder / "d.json").write_text("")
+    (folder / "e.json").write_text('[{"k": 1000, "s": "last"}, {"k": "no number", "s": "x"}, {"k": null, "s": "y"}, {"k" 3}, {"k": 4, "s": "cut')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        records = json_arrays.array_records(spark, str(folder))
+        loaded, rejected = json_arrays.load_records(records, schema, ("k",))
+        got = {r.k: r.asDict(True) for r in loaded.collect()}
+        bad = sorted((r.reason, r.record) for r in rejected.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got.pop(1000)["s"] == "last" and [got[i] for i in range(700)] == rows and len(got) == 700
+    assert [b[0] for b in bad] == ["MALFORMED", "MALFORMED", "MALFORMED", "MISSING k"] and bad[-1][1] == '{"k": null, "s": "y"}'
