@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -51,17 +52,15 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def text_slices(texts: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, UTF-8 texts) of at most ``limit`` bytes together, or of one longer text; null is empty."""
-    first, held, rows = 0, 0, []
-    for i, value in enumerate(texts.cast(pa.binary()).to_pylist()):
-        value = value or b""
-        if rows and held + len(value) > limit:
-            yield first, rows
-            first, held, rows = i, 0, []
-        rows.append(value)
-        held += len(value)
-    if rows:
-        yield first, rows
+    """(first row, UTF-8 texts) of at most ``limit`` bytes together, or of one longer text; null is empty.
+    Only the slice at hand is held as Python values."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    first, held = 0, 0
+    for i, size in enumerate([*sizes, limit + 1]):  # the last stands for the end
+        if i > first and held + size > limit:
+            yield first, [value or b"" for value in texts.slice(first, i - first).cast(pa.binary()).to_pylist()]
+            first, held = i, 0
+        held += size
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
