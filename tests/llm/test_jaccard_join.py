@@ -165,3 +165,11 @@ def test_one_row_of_copies_that_share_id_and_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, me string")
     want = [(1, "p q r", "a"), (3, "s t", "a"), (4, " ", "a"), (5, "", "a"), (None, "u v", "z")]
     assert sorted(map(repr, map(tuple, jj.keep_one_per_group(df).collect()))) == sorted(map(repr, want))
+
+
+def test_lists_of_any_length_go_to_their_hub_first(spark, monkeypatch):
+    """With every list counted as long and no hub rounds, all links still come out."""
+    monkeypatch.setattr(jj, "LONG", 1)
+    monkeypatch.setattr(jj, "HUB_ROUNDS", 0)
+    rows = corpus(5)
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
