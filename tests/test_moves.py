@@ -201,3 +201,18 @@ def test_requests_given_twice(spark):
     known = spark.createDataFrame([(1, "a")], "k bigint, v string")
     new = spark.createDataFrame([(2, "y"), (2, "x"), (2, "x"), (1, "b")], "k bigint, v string")
     assert sorted(map(tuple, actions.record(known, new, "k").collect())) == [(1, "a"), (2, "x")]
+
+
+def test_later_pair_counts_keeps_rows_narrow(spark):
+    """No start is repeated per place, named places only count as such, and ends of the same day do not."""
+    day = lambda n: dt.date(2000, 1, n)
+    own = spark.createDataFrame(
+        [(1, 1, day(1), day(2), "a"), (1, 2, day(2), None, "b"), (1, 3, day(3), day(4), "b"), (1, 4, day(5), None, "a"),
+         (1, 5, day(5), None, None), (2, 1, day(1), day(2), None), (2, 2, day(9), day(9), "a"), (2, 3, day(9), None, "b")],
+        "part_key long, supp_key long, start_date date, end_date date, place string")
+    plan = moves.later_pair_counts(own, ["part_key"], "place", ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
+    found = lambda **o: sorted(tuple(r) for r in moves.later_pair_counts(own, ["part_key"], "place", **o).na.fill("-").collect())
+    assert found() == [("a", "-", 1, 1), ("a", "b", 1, 1), ("b", "-", 1, 1), ("b", "a", 1, 1)]
+    assert found(places=["a", "z"]) == [("a", "-", 1, 1), ("a", "b", 1, 1)]
+    assert found(places=[]) == []
