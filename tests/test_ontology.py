@@ -243,3 +243,19 @@ def test_inference_kept_up_to_date(spark):
         held = after
     full = infer_all(spark.createDataFrame(held, schema), rules, abstract)
     assert rows(state.drop("support")) == rows(full.distinct().select(state.drop("support").columns))
+
+
+def test_checks_share_counted_ends(spark, edges, nodes):
+    """With ends counted once, the checks find the same; an end of many edges is one row of the join with the nodes."""
+    day = D(2001, 1, 1)
+    many = edges.unionByName(spark.createDataFrame([EDGES[3]] * 1000, EDGE_SCHEMA))
+    ends = q.counted_ends(many, day)
+    assert ends.count() == ends.select("edge_type", "side", "id").distinct().count()
+    assert ends.where("edge_type = 'SUPPLIED_BY' AND id = 'SUPPLIER:9'").first().n == 1001
+    key = lambda df: sorted(tuple(str(v) for v in r) for r in df.collect())
+    for alone, shared in [
+            (q.check_cardinality_all(many, md.RELATIONS, "C", day), q.check_cardinality_all(many, md.RELATIONS, "C", day, ends)),
+            (q.check_referential(many, nodes, "R"), q.check_referential(many, nodes, "R", splits=7, ends=ends)),
+            (q.check_domain_range(many, nodes, *catalog(spark), "D"), q.check_domain_range(many, nodes, *catalog(spark), "D", ends))]:
+        assert key(alone) == key(shared)
+    assert q.check_referential(many, nodes, "R", ends=ends).where("dst_id = 'SUPPLIER:9'").count() == 1001
