@@ -216,3 +216,6 @@ def test_later_pair_counts_keeps_rows_narrow(spark):
     assert found() == [("a", "-", 1, 1), ("a", "b", 1, 1), ("b", "-", 1, 1), ("b", "a", 1, 1)]
     assert found(places=["a", "z"]) == [("a", "-", 1, 1), ("a", "b", 1, 1)]
     assert found(places=[]) == []
+    assert found(rows=8, rows_per_task=1) == found()
+    dealt = moves.later_pair_counts(own, ["part_key"], "place", ["a"], rows=1000, rows_per_task=10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [part_key" in dealt and ", 101" in dealt  # tasks grow with the rows
