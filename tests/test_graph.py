@@ -375,3 +375,30 @@ def test_pivots_stop_within_their_bound(spark):
     whole = centrality.betweenness_by_pivots(g, error=0.0).collect()
     assert {r.pivots for r in whole} == {404}
     assert all(r.low == r.high == r.score == pytest.approx(exact[r.id]) for r in whole)
+
+
+@pytest.mark.parametrize("hubs", [True, False])
+def test_closeness_holds_no_row_per_source_and_node(spark, monkeypatch, hubs):
+    """130 sources in three masks; what a level writes stays within one row per node or membership."""
+    rng = random.Random(11)
+    ids = [7 * i - 300 for i in range(130)]
+    rows = [(n, "h", h) for h in range(60) for n in rng.sample(ids[:-1], 4)]
+    pairs = sorted({tuple(sorted(p)) for h in range(60)
+                    for p in itertools.combinations([r[0] for r in rows if r[2] == h], 2)})
+    nodes = spark.createDataFrame([(n,) for n in ids], "id bigint")
+    g = Graph(nodes, members=spark.createDataFrame(rows, "node bigint, kind string, hub bigint")) if hubs else make(spark, pairs, ids)
+    sizes, write = [], centrality.cut_lineage
+
+    def counted(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(centrality, "cut_lineage", counted)
+    got = scores(centrality.closeness(g))
+    assert max(sizes) <= 130
+    adj = neighbours(pairs, ids)
+    for n in ids:
+        dist = search(adj, n)[0]
+        r, total = len(dist) - 1, sum(dist.values())
+        assert got[n] == pytest.approx(r / total * r / 129 if total else 0.0)
