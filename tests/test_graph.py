@@ -402,3 +402,38 @@ def test_closeness_holds_no_row_per_source_and_node(spark, monkeypatch, hubs):
         dist = search(adj, n)[0]
         r, total = len(dist) - 1, sum(dist.values())
         assert got[n] == pytest.approx(r / total * r / 129 if total else 0.0)
+
+
+def test_betweenness_holds_no_row_per_source_and_node(spark, monkeypatch):
+    """Four blocks of nodes, three of sources; what a level writes stays within a row per node and block of sources."""
+    tiles = centrality.tiles
+    rng = random.Random(12)
+    ids = [5 * i - 200 for i in range(120)]
+    pairs = sorted({tuple(sorted(rng.sample(ids[:-1], 2))) for _ in range(300)})
+    sizes, write = [], centrality.cut_lineage
+
+    def counted(df):
+        out = write(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(centrality, "cut_lineage", counted)
+    monkeypatch.setattr(tiles, "cut_lineage", counted)
+    monkeypatch.setattr(tiles, "SIDE", 32)
+    monkeypatch.setattr(tiles, "WIDTH", 48)
+    monkeypatch.setattr(tiles, "STEP", 20)
+    got = scores(centrality.betweenness(make(spark, pairs, ids)))
+    assert max(sizes) <= 3 * 120
+    adj = neighbours(pairs, ids)
+    want = dict.fromkeys(ids, 0.0)
+    for s in ids:  # Brandes
+        dist, sigma, order = search(adj, s)
+        delta = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            for u in adj[v]:
+                if dist[u] == dist[v] - 1:
+                    delta[u] += sigma[u] / sigma[v] * (1 + delta[v])
+            if v != s:
+                want[v] += delta[v]
+    for v in ids:
+        assert got[v] == pytest.approx(want[v] / (119 * 118))
