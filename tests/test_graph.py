@@ -437,3 +437,24 @@ def test_betweenness_holds_no_row_per_source_and_node(spark, monkeypatch):
                 want[v] += delta[v]
     for v in ids:
         assert got[v] == pytest.approx(want[v] / (119 * 118))
+
+
+def test_sketches_are_merged_in_memory(spark, monkeypatch):
+    """Five parts of nodes; groups beyond Spark's 128 do not go to a sort while sketches are merged."""
+    rng = random.Random(13)
+    ids = list(range(200))
+    g = make(spark, sorted({tuple(sorted(rng.sample(ids, 2))) for _ in range(700)}), ids)
+    exact = scores(centrality.closeness(g))
+    limit, held, write = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", [], centrality.cut_lineage
+    before = spark.conf.get(limit)
+
+    def noted(df):
+        held.append(int(spark.conf.get(limit)))
+        return write(df)
+
+    monkeypatch.setattr(centrality, "SKETCHES_PER_TASK", 40, raising=False)
+    monkeypatch.setattr(centrality, "cut_lineage", noted)
+    got = scores(centrality.closeness_by_sketches(g))
+    assert held[1:] and min(held[1:]) >= 160 and spark.conf.get(limit) == before
+    for n in ids:
+        assert got[n] == pytest.approx(exact[n])
