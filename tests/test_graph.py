@@ -458,3 +458,13 @@ def test_sketches_are_merged_in_memory(spark, monkeypatch):
     assert held[1:] and min(held[1:]) >= 160 and spark.conf.get(limit) == before
     for n in ids:
         assert got[n] == pytest.approx(exact[n])
+
+
+def test_members_without_id_and_nodes_given_twice(spark):
+    """A member without an id counts at each level that touches its hub; a node given twice stays twice, not four times."""
+    members = spark.createDataFrame([(1, "h", 1), (2, "h", 1), (None, "h", 1), (2, "h", 2), (3, "h", 2)], "node bigint, kind string, hub bigint")
+    got = scores(centrality.closeness(Graph(spark.createDataFrame([(1,), (2,), (3,)], "id bigint"), members=members)))
+    # from 1: 2 and the one without id at 1, 3 and it again at 2, from hub 1 once more
+    assert got[1] == pytest.approx(4 / 6 * 4 / 2)
+    rows = centrality.betweenness_by_pivots(make(spark, [(1, 2), (2, 3), (1, 3)], [1, 1, 2, 3])).collect()
+    assert sorted(r.id for r in rows) == [1, 1, 2, 3] and {r.score for r in rows} == {0.0}
