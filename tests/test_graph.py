@@ -7,10 +7,12 @@ from collections import deque
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kgspark.operators.graph import centrality, community, traverse
 from kgspark.operators.graph.build import (Graph, Neighbours, canonical_pairs, first_relation_wins,
                                            hub_sizes, memberships)
+from kgspark.session import bucketed, cut_lineage
 
 # a 4-cycle with a tail, a triangle apart from it, and an isolated node
 EDGES = [(0, 1), (1, 2), (2, 3), (0, 3), (3, 4), (4, 5), (10, 11), (11, 12), (10, 12)]
@@ -135,6 +137,25 @@ def test_louvain(spark, graph):
     assert sorted(r["size"] for r in community.community_sizes(part).collect()) == [1, 5, 5, 5]
 
 
+def test_louvain_rounds_move_no_edges(spark):
+    """A round joins and adds up the edges where they lie; only rows of nodes are moved."""
+    edges = spark.createDataFrame([(a, b, 1.0) for x, y in EDGES for a, b in ((x, y), (y, x))], "src bigint, dst bigint, w double")
+    state = cut_lineage(edges.groupBy("src").agg(F.sum("w").alias("k")).select(
+        F.col("src").alias("id"), F.col("src").alias("comm"), "k", F.lit(0.0).alias("loop"), F.lit(0).alias("turn")))
+    dealt = bucketed(edges, "src", buckets=2)
+    plan = community._decide(dealt, state, float(2 * len(EDGES)))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("src#" in line for line in moved) and "Bucketed: true" in text
+    found = {r.id: r for r in plan.collect()}
+    adj = neighbours(EDGES, NODES)
+    assert set(found) == {n for n in NODES if adj[n]}
+    for n, r in found.items():
+        gains = {m: round(1 - len(adj[n]) * len(adj[m]) / (2 * len(EDGES)), 9) for m in adj[n]}
+        assert (r.k_own, r.k, r.own_tot) == (0, len(adj[n]), len(adj[n]))
+        assert (r.best.gain, -r.best.neg) == (max(gains.values()), min(m for m in gains if gains[m] == max(gains.values())))
+
+
 def test_bfs_pairs(graph, spark):
     adj = neighbours(EDGES, NODES)
     seeds = spark.createDataFrame([(0,), (10,), (20,), (77,)], "source bigint")
