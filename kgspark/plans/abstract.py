@@ -131,7 +131,7 @@ def tenure_history(t: Tables, origin: str | None = None) -> DataFrame:
 def party_moves(t: Tables, from_nation: str | None = None, to_nation: str | None = None) -> DataFrame:
     """Consecutive moves across nations for both kinds of party."""
     tenures = b.engaged_with(t).select("role", "party_key", "supp_key", "start_date", "end_date")
-    steps = moves.consecutive_moves(tenures, ["role", "party_key"], "supp_key")
+    steps = moves.consecutive_moves(tenures, ["role", "party_key"], "supp_key", 2 * t.rows("lineitem"))
     dim = b.supplier_dim(t)
     old = dim.select(F.col("supp_key").alias("from_member"), F.col("supplier_name").alias("previous_supplier"),
                      F.col("nation").alias("previous_nation"))
