@@ -13,6 +13,7 @@ from kgspark.plans import binding as b, metadata as md
 from kgspark.plans.checks import AS_OF, active, sql
 from kgspark.plans.concrete import CONSECUTIVE_SQL, named_sides, order_id, part_id
 from kgspark.plans.registry import query
+from kgspark.session import dealt
 from kgspark.sources.tables import Tables
 
 HOME_ORIGINS = ("Brand#3", "NATION_3")
@@ -155,8 +156,8 @@ def most_traveled(t: Tables, at_least: int = 3) -> DataFrame:
     """One engagement per party and supplier, so rows are suppliers; nations and regions are
     small fixed sets. Names are joined after the counting."""
     places = b.supplier_dim(t).select("supp_key", "nation", "region")
-    counted = (b.engaged_with(t).select("role", "party_key", "supp_key").join(places, "supp_key")
-               .groupBy("role", "party_key").agg(
+    placed = b.engaged_with(t).select("role", "party_key", "supp_key").join(places, "supp_key")
+    counted = (dealt(placed, 2 * t.rows("lineitem"), "role", "party_key").groupBy("role", "party_key").agg(
         F.count("*").alias("total_suppliers"), F.size(F.collect_set("region")).cast("bigint").alias("regions"),
         F.size(F.collect_set("nation")).cast("bigint").alias("nations"),
         bounded_list("nation").alias("nation_history")).where(F.col("total_suppliers") >= at_least))
