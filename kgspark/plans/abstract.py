@@ -199,10 +199,11 @@ def participants_by_priority(t: Tables, year: int = 1998) -> DataFrame:
 def tenure_stability(t: Tables) -> DataFrame:
     """Party counts are taken after combining per party, which also carries the sums."""
     places = b.supplier_dim(t).select("supp_key", "nation")
-    per_party = (b.engaged_with(t).where(F.col("start_date").isNotNull()).join(places, "supp_key")
-                 .groupBy("nation", "role", "party_key").agg(
+    placed = b.engaged_with(t).where(F.col("start_date").isNotNull()).join(places, "supp_key")
+    keys = ["nation", "role", "party_key"]
+    per_party = dealt(placed, 2 * t.rows("lineitem"), *keys).groupBy(*keys).agg(
         F.count("*").alias("n"), F.sum(days_so_far()).alias("d"), F.min("start_date").alias("s"),
-        F.max(F.coalesce("end_date", F.lit(b.AS_OF))).alias("e")))
+        F.max(F.coalesce("end_date", F.lit(b.AS_OF))).alias("e"))
     total = per_party.groupBy("nation", "role").agg(
         F.sum("n").alias("total_tenures"), F.count("*").alias("unique_parties"), F.sum("d").alias("d"),
         F.min("s").alias("earliest_start"), F.max("e").alias("latest_end"))
