@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from kgspark.session import dealt
+
 
 @dataclass(frozen=True)
 class Join:
@@ -28,6 +30,7 @@ class Metric:
     name: str
     table: str
     expr: Column
+    distinct: str | None = None  # the column whose distinct values ``expr`` counts
 
 
 @dataclass(frozen=True)
@@ -39,10 +42,15 @@ class Filter:
 
 @dataclass
 class SemanticModel:
-    """Logical tables by name, with primary keys, and the operators declared on them."""
+    """Logical tables by name, with primary keys, and the operators declared on them.
+
+    ``rows``: no fewer than a fact table has, where known; its distinct values are then counted on as many
+    tasks as these ask for.
+    """
 
     tables: dict[str, DataFrame]
     keys: dict[str, list[str]] = field(default_factory=dict)
+    rows: dict[str, int] = field(default_factory=dict)
     joins: list[Join] = field(default_factory=list)
     metrics: dict[str, Metric] = field(default_factory=dict)
     filters: dict[str, Filter] = field(default_factory=dict)
@@ -50,6 +58,9 @@ class SemanticModel:
     def add_metric(self, name: str, table: str, expr: Column) -> None:
         self.metrics[name] = Metric(name, table, expr)
 
+    def add_distinct(self, name: str, table: str, column: str) -> None:
+        self.metrics[name] = Metric(name, table, F.count_distinct(column), column)
+
     def add_filter(self, name: str, table: str, expr: Column) -> None:
         self.filters[name] = Filter(name, table, expr)
 
@@ -92,6 +103,18 @@ class SemanticModel:
     def _restore(self, df: DataFrame, table: str) -> DataFrame:
         return df.withColumns({c: F.col(f"{table}__{c}") for c in self.tables[table].columns})
 
+    def _distinct_counts(self, df: DataFrame, keys: list[Column], metrics: Sequence[Metric], rows: int) -> DataFrame:
+        """Distinct values of several columns by the keys: a row per column and value, made distinct where
+        it is dealt, then counted."""
+        none = {m.name: F.lit(None).cast(df.schema[m.distinct].dataType) for m in metrics}
+        values = F.array(*[F.struct(*[(F.col(m.distinct) if m is own else none[m.name]).alias(m.name) for m in metrics])
+                           for own in metrics])
+        single = df.select(*keys, F.explode(values).alias("_value")).select("*", "_value.*").drop("_value")
+        single = dealt(single, rows * len(metrics), *single.columns).distinct()
+        names = single.columns[:len(keys)]
+        return (single.groupBy(*names) if names else single.groupBy()).agg(
+            *[F.count(m.name).alias(m.name) for m in metrics])
+
     def query(self, metrics: Sequence[str], dimensions: Sequence[str] = (),
               filters: Sequence[str] = ()) -> DataFrame:
         """Metrics by dimensions ("table.column") under named filters, as one lazy frame."""
@@ -103,7 +126,7 @@ class SemanticModel:
                 raise ValueError(f"unknown filter {name}")
         dims = [d.split(".") for d in dimensions]
         out_names = [c for _, c in dims]
-        result = None
+        result, listed = None, []
         for fact in dict.fromkeys(self.metrics[m].table for m in metrics):
             wanted = [self.metrics[m] for m in metrics if self.metrics[m].table == fact]
             used = [self.filters[f] for f in filters]
@@ -112,22 +135,29 @@ class SemanticModel:
                 df = self._restore(df, f.table).where(f.expr)
             df = self._restore(df, fact)
             keys = [F.col(f"{t}__{c}").alias(f"dim__{c}") for t, c in dims]
-            agg = (df.groupBy(*keys) if keys else df.groupBy()).agg(
-                *[m.expr.alias(m.name) for m in wanted])
-            agg = agg.withColumnsRenamed({f"dim__{c}": c for c in out_names})
-            if result is None:
-                result = agg
-            elif out_names:
-                right = agg.withColumnsRenamed({c: f"r__{c}" for c in out_names})
-                on = [F.col(c).eqNullSafe(F.col(f"r__{c}")) for c in out_names]
-                result = result.join(right, on, "full").withColumns(
-                    {c: F.coalesce(c, f"r__{c}") for c in out_names}).drop(
-                    *[f"r__{c}" for c in out_names])
-            else:
-                # one row: all metrics of the fact come from one subquery
-                row = agg.select(F.struct(*[m.name for m in wanted])).scalar()
-                result = result.withColumn("_row", row).select("*", "_row.*").drop("_row")
-        return result
+            listed += [m.name for m in wanted]
+            apart = [m for m in wanted if m.distinct and fact in self.rows]
+            together = [m for m in wanted if m not in apart]
+            aggs = []
+            if together:
+                aggs.append((df.groupBy(*keys) if keys else df.groupBy()).agg(*[m.expr.alias(m.name) for m in together]))
+            if apart:
+                aggs.append(self._distinct_counts(df, keys, apart, self.rows[fact]))
+            for agg in aggs:
+                agg = agg.withColumnsRenamed({f"dim__{c}": c for c in out_names})
+                if result is None:
+                    result = agg
+                elif out_names:
+                    right = agg.withColumnsRenamed({c: f"r__{c}" for c in out_names})
+                    on = [F.col(c).eqNullSafe(F.col(f"r__{c}")) for c in out_names]
+                    result = result.join(right, on, "full").withColumns(
+                        {c: F.coalesce(c, f"r__{c}") for c in out_names}).drop(
+                        *[f"r__{c}" for c in out_names])
+                else:
+                    # one row: all its metrics come from one subquery
+                    row = agg.select(F.struct(*agg.columns)).scalar()
+                    result = result.withColumn("_row", row).select("*", "_row.*").drop("_row")
+        return result.select(*out_names, *listed)
 
     def duplicate_keys(self, table: str) -> DataFrame:
         """Rows that break the declared primary key; empty when many-to-one joins are safe."""

@@ -6,8 +6,11 @@ import re
 
 import pytest
 
-from kgspark.operators import moves
-from kgspark.plans import load_queries
+from pyspark.sql import functions as F
+
+from kgspark.operators import inference as inf, moves
+from kgspark.operators.semantic import SemanticModel
+from kgspark.plans import load_queries, metadata as md
 from kgspark.sources.tables import Tables
 
 SCHEMA = "part_key bigint, supp_key bigint, start_date date, end_date date"
@@ -72,5 +75,58 @@ def test_successors_dealt(spark):
     assert same(moves.successors(df, "supp_key", "part_key", MANY), moves.successors(df, "supp_key", "part_key"))
 
 
+def test_moves_dealt(spark):
+    df = tenures(spark)
+    assert same(moves.consecutive_moves(df, ["part_key"], "supp_key", MANY), moves.consecutive_moves(df, ["part_key"], "supp_key"))
+
+
+def test_distinct_counts_apart(spark):
+    """Values shared between groups, nulls, groups of nulls only; with and without dimensions and the row count."""
+    rows = [("a", 1, "x", 5), ("a", 1, "y", 5), ("b", 1, None, 2), ("b", None, "x", 1), ("c", None, None, 4), (None, 2, "x", 3)]
+    fact = spark.createDataFrame(rows, "kind string, number int, name string, amount bigint")
+
+    def answer(known, dims):
+        m = SemanticModel(tables={"fact": fact}, rows=known)
+        m.add_metric("total", "fact", F.sum("amount"))
+        m.add_distinct("numbers", "fact", "number")
+        m.add_distinct("names", "fact", "name")
+        out = m.query(["numbers", "total", "names"], dims)
+        return out.columns, sorted(map(tuple, out.collect()), key=str)
+
+    want = sorted([("a", 1, 10, 2), ("b", 1, 3, 1), ("c", 0, 4, 0), (None, 1, 3, 1)], key=str)
+    for known in ({}, {"fact": MANY}):
+        assert answer(known, ["fact.kind"]) == (["kind", "numbers", "total", "names"], want)
+        assert answer(known, []) == (["numbers", "total", "names"], [(2, 20, 2)])
+
+
+@pytest.mark.parametrize("name, keys", [
+    ("party_moves", ["party_key"]), ("most_traveled", ["l_orderkey", "cust_key", "l_partkey"]),
+    ("tenure_stability", ["party_key", "order_key", "cust_key", "l_partkey"]),
+    ("semantic_metrics_concrete", ["order_key", "order_count", "part_count", "l_partkey"])])
+def test_named_queries_are_dealt_by_rows(spark, folder, name, keys):
+    assert undealt(Tables(spark, folder), name, *keys) == []
+
+
 def test_customer_succession_is_dealt_by_rows(spark, folder):
     assert undealt(Tables(spark, folder), "customer_succession", "key", "day", "date") == []
+
+
+def test_updated_inference_with_and_without_rows(spark):
+    """Rows of rules that are not transitive pass the update by, whatever sources the change is near."""
+    schema = "src_id string, dst_id string, edge_type string, weight double, effective_start date, effective_end date"
+    edge = lambda a, b, kind: (a, b, kind, 1.0, None, None)
+    edges = spark.createDataFrame([edge("P1", "S1", "SUPPLIED_BY"), edge("P1", "S1", "SUPPLIED_BY"), edge("P2", "S1", "SUPPLIED_BY"),
+                                   edge("C1", "S1", "BUYS_FROM"), edge("S1", "N1", "WITHIN"), edge("C1", "N1", "WITHIN"),
+                                   edge("N1", "R1", "WITHIN"), edge("P1", "O1", "IN_ORDER"), edge("S1", "O1", "LEAD_SUPPLIER")], schema)
+    added = spark.createDataFrame([edge("R1", "W", "WITHIN"), edge("S1", "N2", "WITHIN")], schema)
+    removed = spark.createDataFrame([edge("P2", "S1", "SUPPLIED_BY"), edge("P1", "S1", "SUPPLIED_BY")], schema)
+    read = inf.relations_read(md.RULES, md.RELATION_MAP)
+    assert read == {"SUPPLIED_BY", "BUYS_FROM", "WITHIN"}
+    state = inf.supported(edges, md.RULES, md.RELATION_MAP)
+    after = inf.update_supported(state, edges, added, removed, md.RULES, md.RELATION_MAP)
+    kept = edges.where(F.col("edge_type").isin(*read))
+    dealt_state = inf.supported(kept, md.RULES, md.RELATION_MAP, rows=MANY)
+    assert same(state, dealt_state)
+    assert same(after, inf.update_supported(dealt_state, kept, added, removed, md.RULES, md.RELATION_MAP, rows=MANY))
+    now = edges.exceptAll(removed).unionByName(added)
+    assert same(after, inf.supported(now, md.RULES, md.RELATION_MAP))
