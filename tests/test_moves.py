@@ -96,6 +96,17 @@ def test_successors(tenures):
     assert got == want
 
 
+def test_later_members(tenures):
+    """Every later tenure, not only the next, whether a group lies in one cell or in many."""
+    rows, df = tenures
+    want = sorted((a[0], a[1], a[3], b[0], b[2]) for a in rows for b in rows if a[1] == b[1] and a[3] and b[2] > a[3])
+    ended = moves.successors(df, "supp_key", "part_key")
+    for split, known in ((4000, None), (2, None), (3, 20_000_000)):
+        got = moves.later_members(ended, df, "supp_key", "part_key", known, split).select(
+            "part_key", "supp_key", "end_date", "later_member", "later_start")
+        assert sorted(map(tuple, got.collect())) == want
+
+
 def overlaps(a, b):
     return a[2] <= (b[3] or FAR) and b[2] <= (a[3] or FAR)
 
