@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kgspark.operators import inference as inf, moves
 from kgspark.operators.semantic import SemanticModel
-from kgspark.plans import load_queries, metadata as md
+from kgspark.plans import binding as b, load_queries, metadata as md
 from kgspark.sources.tables import Tables
 
 SCHEMA = "part_key bigint, supp_key bigint, start_date date, end_date date"
@@ -130,3 +130,14 @@ def test_updated_inference_with_and_without_rows(spark):
     assert same(after, inf.update_supported(dealt_state, kept, added, removed, md.RULES, md.RELATION_MAP, rows=MANY))
     now = edges.exceptAll(removed).unionByName(added)
     assert same(after, inf.supported(now, md.RULES, md.RELATION_MAP))
+
+
+def test_edges_meet_their_orders_in_place(spark, folder):
+    """What is grouped per order is dealt by order once: neither it nor the orders are moved again to find the date."""
+    t = Tables(spark, folder)
+    t.counts["lineitem"] = MANY
+    plan = b.kg_edges(t)._jdf.queryExecution().executedPlan().toString()
+    lines = re.findall(r"Exchange hashpartitioning\((.*?), (\d+)\), (\w+)", plan)
+    by_order = [(by, n, why) for by, n, why in lines if "order_key" in by or "orderkey" in by]
+    assert by_order and all(why == "REPARTITION_BY_NUM" and int(n) > 40 for _, n, why in by_order)
+    assert not any("supp" in by or "part" in by for by, _, _ in by_order)
