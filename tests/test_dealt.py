@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kgspark.operators import inference as inf, moves
 from kgspark.operators.semantic import SemanticModel
 from kgspark.plans import binding as b, load_queries, metadata as md
+from kgspark.session import cut_lineage
 from kgspark.sources.tables import Tables
 
 SCHEMA = "part_key bigint, supp_key bigint, start_date date, end_date date"
@@ -141,3 +142,16 @@ def test_edges_meet_their_orders_in_place(spark, folder):
     by_order = [(by, n, why) for by, n, why in lines if "order_key" in by or "orderkey" in by]
     assert by_order and all(why == "REPARTITION_BY_NUM" and int(n) > 40 for _, n, why in by_order)
     assert not any("supp" in by or "part" in by for by, _, _ in by_order)
+
+
+def test_written_steps_leave_no_shuffles(spark, tmp_path):
+    """A step's shuffle files go once its table stands, and the setting is as before."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    held = lambda: tracker.shuffleStatuses().size()
+    count = held()
+    df = spark.range(1000).repartition(5, "id").groupBy((F.col("id") % 7).alias("g")).count()
+    assert cut_lineage(df).count() == 7 and spark.conf.get(key) == before
+    spark.range(10).count()
+    assert cut_lineage(df.where("g > 3")).collect() and held() <= count + 2  # the counts and the read have their own
