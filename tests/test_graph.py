@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 from collections import deque
 
@@ -489,3 +490,53 @@ def test_members_without_id_and_nodes_given_twice(spark):
     assert got[1] == pytest.approx(4 / 6 * 4 / 2)
     rows = centrality.betweenness_by_pivots(make(spark, [(1, 2), (2, 3), (1, 3)], [1, 1, 2, 3])).collect()
     assert sorted(r.id for r in rows) == [1, 1, 2, 3] and {r.score for r in rows} == {0.0}
+
+
+def test_tiles_leave_only_results(spark, monkeypatch):
+    """Sources go in turns when a step would send too much; the levels of finished turns are removed."""
+    tiles, written = centrality.tiles, []
+    rng = random.Random(21)
+    ids = [3 * i - 100 for i in range(90)]
+    pairs = sorted({tuple(sorted(rng.sample(ids[:-1], 2))) for _ in range(200)})
+    write = tiles.cut_lineage
+
+    def noted(df):
+        out = write(df)
+        written.append((out.written_to, out.columns))
+        return out
+
+    exact = scores(centrality.betweenness(make(spark, pairs, ids)))
+    near = scores(centrality.closeness(make(spark, pairs, ids)))
+    monkeypatch.setattr(tiles, "cut_lineage", noted)
+    monkeypatch.setattr(tiles, "SIDE", 32)
+    monkeypatch.setattr(tiles, "WIDTH", 16)
+    monkeypatch.setattr(tiles, "BITS", 24)
+    monkeypatch.setattr(tiles, "MOST_BYTES", 1)
+    got = scores(centrality.betweenness(make(spark, pairs, ids)))
+    assert len([1 for _, c in written if c == ["node", "s", "q"]]) == 6  # 16 of 89 at a time
+    assert scores(centrality.closeness(make(spark, pairs, ids))) == pytest.approx(near)
+    assert got == pytest.approx(exact)
+    levels = [path for path, c in written if c == ["node", "s", "v", "a", "b"]]
+    assert levels and not any(os.path.exists(path) for path in levels)
+    adj = neighbours(pairs, ids)
+    for n in ids:
+        dist = search(adj, n)[0]
+        r, total = len(dist) - 1, sum(dist.values())
+        assert near[n] == pytest.approx(r / total * r / 89 if total else 0.0)
+
+
+def test_packed_strips():
+    tiles = centrality.tiles
+    for slots in ([], [3], [0, 31], list(range(32)), [4, 4, 9], list(range(30)) + [7]):
+        marks = tiles._marks(slots, 32)
+        assert tiles._edges([marks, tiles._marks([1], 32)], 32, float)[:, 0].tolist() == [slots.count(i) for i in range(32)]
+
+
+def test_sketches_meet_links_in_place(spark):
+    """However small the links' files are, they are not gathered at the driver to be broadcast."""
+    sent = bucketed(spark.createDataFrame([(1, "a"), (2, "b")], "src bigint, sketch string"), "src", buckets=4)
+    links = bucketed(spark.createDataFrame([(1, 2), (2, 1)], "src bigint, dst bigint"), "src", buckets=4)
+    plan = centrality._sent_along(sent, links)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "Broadcast" not in text and "Exchange" not in text
+    assert sorted(map(tuple, plan.collect())) == [(1, "b"), (2, "a")]
