@@ -540,3 +540,28 @@ def test_sketches_meet_links_in_place(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in text and "Broadcast" not in text and "Exchange" not in text
     assert sorted(map(tuple, plan.collect())) == [(1, "b"), (2, "a")]
+
+
+def test_louvain_in_arrays(spark, monkeypatch):
+    """Rounds in arrays move the same nodes as rounds in joins, and few jobs are run for each."""
+    ids = [-3, 0, 5, 1 << 40, -(1 << 62)]
+    for turn in (0, 1, 77):
+        want = spark.createDataFrame([(i,) for i in ids], "id bigint").select(F.xxhash64("id", F.lit(turn))).collect()
+        assert community._hashed(np.array(ids), turn).tolist() == [r[0] for r in want]
+    rng = random.Random(31)
+    nodes = [4 * i - 50 for i in range(60)]
+    pairs = sorted({tuple(sorted((x, y))) for x, y in (rng.sample(nodes, 2) for _ in range(260))
+                    if (x // 80 == y // 80 or rng.random() < 0.15)})
+    found, writes, write = [], [], community.cut_lineage
+
+    def noted(df):
+        writes[-1] += 1
+        return write(df)
+
+    monkeypatch.setattr(community, "cut_lineage", noted)
+    for most in (1 << 18, 0):
+        monkeypatch.setattr(community, "NODES_IN_ARRAYS", most, raising=False)
+        writes.append(0)
+        found.append({r.id: r.community_id for r in community.louvain(make(spark, pairs, nodes)).collect()})
+    assert found[0] == found[1] and len(set(found[0].values())) < len(nodes)
+    assert writes[0] < writes[1]  # none per round
