@@ -565,3 +565,12 @@ def test_louvain_in_arrays(spark, monkeypatch):
         found.append({r.id: r.community_id for r in community.louvain(make(spark, pairs, nodes)).collect()})
     assert found[0] == found[1] and len(set(found[0].values())) < len(nodes)
     assert writes[0] < writes[1]  # none per round
+
+
+def test_louvain_of_nodes_given_twice(spark, monkeypatch):
+    """A node given twice counts as it does in the joins, whatever the size of the graph."""
+    nodes, found = [*NODES, 1, 11], []
+    for most in (1 << 18, 0):
+        monkeypatch.setattr(community, "NODES_IN_ARRAYS", most)
+        found.append(sorted(map(tuple, community.louvain(make(spark, EDGES, nodes)).collect())))
+    assert found[0] == found[1] and len(found[0]) >= len(nodes)
